@@ -1,0 +1 @@
+"""No stream operators: every input of this workload is a finite file set."""
