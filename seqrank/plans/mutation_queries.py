@@ -70,9 +70,9 @@ def _part(chain: str, column: str = "mutant") -> str:
 
 
 _CHAINS = {
-    "rows_": f"""SELECT rid, poi, chain_id, wildtype_sequence AS w, mutant, left(mutant, 1) <> '{{' AS plain, left(mutant, 1) <> '{{' AND mutant <> '' AS glob,
-                 {_part('H')} AS mh, {_part('L')} AS ml, {_part('A')} AS ma FROM {{assay}}""".replace("'{'", "chr(123)"),
-    "foc": """SELECT poi, bool_or(glob) AS g, bool_or(mh NOT IN ('', 'nan')) AS fh, bool_or(ml NOT IN ('', 'nan')) AS fl,
+    "rows_": f"""SELECT rid, poi, chain_id, wildtype_sequence AS w, mutant, left(mutant, 1) <> chr(123) AS plain, left(mutant, 1) <> chr(123) AND mutant <> '' AS gstr,
+                 {_part('H')} AS mh, {_part('L')} AS ml, {_part('A')} AS ma FROM {{assay}}""",
+    "foc": """SELECT poi, bool_or(gstr) AS g, bool_or(mh NOT IN ('', 'nan')) AS fh, bool_or(ml NOT IN ('', 'nan')) AS fl,
               bool_or(ma NOT IN ('', 'nan')) AS fa, min(chain_id) AS ids, min(w) AS w FROM rows_ GROUP BY poi""",
     "ch": f"""SELECT poi, c, CASE c WHEN 'H' THEN {_part('H', 'w')} WHEN 'L' THEN {_part('L', 'w')} ELSE {_part('A', 'w')} END AS s,
               CASE WHEN ids = 'A L H' THEN instr('ALH', c) ELSE instr('HLA', c) END AS o

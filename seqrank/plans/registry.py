@@ -195,19 +195,25 @@ FROM {{lineitem}}
 
 # Multi-chain assay rows: chain maps are written as literals, one row in 211
 # uses a plain mutation string and one in 223 has no mutation at all.
-_SEQ_MAP = "concat('{{''H'': ''', {h}, ''', ''L'': ''', {l}, ''', ''A'': ''', {a}, '''}}')".format(
-    h=chain_sequence("H", "l_partkey"), l=chain_sequence("L", "l_partkey"), a=chain_sequence("A", "l_partkey"))
-_H = f"CASE WHEN l_linenumber % 3 = 0 OR l_orderkey % 3 = 0 THEN {_token(chain_sequence('H', 'l_partkey'), _SITE1, _NEW1)} ELSE '' END"
-_L = f"CASE WHEN l_linenumber % 3 = 1 THEN {_token(chain_sequence('L', 'l_partkey'), _SITE2, _NEW2)} WHEN l_linenumber % 3 = 2 THEN 'nan' ELSE '' END"
-_A = f"CASE WHEN l_linenumber % 3 = 2 AND l_partkey % 2 = 0 THEN {_token(chain_sequence('A', 'l_partkey'), _SITE1, _NEW2)} ELSE '' END"
+def _literal_map(**values: str) -> str:
+    """SQL that writes a chain map as a literal with single quotes."""
+    body = ", ', ', ".join(f"chr(39), '{k}', chr(39), ': ', chr(39), {v}, chr(39)" for k, v in values.items())
+    return f"concat(chr(123), {body}, chr(125))"
+
+
+_SEQ_MAP = _literal_map(**{c: chain_sequence(c, "l_partkey") for c in "HLA"})
+_MUT_MAP = _literal_map(
+    H=f"CASE WHEN l_linenumber % 3 = 0 OR l_orderkey % 3 = 0 THEN {_token(chain_sequence('H', 'l_partkey'), _SITE1, _NEW1)} ELSE '' END",
+    L=f"CASE WHEN l_linenumber % 3 = 1 THEN {_token(chain_sequence('L', 'l_partkey'), _SITE2, _NEW2)} WHEN l_linenumber % 3 = 2 THEN 'nan' ELSE '' END",
+    A=f"CASE WHEN l_linenumber % 3 = 2 AND l_partkey % 2 = 0 THEN {_token(chain_sequence('A', 'l_partkey'), _SITE1, _NEW2)} ELSE '' END",
+)
 fixture("assay", f"""
 SELECT {_LINE_ID} AS rid, concat('p', cast(l_partkey as string)) AS poi, l_extendedprice AS label,
        CASE l_partkey % 4 WHEN 0 THEN 'HLA' WHEN 1 THEN 'H,L,A' WHEN 2 THEN 'A L H' ELSE '' END AS chain_id,
-       {_SEQ_MAP.replace('{{', '{').replace('}}', '}')} AS wildtype_sequence,
-       CASE WHEN l_orderkey % 211 = 0 THEN 'A5T' WHEN l_orderkey % 223 = 0 THEN ''
-            ELSE concat('{{''H'': ''', {_H}, ''', ''L'': ''', {_L}, ''', ''A'': ''', {_A}, '''}}') END AS mutant
+       {_SEQ_MAP} AS wildtype_sequence,
+       CASE WHEN l_orderkey % 211 = 0 THEN 'A5T' WHEN l_orderkey % 223 = 0 THEN '' ELSE {_MUT_MAP} END AS mutant
 FROM {{lineitem}}
-""".replace("{{'", "{'").replace("'}}", "'}"))
+""")
 
 fixture("residues", " UNION ALL ".join(f"SELECT '{a}' AS aa" for a in "ACDEFGHIKLMNPQRSTVWY"))
 fixture("positions", " UNION ALL ".join(f"SELECT {i} AS pos" for i in range(1, 33)))

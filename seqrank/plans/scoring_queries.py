@@ -32,11 +32,11 @@ def score_delta_logprob(t):
     return rounded(S.score_delta_logprob(t("heavy_mut"), lp, "rid", "poi", seq="seq"))
 
 
-@query("score_temperature", "D4", "SELECT h.rid, round(coalesce(sum(d), 0), 4) + 0.0 AS score FROM {heavy_mut} h LEFT JOIN s4 USING (rid) GROUP BY h.rid",
+@query("score_temperature", "D4", "SELECT h.rid, round(coalesce(sum(d), 0), 5) + 0.0 AS score FROM {heavy_mut} h LEFT JOIN s4 USING (rid) GROUP BY h.rid",
        {**_TOKENS, **_LP, "s4": """SELECT p.rid, m.logprob - w.logprob AS d FROM parsed p JOIN {heavy_mut} h USING (rid)
         JOIN lp m ON m.poi = h.poi AND m.pos = p.pos AND m.aa = p.mt JOIN lp15 w ON w.poi = h.poi AND w.pos = p.pos AND w.aa = p.wt"""})
 def score_temperature(t):
-    return rounded(S.score_temperature(t("heavy_mut"), t("logits"), "rid", "poi").select("rid", "score"), 4)
+    return rounded(S.score_temperature(t("heavy_mut"), t("logits"), "rid", "poi").select("rid", "score"), 5)
 
 
 # Paired chains: heavy and light of one part on a table of both, light after one separator.
@@ -65,7 +65,7 @@ _CHAIN_LP = """SELECT poi, chain, pos, aa, logit - ln(sum(exp(logit)) OVER (PART
 SELECT r.rid, {rnd('coalesce(sum(m.logprob - w.logprob), 0)', 'score')} FROM rows_ r
 LEFT JOIN (SELECT rid, poi, c, CASE c WHEN 'H' THEN mh WHEN 'L' THEN ml ELSE ma END AS tk FROM rows_ JOIN off USING (poi)
            UNION ALL SELECT rid, poi, c, left(mutant, 1) || (cast(substr(mutant, 2, length(mutant) - 2) AS int) - d) || right(mutant, 1) FROM rows_ JOIN off USING (poi)
-           WHERE glob AND cast(substr(mutant, 2, length(mutant) - 2) AS int) - d BETWEEN 1 AND 32) s ON s.rid = r.rid AND length(tk) > 2 AND tk <> 'nan'
+           WHERE gstr AND cast(substr(mutant, 2, length(mutant) - 2) AS int) - d BETWEEN 1 AND 32) s ON s.rid = r.rid AND length(tk) > 2 AND tk <> 'nan'
 LEFT JOIN clp m ON m.poi = r.poi AND m.chain = s.c AND m.aa = right(tk, 1) AND m.pos = cast(substr(tk, 2, length(tk) - 2) AS int)
 LEFT JOIN clp w ON w.poi = r.poi AND w.chain = s.c AND w.aa = left(tk, 1) AND w.pos = cast(substr(tk, 2, length(tk) - 2) AS int)
 GROUP BY r.rid""", {**_CHAINS, "clp": _CHAIN_LP})
@@ -200,9 +200,9 @@ def _length_model(batches):
 _CACHED = "SELECT sha256(upper(trim(text))) AS seq_hash, -1.0E0 AS score FROM {documents} WHERE lang = 'en'"
 
 
-@query("infer_with_cache", "D17", f"""
-SELECT doc_id, CASE WHEN seq_hash IN (SELECT seq_hash FROM cached) THEN -1.0 ELSE length(upper(trim(text))) + 0.0::double END AS score, seq_hash
-FROM (SELECT *, sha256(upper(trim(text))) AS seq_hash FROM {{documents}})""".replace("+ 0.0::double", "::double"), {"cached": _CACHED})
+@query("infer_with_cache", "D17", """
+SELECT doc_id, CASE WHEN seq_hash IN (SELECT seq_hash FROM cached) THEN -1.0 ELSE length(u)::double END AS score, seq_hash
+FROM (SELECT *, sha256(u) AS seq_hash FROM (SELECT doc_id, upper(trim(replace(text, 'ß', 'SS'))) AS u FROM {documents}))""", {"cached": _CACHED})
 def infer_with_cache(t):
     cache = t.sql(_CACHED.replace("sha256(", "sha2(").replace("trim(text))) AS", "trim(text)), 256) AS")).distinct()
     rows, _, _ = S.infer_with_cache(t("documents").select("doc_id", "text"), "text", cache, _length_model)
