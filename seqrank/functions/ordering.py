@@ -33,29 +33,46 @@ def magnitude_cell(c: Column) -> Column:
     return F.when(v < 0, -cell).otherwise(cell)
 
 
+def _cells(t: T.DataType, name: str) -> list[tuple[str, Column]]:
+    """Coarse cells above a value: two prefixes of text (for md5: 4 096 and then
+    4 096 children), the day of a time, the magnitude cell of a number."""
+    c = F.col(name)
+    if isinstance(t, T.StringType):
+        return [(f"p{width}", F.substring(c, 1, width)) for width in (3, 6)]
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return [("day", F.date_trunc("day", c))]
+    if isinstance(t, (T.BooleanType, T.ByteType, T.ShortType, T.DateType)):
+        return []
+    return [("cell", magnitude_cell(c))]
+
+
 def order_levels(df: DataFrame, columns: Sequence[str], prefix: str = "_lv") -> tuple[DataFrame, list[str]]:
-    """Add level columns for ``columns`` and return their names, coarse to fine.
+    """Add level columns for a sort order and return their names, coarse to fine.
 
-    Numbers and timestamps get one magnitude cell above the value; strings get
-    two prefixes above the value (for md5 text: 4 096 and then 4 096 children).
+    The first two sort columns get cells of their own, so neither may hold a
+    hot value that ends in one window; further columns only break ties of the
+    second one.
     """
-    levels: list[str] = []
-    added: list[Column] = []
     types = {f.name: f.dataType for f in df.schema.fields}
-    for i, name in enumerate(columns):
-        t = types[name]
-        if isinstance(t, T.StringType):
-            for width in (3, 6):
-                added.append(F.substring(F.col(name), 1, width).alias(f"{prefix}{i}_{width}"))
-                levels.append(f"{prefix}{i}_{width}")
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            added.append(F.date_trunc("day", F.col(name)).alias(f"{prefix}{i}_day"))
-            levels.append(f"{prefix}{i}_day")
-        elif not isinstance(t, (T.BooleanType, T.ByteType, T.ShortType)):
-            added.append(magnitude_cell(F.col(name)).alias(f"{prefix}{i}_cell"))
-            levels.append(f"{prefix}{i}_cell")
-        levels.append(name)
-    return df.select("*", *added), levels
+    first, *rest = columns
+    added = [(f"{prefix}0_{tag}", c) for tag, c in _cells(types[first], first)]
+    levels = [n for n, _ in added] + [first]
+    if rest:
+        finer = [(f"{prefix}1_{tag}", c) for tag, c in _cells(types[rest[0]], rest[0])]
+        tail = (f"{prefix}1_tail", F.struct(*[F.col(c) for c in rest])) if len(rest) > 1 else None
+        added += finer + ([tail] if tail else [])
+        levels += [n for n, _ in finer] + [tail[0] if tail else rest[0]]
+    return df.select("*", *[c.alias(n) for n, c in added]), levels
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row.
+
+    ``row`` must come from an aggregate without grouping, so the broadcast side
+    is one row by construction.
+    """
+    key = "_one_row"
+    return df.withColumn(key, F.lit(0)).join(F.broadcast(row.withColumn(key, F.lit(0))), key, "left").drop(key)
 
 
 def group_key(groups: Sequence[str]) -> Column:

@@ -14,7 +14,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hash_key, with_position
+from ..functions.ordering import attach_row, group_key, hash_key, with_position
 
 MISSING_CLUSTER = "__missing_cluster__"
 _PLAN_SCHEMA = "fold int, size long, phases array<struct<start:long,bins:array<int>>>"
@@ -404,13 +404,11 @@ def allocate(df: DataFrame, stratum: str, total: int) -> DataFrame:
     """Largest-remainder allocation per stratum, ties by name."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_rows"))
     n = counts.agg(F.sum("_rows").alias("_all"))
-    # One total row joins on a constant key: a size-one side, not a product.
-    exact = counts.withColumn("_k", F.lit(0)).join(n.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    exact = attach_row(counts, n)
     exact = exact.withColumn("_exact", F.col("_rows") / F.col("_all") * F.lit(total)).withColumn("_base", F.floor("_exact"))
     exact = exact.withColumn("_rest", F.col("_base") - F.col("_exact")).withColumn("_name", F.col(stratum).cast("string"))
     ranked = with_position(exact, [], ["_rest", "_name"], "_i")
-    spare = ranked.agg((F.lit(total) - F.sum("_base")).alias("_spare")).withColumn("_k", F.lit(0))
-    out = ranked.withColumn("_k", F.lit(0)).join(spare, "_k")
+    out = attach_row(ranked, ranked.agg((F.lit(total) - F.sum("_base")).alias("_spare")))
     took = F.col("_base") + F.when(F.col("_i") < F.col("_spare"), 1).otherwise(0)
     checked = (
         F.when(F.lit(total) >= F.col("_all"), F.raise_error(F.lit("sample must be smaller than the data")).cast("long"))
@@ -436,6 +434,22 @@ def bin_count(n: Column, max_bins: int, rule: str = "standard") -> Column:
     return F.when(n < 30, 3).when(n < 100, 4).otherwise(F.least(F.lit(max_bins), F.greatest(F.lit(3), F.floor(n / F.lit(20)))))
 
 
+def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per group from value histograms, one column per fraction."""
+    from .metrics import _named, _runs
+
+    rows = df.select(group_key(groups).alias("_g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    runs = _runs(rows.select("_g", F.coalesce("v", F.lit(0.0)).alias("v")).groupBy("_g", "v").agg(F.count(F.lit(1)).alias("n")), ["_g"], "v", ["n"])
+    aggs, out = [], []
+    for i, (name, q) in enumerate(fractions.items()):
+        spot = (F.col("total_n") - 1) * F.lit(float(q))
+        for tag, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
+            aggs.append(F.max(F.when((F.col("before_n") <= at) & (at < F.col("before_n") + F.col("n")), F.col("v"))).alias(f"_{tag}{i}"))
+        part = (F.col("_n") - 1) * F.lit(float(q))
+        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (part - F.floor(part))).alias(name))
+    return runs.groupBy("_g").agg(F.max("total_n").alias("_n"), *aggs).select(*_named(groups), *out)
+
+
 def order_statistics(df: DataFrame, value: str, fractions: Column) -> DataFrame:
     """One row with the linearly interpolated quantiles of ``value`` and its count.
 
@@ -466,8 +480,8 @@ def qcut_bins(df: DataFrame, value: str, max_bins: int = 5, rule: str = "standar
     """
     n = bin_count(F.col("total_n"), max_bins, rule)
     fractions = F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: i / n.cast("double"))
-    edges = order_statistics(df, value, fractions).select(F.array_distinct("quantiles").alias("_edges"), F.lit(0).alias("_k"))
-    rows = df.withColumn("_k", F.lit(0)).join(edges, "_k", "left").drop("_k")
+    edges = order_statistics(df, value, fractions).select(F.array_distinct("quantiles").alias("_edges"))
+    rows = attach_row(df, edges)
     # First edge at or above the value closes its bin; the lowest value belongs to bin 0.
     spot = F.expr(f"greatest(size(filter(_edges, e -> e < {value})), 1) - 1")
     return rows.withColumn(out, F.when(F.col(value).isNotNull(), spot)).drop("_edges")
@@ -482,8 +496,7 @@ def rank_bins(df: DataFrame, value: str, row_idx: str, bins: int, out: str = "bi
 
 def width_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
     """Equal-width bins, right-closed."""
-    span = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).withColumn("_k", F.lit(0))
-    rows = df.withColumn("_k", F.lit(0)).join(span, "_k").drop("_k")
+    rows = attach_row(df, df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     spot = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.ceil((F.col(value) - F.col("_lo")) / F.nullif(step, F.lit(0.0))) - 1)
     return rows.withColumn(out, F.least(F.greatest(spot, F.lit(0)), F.lit(bins - 1)).cast("int")).drop("_lo", "_hi")
@@ -529,11 +542,9 @@ def validate_splits(df: DataFrame, splits: DataFrame, meta: DataFrame, columns:
     The size must be present and equal; the fingerprint is compared when the
     file has one; there must be folds.
     """
-    k = F.lit(0).alias("_k")
-    now = fingerprint(df, columns, row_idx).select("size", "fingerprint", k)
-    said = meta.select(F.col("size").alias("said_size"), F.col("fingerprint").alias("said_fingerprint"), k)
-    folds = splits.agg(F.countDistinct("fold").alias("folds")).select("folds", k)
-    row = now.join(said, "_k").join(folds, "_k")
+    said = meta.agg(F.max("size").alias("said_size"), F.max("fingerprint").alias("said_fingerprint"))
+    folds = splits.agg(F.countDistinct("fold").alias("folds"))
+    row = attach_row(attach_row(fingerprint(df, columns, row_idx), said), folds)
     return row.select(
         "size", "said_size", "folds",
         F.coalesce(F.col("size") == F.col("said_size"), F.lit(False)).alias("size_ok"),
