@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mutation_text import RESIDUES
+from ..session import checkpoint_dir
 from . import metrics as M
 
 UNKNOWN = "X"
@@ -112,9 +113,11 @@ def cross_validate(
     from pyspark.ml.regression import LinearRegression
 
     rows = splits.join(df.select(F.col(row_idx).cast("long").alias("row_idx"), features, F.col(label).alias("_label")), "row_idx")
-    scaled = scale_by_fold(rows, "_label").withColumn("_x", array_to_vector(F.col(features)))
+    # Every fold reads the joined rows again, so they are written once.
+    checkpoint_dir(df.sparkSession)
+    scaled = scale_by_fold(rows, "_label").withColumn("_x", array_to_vector(F.col(features))).checkpoint()
     model = LinearRegression(featuresCol="_x", labelCol="scaled", predictionCol="_p", solver="normal", regParam=reg_param)
-    folds = [r["fold"] for r in splits.select("fold").distinct().orderBy("fold").collect()]
+    folds = [r["fold"] for r in scaled.select("fold").distinct().orderBy("fold").collect()]
     out = None
     for f in folds:
         fitted = model.fit(scaled.filter((F.col("fold") == f) & (F.col("split") == "train")))
@@ -123,7 +126,7 @@ def cross_validate(
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("the split has no folds")
-    return out
+    return out.checkpoint()
 
 
 def fold_metrics(preds: DataFrame, keys: Sequence[str] = ("fold",), kd_metrics: bool = False) -> DataFrame:

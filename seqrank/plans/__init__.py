@@ -6,7 +6,9 @@ import importlib
 
 from .registry import QUERIES, Query
 
-_MODULES = ("metric_queries", "clean_queries", "mutation_queries", "scoring_queries", "split_queries", "report_queries")
+_MODULES = (
+    "metric_queries", "clean_queries", "mutation_queries", "scoring_queries", "split_queries", "report_queries", "record_queries",
+)
 
 
 def load_all() -> dict[str, Query]:

@@ -30,11 +30,11 @@ _PROPERTIES = {a: (i / 10.0, i * i / 100.0) for i, a in enumerate(H.ALPHABET)}
 
 
 @query("property_vector", "H2", f"""
-SELECT poi, chain, {rnd('avg(i / 10.0)', 'p0')}, {rnd('avg(i * i / 100.0)', 'p1')} FROM (
+SELECT poi, chain, {rnd('avg(i / 10.0)', 'p0', 9)}, {rnd('avg(i * i / 100.0)', 'p1', 9)} FROM (
 SELECT poi, chain, cast(instr('{H.ALPHABET}', substr(seq, pos, 1)) - 1 AS double) AS i FROM {{wt}}, {{positions}}) GROUP BY poi, chain""")
 def property_vector(t):
     rows = t("wt").withColumn("c", H.composition_vector("seq")).select("poi", "chain", H.property_vector("c", _PROPERTIES).alias("p"))
-    return rounded(rows.select("poi", "chain", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1")))
+    return rounded(rows.select("poi", "chain", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1")), 9)
 
 
 @query("pool_residues", "H3", f"""
@@ -81,11 +81,11 @@ def cross_validate(t):
 
 @query("predictions_table", "H7", f"""
 SELECT cast(o_orderkey % 3 + 1 AS int) AS "Fold", o_orderkey AS idx, o_orderstatus AS "Antibody", o_orderpriority AS "Antigen",
-       {rnd('pow(10, -o_totalprice / 1e5)', '"KD_true"')}, {rnd('pow(10, -o_totalprice / 2e5)', '"KD_pred"')}, {rnd('o_totalprice / 1e5', 'affinity_true_label')}, {rnd('o_totalprice / 2e5', 'affinity_pred_label')} FROM {{orders}}""")
+       {rnd('pow(10, -o_totalprice / 1e5)', '"KD_true"', 9)}, {rnd('pow(10, -o_totalprice / 2e5)', '"KD_pred"', 9)}, {rnd('o_totalprice / 1e5', 'affinity_true_label', 9)}, {rnd('o_totalprice / 2e5', 'affinity_pred_label', 9)} FROM {{orders}}""")
 def predictions_table(t):
     o = t("orders")
     preds = o.select((F.col("o_orderkey") % 3).cast("int").alias("fold"), F.col("o_orderkey").alias("row_idx"), (F.col("o_totalprice") / 1e5).alias("truth"), (F.col("o_totalprice") / 2e5).alias("pred"))
-    return rounded(H.predictions_table(preds, o.withColumn("row_idx", F.col("o_orderkey")), "o_orderstatus", "o_orderpriority"))
+    return rounded(H.predictions_table(preds, o.withColumn("row_idx", F.col("o_orderkey")), "o_orderstatus", "o_orderpriority"), 9)
 
 
 @query("residuals", "H8", f"SELECT l_orderkey, l_linenumber, fold, {rnd('pred - truth', 'residual')} FROM {{folds}}")
