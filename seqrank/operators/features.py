@@ -15,15 +15,13 @@ UNKNOWN = "X"
 ALPHABET = RESIDUES + UNKNOWN
 
 
-def _known(seq: str, max_len: int) -> str:
-    return f"regexp_replace(left({seq}, {max_len}), '[^{RESIDUES}]', '{UNKNOWN}')"
-
-
 def composition_vector(seq: str, max_len: int = 512) -> Column:
     """Mean one-hot vector over 20 residues and X; zeros for an empty sequence (H1)."""
-    s = _known(seq, max_len)
-    counts = ", ".join(f"(length({s}) - length(replace({s}, '{a}', '')))" for a in ALPHABET)
-    return F.expr(f"transform(array({counts}), n -> if(coalesce(length({seq}), 0) = 0, 0D, n / length({s})))")
+    known = f"regexp_replace(left(coalesce({seq}, ''), {max_len}), '[^{RESIDUES}]', '{UNKNOWN}')"
+    letters = ", ".join(f"'{a}'" for a in ALPHABET)
+    # The outer transform binds the cleaned text once for all letters.
+    share = "if(s = '', 0D, (length(s) - length(replace(s, a, ''))) / length(s))"
+    return F.expr(f"transform(array({known}), s -> transform(array({letters}), a -> {share}))[0]")
 
 
 def property_vector(composition: str, table: Mapping[str, Sequence[float]]) -> Column:

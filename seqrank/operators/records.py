@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordering import with_position, with_row_index
-from ..functions.text import clean_sequence, serialize_record
+from ..functions.text import END_TERMINAL, LINKER, START_TERMINAL, clean_sequence, serialize_record
 from ..session import checkpoint_dir
 from .clean import find_column, first_rows
 from .metrics import to_number
@@ -191,7 +191,9 @@ def enumerate_children(parents: DataFrame, index_base: int = 1) -> DataFrame:
         F.array_append("mutation_positions", F.col("position")).alias("mutation_positions"),
         F.array_append("mutations", F.col("mutation")).alias("mutations"),
         "parent_rank", F.expr("array_position(_spots, position)").alias("_spot"), F.right("mutation", F.lit(1)).alias("_aa"))
-    kids = kids.withColumn("serialized", serialize_record(F.col("epitope"), F.col("vh"), F.col("vl")))
+    # Parents are clean already, so the record text is a plain concatenation.
+    parts = [F.lit(START_TERMINAL), "epitope", F.lit(LINKER), "vh", F.lit(LINKER), "vl", F.lit(END_TERMINAL)]
+    kids = kids.withColumn("serialized", F.concat(*parts))
     return first_rows(kids, ["serialized"], [F.col("parent_rank"), F.col("_spot"), F.col("_aa")])
 
 

@@ -285,4 +285,4 @@ def toy_score(df: DataFrame, weights: Mapping[str, float], row_id: str, mutant:
 def token_weighted_perplexity(batches: DataFrame, loss: str = "loss", tokens: str = "tokens", groups: Sequence[str] = ()) -> DataFrame:
     """Token-weighted loss and its perplexity (D20); null without tokens."""
     mean = F.sum(F.col(loss) * F.col(tokens)) / F.nullif(F.sum(tokens), F.lit(0))
-    return batches.groupBy(*groups).agg(mean.alias("loss")).withColumn("perplexity", F.exp(F.least(F.lit(20.0), F.col("loss"))))
+    return batches.groupBy(*groups).agg(mean.alias("loss")).withColumn("perplexity", F.when(F.col("loss").isNotNull(), F.exp(F.least(F.lit(20.0), F.col("loss")))))

@@ -66,12 +66,15 @@ _PROFILES = sorted(L.PROFILE_FACTORS)
 
 
 @query("affinity_units", "B6", "SELECT row_idx, " + ", ".join(
-    rnd(f"try_cast(kd_text AS double) * ({f}) * 1e9", p, 4) for p, f in (
+    rnd(f"ln(CASE WHEN try_cast(kd_text AS double) > 0 THEN try_cast(kd_text AS double) * ({f}) * 1e9 END)", p, 8) for p, f in (
         ("ec50_table", "1e6 / 150000 * 1e-9"), ("elisa_ng_ml_trainer", "1e-9 / 150000"), ("elisa_ug_ml_table", "1 / 150e6"),
         ("elisa_ug_ml_trainer", "1e-6 / 150000"), ("ic50_ug_ml", "1000.0 / 150000 * 1e-9"), ("kd_nm", "1e-9"))) + " FROM {affinity}")
 def affinity_units(t):
-    cols = [L.affinity_to_kd(F.col("kd_text"), p)["kd_nm"].alias(p) for p in _PROFILES if p != "kd_molar"]
-    return rounded(t("affinity").select("row_idx", *cols), 4)
+    def log_nm(p):
+        nm = L.affinity_to_kd(F.col("kd_text"), p)["kd_nm"]
+        return F.log(F.when(nm > 0, nm)).alias(p)
+
+    return rounded(t("affinity").select("row_idx", *[log_nm(p) for p in _PROFILES if p != "kd_molar"]), 8)
 
 
 _MULTI = """SELECT row_idx, kd_text AS `IC50 [ug/mL]`, CASE WHEN row_idx % 2 = 0 THEN kd_text END AS `Affinity_Kd_nM`, ag_name FROM {affinity}"""

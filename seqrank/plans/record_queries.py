@@ -33,7 +33,7 @@ SELECT *, CASE WHEN instr(substr(vh, e2 + 1), HCDR3) > 0 THEN e2 + instr(substr(
 SELECT *, s2 + length(HCDR2) AS e2 FROM (
 SELECT *, CASE WHEN instr(substr(vh, s1 + length(HCDR1) + 1), HCDR2) > 0 THEN s1 + length(HCDR1) + instr(substr(vh, s1 + length(HCDR1) + 1), HCDR2) ELSE instr(vh, HCDR2) END - 1 AS s2 FROM (
 SELECT *, upper(H) AS vh, instr(upper(H), HCDR1) - 1 AS s1 FROM {raw_records})))"""
-_RECORD_COLUMNS = """row_idx, CASE WHEN trim(ID) = '' THEN 'record_' || lpad(cast(row_idx AS varchar), 5, '0') ELSE ID END AS record_id, Antigen AS target, epitope, vh, L AS vl,
+_RECORD_COLUMNS = """row_idx, CASE WHEN trim(ID) = '' THEN printf('record_%05d', row_idx) ELSE ID END AS record_id, Antigen AS target, epitope, vh, L AS vl,
  concat(s1, '-', s1 + length(HCDR1), ',', s2, '-', s2 + length(HCDR2), ',', s3, '-', s3 + length(HCDR3)) AS ranges,
  '1' || epitope || 'GGGGSGGGGSGGGGS' || vh || 'GGGGSGGGGSGGGGS' || L || '2' AS serialized"""
 _GOOD = "s1 >= 0 AND s2 >= 0 AND s3 >= 0 AND L <> '-'"
@@ -130,7 +130,7 @@ def _cands(t):
     return t.sql(_CANDS).withColumn("mutations", F.array("m", F.lit("H2C>S")))
 
 
-_TABLE_SQL = """SELECT rk AS rank, 'seed_' || lpad(cast(dense_rank() OVER (ORDER BY f) AS varchar), 5, '0') AS seed_id, 'redacted' AS target, 2 AS mutation_count, m || ';H2C>S' AS mutations,
+_TABLE_SQL = """SELECT rk AS rank, printf('seed_%05d', dense_rank() OVER (ORDER BY f)) AS seed_id, 'redacted' AS target, 2 AS mutation_count, m || ';H2C>S' AS mutations,
  printf('%.8f', score) AS log_likelihood, epitope, vh, vl, serialized FROM (SELECT *, min(rk) OVER (PARTITION BY seed_id) AS f FROM (SELECT *, row_number() OVER (ORDER BY score DESC, round, place) AS rk FROM c))"""
 
 
@@ -140,7 +140,7 @@ def candidate_table(t):
 
 
 @query("prediction_inputs", "A12", """
-SELECT 'candidate_' || lpad(cast(rk AS varchar), 3, '0') AS name, '{"name":"candidate_' || lpad(cast(rk AS varchar), 3, '0') || '","modelSeeds":[1,2,3],"sequences":[{"protein":{"id":"A","sequence":"EP"}},{"protein":{"id":"H","sequence":"VH"}},{"protein":{"id":"L","sequence":"VL"}}],"dialect":"alphafold3","version":1}' AS value
+SELECT printf('candidate_%03d', rk) AS name, '{"name":"' || printf('candidate_%03d', rk) || '","modelSeeds":[1,2,3],"sequences":[{"protein":{"id":"A","sequence":"EP"}},{"protein":{"id":"H","sequence":"VH"}},{"protein":{"id":"L","sequence":"VL"}}],"dialect":"alphafold3","version":1}' AS value
 FROM (SELECT row_number() OVER (ORDER BY score DESC, round, place) AS rk FROM c)""", {"c": _CANDS})
 def prediction_inputs(t):
     path = _scratch(t, "prediction_inputs")

@@ -12,17 +12,12 @@ from .mutation_queries import _TOKENS, _TWO
 from .scoring_queries import _WSQL, TOY_WEIGHTS
 from .split_queries import _SIMPLE
 
-_COUNT = "SELECT doc_id, {} FROM (SELECT doc_id, regexp_replace(left(text, 2000), '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g') AS s FROM {{documents}})"
-
-
-def _share(a: str) -> str:
-    return f"round(coalesce((length(s) - length(replace(s, '{a}', ''))) / nullif(length(s), 0), 0), 6) + 0.0 AS f_{a.lower()}"
-
-
-@query("composition_vector", "H1", _COUNT.format(", ".join(_share(a) for a in H.ALPHABET)).replace("{{", "{").replace("}}", "}"))
+@query("composition_vector", "H1", f"""
+SELECT doc_id, i, round(coalesce((length(s) - length(replace(s, substr('{H.ALPHABET}', i + 1, 1), ''))) / nullif(length(s), 0), 0), 6) + 0.0 AS share
+FROM (SELECT doc_id, regexp_replace(left(text, 2000), '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g') AS s FROM {{documents}}), (SELECT cast(unnest(range(0, 21)) AS int) AS i)""")
 def composition_vector(t):
-    rows = t("documents").select("doc_id", H.composition_vector("text", 2000).alias("v"))
-    return rounded(rows.select("doc_id", *[F.col("v")[i].alias(f"f_{a.lower()}") for i, a in enumerate(H.ALPHABET)]))
+    rows = t("documents").select("doc_id", F.posexplode(H.composition_vector("text", 2000)).alias("i", "share"))
+    return rounded(rows)
 
 
 # A property table from a rule: position in the alphabet and its square.

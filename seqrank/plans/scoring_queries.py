@@ -17,9 +17,10 @@ _LP = {
 }
 
 
-@query("log_softmax", "D6", f"SELECT poi, pos, aa, {rnd('logprob', 'logprob')} FROM lp", _LP)
+@query("log_softmax", "D6", f"SELECT poi, pos, {rnd('min(logprob)', 'lowest')}, {rnd('max(logprob)', 'highest')}, {rnd('sum(exp(logprob))', 'mass')} FROM lp GROUP BY poi, pos", _LP)
 def log_softmax(t):
-    return rounded(S.log_softmax(t("logits"), ["poi", "pos"]).select("poi", "pos", "aa", "logprob"))
+    out = S.log_softmax(t("logits"), ["poi", "pos"]).groupBy("poi", "pos")
+    return rounded(out.agg(F.min("logprob").alias("lowest"), F.max("logprob").alias("highest"), F.sum(F.exp("logprob")).alias("mass")))
 
 
 _D1 = {**_TOKENS, **_LP, "site": """SELECT p.rid, m.logprob - w.logprob AS d FROM parsed p JOIN {heavy_mut} h USING (rid)
@@ -174,10 +175,10 @@ def pseudo_loglik(t):
     return rounded(S.pseudo_loglik(lp, t("wt").filter("chain = 'H'"), "poi", "seq"))
 
 
-@query("residue_probability", "D15", f"SELECT poi, pos, aa, {rnd('exp(logprob)', 'probability')} FROM lp WHERE pos <= 12", _LP)
+@query("residue_probability", "D15", f"SELECT poi, aa, {rnd('avg(exp(logprob))', 'probability')}, {rnd('max(exp(logprob))', 'peak')} FROM lp WHERE pos <= 12 GROUP BY poi, aa", _LP)
 def residue_probability(t):
     out = S.residue_probability(t("logits").withColumn("len", F.lit(12)), ["poi", "pos"], "len")
-    return rounded(out.select("poi", "pos", "aa", "probability"))
+    return rounded(out.groupBy("poi", "aa").agg(F.avg("probability").alias("probability"), F.max("probability").alias("peak")))
 
 
 _MASKED = "SELECT poi, concat(substr(seq, 1, 4), '*', substr(seq, 6, 9), '*', substr(seq, 16)) AS seq FROM {wt} WHERE chain = 'L'"
@@ -197,23 +198,28 @@ def _length_model(batches):
         yield b.assign(score=b["seq"].str.len().astype("float64"))[["seq_hash", "score"]]
 
 
-_CACHED = "SELECT sha256(upper(trim(text))) AS seq_hash, -1.0E0 AS score FROM {documents} WHERE lang = 'en'"
+_CACHED = "SELECT sha256(upper(trim(replace(text, 'ß', 'SS')))) AS seq_hash FROM {documents} WHERE lang = 'en'"
+
+
+def _cache_table(t):
+    """Outputs that an earlier run left for the English texts."""
+    return t("documents").filter("lang = 'en'").select(S.sequence_hash(F.col("text")).alias("seq_hash"), F.lit(-1.0).alias("score")).distinct()
 
 
 @query("infer_with_cache", "D17", """
 SELECT doc_id, CASE WHEN seq_hash IN (SELECT seq_hash FROM cached) THEN -1.0 ELSE length(u)::double END AS score, seq_hash
 FROM (SELECT *, sha256(u) AS seq_hash FROM (SELECT doc_id, upper(trim(replace(text, 'ß', 'SS'))) AS u FROM {documents}))""", {"cached": _CACHED})
 def infer_with_cache(t):
-    cache = t.sql(_CACHED.replace("sha256(", "sha2(").replace("trim(text))) AS", "trim(text)), 256) AS")).distinct()
+    cache = _cache_table(t)
     rows, _, _ = S.infer_with_cache(t("documents").select("doc_id", "text"), "text", cache, _length_model)
     return rounded(rows.select("doc_id", "score", "seq_hash"))
 
 
 @query("infer_cache_counts", "D17", """
 SELECT count(*) FILTER (h IN (SELECT seq_hash FROM cached)) AS hits, count(*) FILTER (h NOT IN (SELECT seq_hash FROM cached)) AS misses
-FROM (SELECT DISTINCT sha256(upper(trim(text))) AS h FROM {documents})""", {"cached": _CACHED})
+FROM (SELECT DISTINCT sha256(upper(trim(replace(text, 'ß', 'SS')))) AS h FROM {documents})""", {"cached": _CACHED})
 def infer_cache_counts(t):
-    cache = t.sql(_CACHED.replace("sha256(", "sha2(").replace("trim(text))) AS", "trim(text)), 256) AS")).distinct()
+    cache = _cache_table(t)
     return S.infer_with_cache(t("documents").select("doc_id", "text"), "text", cache, _length_model)[2]
 
 

@@ -12,7 +12,7 @@ from .registry import query, rnd, rounded
 # ---------------------------------------------------------------- row index
 
 @query("row_index", "A9", """
-SELECT l_orderkey, l_linenumber, l_partkey, row_idx, 'entry_' || lpad(cast(row_idx AS varchar), 6, '0') AS entry_id FROM (
+SELECT l_orderkey, l_linenumber, l_partkey, row_idx, printf('entry_%06d', row_idx) AS entry_id FROM (
 SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS row_idx FROM {lineitem})""")
 def row_index(t):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -61,14 +61,14 @@ def attach_clusters(t):
 
 
 @query("label_clusters", "F4", """
-SELECT member, 'ab_' || lpad(cast(dense_rank() OVER (ORDER BY f) AS varchar), 4, '0') AS label
+SELECT member, printf('ab_%04d', dense_rank() OVER (ORDER BY f)) AS label
 FROM (SELECT member, min(row_idx) OVER (PARTITION BY representative) AS f FROM m)""", {"m": _MAP})
 def label_clusters(t):
     return C.label_clusters(t.sql(_MAP), "ab")
 
 
 @query("cluster_by_name", "F5", """
-SELECT doc_id, coalesce('ag_' || lpad(cast(r AS varchar), 3, '0'), 'ag_unknown') AS ag_cluster_id FROM (
+SELECT doc_id, coalesce(printf('ag_%03d', r), 'ag_unknown') AS ag_cluster_id FROM (
 SELECT doc_id, CASE WHEN n IS NOT NULL THEN dense_rank() OVER (PARTITION BY n IS NULL ORDER BY n) - 1 END AS r FROM (SELECT doc_id, CASE WHEN lang <> 'en' THEN source END AS n FROM {documents}))""")
 def cluster_by_name(t):
     docs = t("documents").select("doc_id", F.when(F.col("lang") != "en", F.col("source")).alias("n"))
@@ -124,7 +124,7 @@ def cluster_stats(t):
 # ---------------------------------------------------------------- greedy splits
 
 def _rows(missing: str) -> str:
-    value = {"group": "coalesce(cluster, '__missing_cluster__')", "drop": "cluster", "row": "coalesce(cluster, 'cluster_' || lpad(cast(row_idx AS varchar), 4, '0'))"}[missing]
+    value = {"group": "coalesce(cluster, '__missing_cluster__')", "drop": "cluster", "row": "coalesce(cluster, printf('cluster_%04d', row_idx))"}[missing]
     return f"SELECT row_idx, {value} AS cluster FROM {{clustered}}" + (" WHERE cluster IS NOT NULL" if missing == "drop" else "")
 
 
