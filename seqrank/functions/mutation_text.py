@@ -15,9 +15,9 @@ SEPARATOR = ":"
 
 
 def _lenient(text: str) -> str:
-    middle = "trim(substring(t, 2, length(t) - 2))"
-    tokens = f"filter(transform(split({text}, '{SEPARATOR}'), t -> trim(t)), t -> length(t) >= 3 AND {middle} rlike '^[+-]?[0-9]+$')"
-    return f"transform({tokens}, t -> named_struct('wt', upper(left(t, 1)), 'pos', cast({middle} AS int), 'mt', upper(right(t, 1))))"
+    number = "try_cast(substring(t, 2, length(t) - 2) AS int)"
+    tokens = f"filter(transform(split({text}, '{SEPARATOR}'), t -> trim(t)), t -> length(t) >= 3 AND {number} IS NOT NULL)"
+    return f"transform({tokens}, t -> named_struct('wt', upper(left(t, 1)), 'pos', {number}, 'mt', upper(right(t, 1))))"
 
 
 def parse_mutations(text: str) -> Column:
@@ -50,7 +50,7 @@ def mutation_problem(seq: str, text: str, start: int = 1) -> Column:
     )
     cased = _lenient(text).replace("upper(left(t, 1))", "left(t, 1)").replace("upper(right(t, 1))", "right(t, 1)")
     return F.expr(
-        f"CASE WHEN NOT forall(split({text}, '{SEPARATOR}'), t -> length(t) >= 3 AND substring(t, 2, length(t) - 2) rlike '^[+-]?[0-9]+$') "
+        f"CASE WHEN NOT forall(split({text}, '{SEPARATOR}'), t -> length(t) >= 3 AND try_cast(substring(t, 2, length(t) - 2) AS int) IS NOT NULL) "
         f"THEN concat('cannot parse mutation ', {text}) "
         f"ELSE get(filter(transform({cased}, m -> {check}), p -> p IS NOT NULL), 0) END"
     )

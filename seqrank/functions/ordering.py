@@ -1,12 +1,13 @@
 """Running totals and positions inside groups of any size.
 
 A window ``partitionBy(group).orderBy(value)`` sends a whole group to one
-task. One group may hold a third of all rows here, so every ordered
-computation goes through :func:`running_before` instead: the order is given as
-*levels* from coarse to fine, totals are built bottom-up by ordinary
-aggregation, and each window only spans the children of one coarse cell.
-The result is exact and does not depend on sampling, so a lost executor can
-recompute any part of it.
+task. That is a good plan for ordinary groups, but one group may hold a third
+of all rows. :func:`running_before` therefore gives the order as *levels* from
+coarse to fine: totals are built bottom-up by ordinary aggregation and each
+window only spans the children of one coarse cell. Row positions take the plain
+window for groups up to ``WINDOW_ROWS`` rows and the levels for larger ones.
+Both ways are exact and do not depend on sampling, so a lost executor can
+recompute any part.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from pyspark.sql import types as T
 _CELLS_PER_LOG = 16384.0
 _MAGNITUDE_SCALE = 2.0**40
 
+# Largest group that one window may hold. At most rows / WINDOW_ROWS groups are
+# larger, which bounds the broadcast list of their keys (a trillion rows: 250
+# thousand keys).
+WINDOW_ROWS = 4_000_000
+
 
 def magnitude_cell(c: Column) -> Column:
     """A monotone integer cell of a numeric value (about 11k cells per octave).
@@ -34,11 +40,11 @@ def magnitude_cell(c: Column) -> Column:
 
 
 def _cells(t: T.DataType, name: str) -> list[tuple[str, Column]]:
-    """Coarse cells above a value: two prefixes of text (for md5: 4 096 and then
-    4 096 children), the day of a time, the magnitude cell of a number."""
+    """Coarse cells above a value: a prefix of text (65 536 cells of a digest),
+    the day of a time, the magnitude cell of a number."""
     c = F.col(name)
     if isinstance(t, T.StringType):
-        return [(f"p{width}", F.substring(c, 1, width)) for width in (3, 6)]
+        return [("p4", F.substring(c, 1, 4))]
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         return [("day", F.date_trunc("day", c))]
     if isinstance(t, (T.BooleanType, T.ByteType, T.ShortType, T.DateType)):
@@ -84,51 +90,68 @@ def group_key(groups: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in groups]) if groups else F.struct(F.lit(0).alias("all"))
 
 
+def _earlier(w: str, order: Sequence[str]) -> Column:
+    span = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(w).over(span), F.lit(0))
+
+
+def _plain_running(df: DataFrame, levels: list[str], weights: list[str], totals: bool) -> DataFrame:
+    """One window per group; ``df`` carries its group as ``_k``."""
+    return df.select(
+        "*",
+        *[_earlier(w, levels).alias(f"before_{w}") for w in weights],
+        *([F.sum(w).over(Window.partitionBy("_k")).alias(f"total_{w}") for w in weights] if totals else []),
+    )
+
+
+def _leveled_running(df: DataFrame, groups: list[str], levels: list[str], weights: list[str], totals: bool) -> DataFrame:
+    """Windows over the children of one coarse cell each."""
+    columns, coarse = {len(levels): df.columns}, {len(levels): df}
+    for depth in range(len(levels) - 1, 0, -1):
+        keys = groups + levels[:depth]
+        coarse[depth] = coarse[depth + 1].groupBy(*keys).agg(*[F.sum(w).alias(w) for w in weights])
+        columns[depth] = keys + weights
+    out = _plain_running(coarse[1].withColumn("_k", group_key(groups)), levels[:1], weights, totals)
+    for depth in range(2, len(levels) + 1):
+        keys = groups + levels[: depth - 1]
+        carried = [F.col(f"total_{w}") for w in weights] if totals else []
+        up = out.select(group_key(keys).alias("_k"), *[F.col(f"before_{w}").alias(f"_up_{w}") for w in weights], *carried)
+        out = coarse[depth].withColumn("_k", group_key(keys)).join(up, "_k").select(
+            *columns[depth],
+            *[(F.col(f"_up_{w}") + _earlier(w, levels[depth - 1 : depth])).alias(f"before_{w}") for w in weights],
+            *carried,
+        )
+    return out
+
+
 def running_before(
     df: DataFrame,
     groups: Sequence[str],
     levels: Sequence[str],
     weights: Sequence[str],
     totals: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """Add ``before_<w>`` (sum over strictly earlier cells) and ``total_<w>``.
 
-    ``df`` holds one row per ``groups + levels``. Windows span the children of
-    one coarse cell only. Columns other than groups, levels and weights are
-    carried along.
+    ``df`` holds one row per ``groups + levels``; other columns are carried
+    along. Without ``split`` every group goes through the levels and the input
+    is read once, which suits histograms that come out of a longer plan. With
+    ``split`` only groups above ``WINDOW_ROWS`` do; that reads the input again
+    for the counts, which suits rows that come straight from a table. With
+    adaptive execution the leveled branch disappears when no group is large.
     """
     groups, levels, weights = list(groups), list(levels), list(weights)
-    columns = {len(levels): df.columns}
-    coarse = {len(levels): df}
-    for depth in range(len(levels) - 1, 0, -1):
-        keys = groups + levels[:depth]
-        coarse[depth] = coarse[depth + 1].groupBy(*keys).agg(*[F.sum(w).alias(w) for w in weights])
-        columns[depth] = keys + weights
-
-    def keyed(depth: int) -> DataFrame:
-        return coarse[depth].withColumn("_k", group_key(groups + levels[: depth - 1]))
-
-    def earlier(w: str, depth: int) -> Column:
-        span = Window.partitionBy("_k").orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(w).over(span), F.lit(0))
-
-    out = keyed(1).select(
-        *columns[1],
-        *[earlier(w, 1).alias(f"before_{w}") for w in weights],
-        *([F.sum(w).over(Window.partitionBy("_k")).alias(f"total_{w}") for w in weights] if totals else []),
-    )
-    for depth in range(2, len(levels) + 1):
-        up = out.select(
-            group_key(groups + levels[: depth - 1]).alias("_k"),
-            *[F.col(f"before_{w}").alias(f"_up_{w}") for w in weights],
-            *([F.col(f"total_{w}") for w in weights] if totals else []),
-        )
-        out = keyed(depth).join(up, "_k").select(
-            *columns[depth],
-            *[(F.col(f"_up_{w}") + earlier(w, depth)).alias(f"before_{w}") for w in weights],
-            *([F.col(f"total_{w}") for w in weights] if totals else []),
-        )
-    return out
+    added = [f"before_{w}" for w in weights] + ([f"total_{w}" for w in weights] if totals else [])
+    keyed = df.withColumn("_k", group_key(groups))
+    if len(levels) == 1:
+        return _plain_running(keyed, levels, weights, totals).select(*df.columns, *added)
+    if not split:
+        return _leveled_running(df, groups, levels, weights, totals).select(*df.columns, *added)
+    large = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > WINDOW_ROWS).select("_k")
+    small = _plain_running(keyed.join(F.broadcast(large), "_k", "left_anti"), levels, weights, totals)
+    deep = _leveled_running(keyed.join(F.broadcast(large), "_k", "left_semi").drop("_k"), groups, levels, weights, totals)
+    return small.select(*df.columns, *added).unionByName(deep.select(*df.columns, *added))
 
 
 def with_position(
@@ -141,11 +164,11 @@ def with_position(
     """0-based position of every row inside its group under a *total* order.
 
     ``order`` must identify rows inside the group (the last column breaks all
-    ties); no window ever holds a whole group.
+    ties). Text columns should have spread prefixes, as digests do.
     """
     one = "_one"
     leveled, levels = order_levels(df.withColumn(one, F.lit(1).cast("long")), order)
-    placed = running_before(leveled, groups, levels, [one], totals=total is not None)
+    placed = running_before(leveled, groups, levels, [one], totals=total is not None, split=True)
     extra = [F.col(f"total_{one}").alias(total)] if total else []
     return placed.select(*[F.col(c) for c in df.columns], F.col(f"before_{one}").cast("long").alias(name), *extra)
 

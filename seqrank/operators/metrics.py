@@ -1,7 +1,7 @@
 """Ranking and regression metrics per group.
 
 All ranks come from value histograms (``group, value, count``) and
-:func:`running_before`, so the largest group is never sorted in one task.
+:func:`running_before`, so an oversized group is never sorted in one task.
 Metrics return one row per group; an undefined metric is null.
 """
 

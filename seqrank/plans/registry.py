@@ -182,15 +182,14 @@ def _token(seq: str, pos: str, new: str) -> str:
 
 
 fixture("heavy_mut", f"""
-SELECT {_LINE_ID} AS rid, concat('p', cast(l_partkey as string)) AS poi, l_extendedprice AS label,
-       {chain_sequence('H', 'l_partkey')} AS seq,
+SELECT rid, poi, label, seq,
        CASE WHEN l_orderkey % 41 = 0 THEN 'WT'
             WHEN l_orderkey % 43 = 0 THEN 'bad'
             WHEN l_orderkey % 47 = 0 THEN concat('A', cast(40 + l_linenumber as string), 'T')
-            WHEN l_orderkey % 3 = 0 AND {_SITE1} <> {_SITE2}
-            THEN concat({_token(chain_sequence('H', 'l_partkey'), _SITE1, _NEW1)}, ':', {_token(chain_sequence('H', 'l_partkey'), _SITE2, _NEW2)})
-            ELSE {_token(chain_sequence('H', 'l_partkey'), _SITE1, _NEW1)} END AS mutant
-FROM {{lineitem}}
+            WHEN l_orderkey % 3 = 0 AND p1 <> p2 THEN concat({_token('seq', 'p1', _NEW1)}, ':', {_token('seq', 'p2', _NEW2)})
+            ELSE {_token('seq', 'p1', _NEW1)} END AS mutant
+FROM (SELECT {_LINE_ID} AS rid, concat('p', cast(l_partkey as string)) AS poi, l_extendedprice AS label, l_orderkey, l_linenumber, l_partkey,
+             {chain_sequence('H', 'l_partkey')} AS seq, {_SITE1} AS p1, {_SITE2} AS p2 FROM {{lineitem}}) l
 """)
 
 # Multi-chain assay rows: chain maps are written as literals, one row in 211
@@ -201,18 +200,18 @@ def _literal_map(**values: str) -> str:
     return f"concat(chr(123), {body}, chr(125))"
 
 
-_SEQ_MAP = _literal_map(**{c: chain_sequence(c, "l_partkey") for c in "HLA"})
 _MUT_MAP = _literal_map(
-    H=f"CASE WHEN l_linenumber % 3 = 0 OR l_orderkey % 3 = 0 THEN {_token(chain_sequence('H', 'l_partkey'), _SITE1, _NEW1)} ELSE '' END",
-    L=f"CASE WHEN l_linenumber % 3 = 1 THEN {_token(chain_sequence('L', 'l_partkey'), _SITE2, _NEW2)} WHEN l_linenumber % 3 = 2 THEN 'nan' ELSE '' END",
-    A=f"CASE WHEN l_linenumber % 3 = 2 AND l_partkey % 2 = 0 THEN {_token(chain_sequence('A', 'l_partkey'), _SITE1, _NEW2)} ELSE '' END",
+    H=f"CASE WHEN l_linenumber % 3 = 0 OR l_orderkey % 3 = 0 THEN {_token('h', 'p1', _NEW1)} ELSE '' END",
+    L=f"CASE WHEN l_linenumber % 3 = 1 THEN {_token('l', 'p2', _NEW2)} WHEN l_linenumber % 3 = 2 THEN 'nan' ELSE '' END",
+    A=f"CASE WHEN l_linenumber % 3 = 2 AND l_partkey % 2 = 0 THEN {_token('a', 'p1', _NEW2)} ELSE '' END",
 )
 fixture("assay", f"""
-SELECT {_LINE_ID} AS rid, concat('p', cast(l_partkey as string)) AS poi, l_extendedprice AS label,
-       CASE l_partkey % 4 WHEN 0 THEN 'HLA' WHEN 1 THEN 'H,L,A' WHEN 2 THEN 'A L H' ELSE '' END AS chain_id,
-       {_SEQ_MAP} AS wildtype_sequence,
+SELECT rid, poi, label, CASE l_partkey % 4 WHEN 0 THEN 'HLA' WHEN 1 THEN 'H,L,A' WHEN 2 THEN 'A L H' ELSE '' END AS chain_id,
+       {_literal_map(H='h', L='l', A='a')} AS wildtype_sequence,
        CASE WHEN l_orderkey % 211 = 0 THEN 'A5T' WHEN l_orderkey % 223 = 0 THEN '' ELSE {_MUT_MAP} END AS mutant
-FROM {{lineitem}}
+FROM (SELECT {_LINE_ID} AS rid, concat('p', cast(l_partkey as string)) AS poi, l_extendedprice AS label, l_orderkey, l_linenumber, l_partkey,
+             {chain_sequence('H', 'l_partkey')} AS h, {chain_sequence('L', 'l_partkey')} AS l, {chain_sequence('A', 'l_partkey')} AS a,
+             {_SITE1} AS p1, {_SITE2} AS p2 FROM {{lineitem}}) x
 """)
 
 fixture("residues", " UNION ALL ".join(f"SELECT '{a}' AS aa" for a in "ACDEFGHIKLMNPQRSTVWY"))

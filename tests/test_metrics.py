@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqrank.functions import ordering
 from seqrank.functions.ordering import with_position, with_row_index
 from seqrank.operators import clean as C
 from seqrank.operators import metrics as M
@@ -140,11 +141,21 @@ def test_r2_and_concordance_edges(spark):
     assert all(r["ccc"] is None for r in M.concordance(df, ["g"], "t", "p").collect())
 
 
-def test_positions_with_a_hot_group_and_hot_value(spark):
-    df = spark.range(30000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 50 AS string)) AS g", "if(id % 2 = 0, 1D, id / 7D) AS v")
-    bad = with_position(df, ["g"], ["v", "id"], "pos").withColumn(
-        "want", F.expr("row_number() OVER (PARTITION BY g ORDER BY v, id) - 1")).filter("pos <> want").count()
-    assert bad == 0
+@pytest.fixture(params=["plain", "leveled"])
+def way(request, monkeypatch):
+    """Both ways of ordering: with and without groups above the window limit."""
+    if request.param == "leveled":
+        monkeypatch.setattr(ordering, "WINDOW_ROWS", 8)
+    return request.param
+
+
+def test_positions_with_a_hot_group_and_hot_value(spark, way):
+    df = spark.range(30000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 50 AS string)) AS g", "if(id % 2 = 0, 1D, id / 7D) AS v", "md5(cast(id AS string)) AS h")
+    for order in (["v", "id"], ["h"], ["v", "h", "id"]):
+        bad = with_position(df, ["g"], order, "pos", total="n").withColumn(
+            "want", F.expr(f"row_number() OVER (PARTITION BY g ORDER BY {', '.join(order)}) - 1")).withColumn(
+            "all", F.expr("count(*) OVER (PARTITION BY g)")).filter("pos <> want OR n <> all").count()
+        assert bad == 0
 
 
 def test_row_index_is_dense(spark):
