@@ -104,7 +104,7 @@ def cross_validate(
 ) -> DataFrame:
     """Test predictions of a linear regression per fold on the scaled label (H6).
 
-    A linear model stands in for the reference's neural head. Returns ``fold,
+    A linear model stands in for a neural head. Returns ``fold,
     row_idx, truth, pred``; metrics come from the metric operators.
     """
     from pyspark.ml.functions import array_to_vector
