@@ -45,8 +45,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-# Time cells: the first from 0, then each three times as long as all before.
-_CELL_END = np.array([4.0**i for i in range(-5, 32)])
+# Time cells: the first from 0, then each as long as all before.
+_CELL_END = np.array([2.0**i for i in range(-9, 50)])
 _CELL_START = np.append(0.0, _CELL_END[:-1])
 
 
@@ -71,12 +71,11 @@ class Hasher:
     def __call__(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        for w in set(words) - seen.keys():
-            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter((seen[w] for w in words), dtype=_U, count=len(words))
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        for w in set(words).difference(self.seen):
+            self.seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(self.seen.__getitem__, words), dtype=_U, count=len(words))
 
 
 def shingles(text: str, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -91,68 +90,65 @@ def shingles(text: str, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(out, return_counts=True)
 
 
-def darts(items: np.ndarray, weights: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Darts of one time cell: coordinate, time and identity.
+def signatures_of(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """One row per weighted set: the identity (32 bits) of the earliest dart of each coordinate.
 
     Weight regions are [0, 1), [1, 2), [2, 4), ...; the number of darts of a region in
-    a cell is a Poisson draw by hash, each dart has a hashed weight, and only darts
-    below the weight of the element count.
+    a time cell is a Poisson draw by hash, each dart has a hashed weight, and only
+    darts below the weight of the element count. Cells are opened in order of time
+    until every coordinate is filled; all sets are worked on together.
     """
-    length = _CELL_END[cell] - _CELL_START[cell]
-    got = []
-    level, low, high = 0, 0.0, 1.0
-    inside = np.ones(len(items), bool)
-    while inside.any():
-        x, w = items[inside], weights[inside]
-        mean = length * (high - low)
-        if mean not in _TABLES:
-            _TABLES[mean] = _poisson_table(mean)
-        seed = _mix(x + _U((cell * 64 + level + 1) * int(_GOLD) % 2**64))
-        n = np.searchsorted(_TABLES[mean], (seed >> _U(32)).astype(np.float64), side="right")
-        hit = np.flatnonzero(n)
-        if len(hit):
-            at = np.repeat(hit, n[hit])
-            order = np.arange(len(at)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
+    k = COORDINATES
+    out, filled = np.zeros(len(sets) * k, np.uint32), np.zeros(len(sets) * k, bool)
+    sizes = np.array([len(x) for x, _ in sets], np.int64)
+    filled.reshape(-1, k)[sizes == 0] = True
+    items = np.concatenate([x for x, _ in sets] or [np.empty(0, _U)])
+    weights = np.concatenate([w for _, w in sets] or [np.empty(0)]).astype(np.float64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    cell = 0
+    while len(items):
+        length = _CELL_END[cell] - _CELL_START[cell]
+        found = []
+        level, low, high = 0, 0.0, 1.0
+        x, w, who = items, weights, owner
+        while len(x):
+            mean = length * (high - low)
+            if mean not in _TABLES:
+                _TABLES[mean] = _poisson_table(mean)
+            steps = _TABLES[mean]
+            seed = _mix(x + _U((cell * 64 + level + 1) * int(_GOLD) % 2**64))
+            hit = np.flatnonzero(seed >= _U(min(int(steps[0] * 2.0**32), 2**64 - 1)))
+            n = np.searchsorted(steps, seed[hit] / 2.0**32, side="right")
+            at = np.repeat(hit, n)
+            order = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             one = _mix(seed[at] + (order.astype(_U) + _U(1)) * _U(0xD1B54A32D192ED03))
+            place = who[at] * k + ((one >> _U(32)) * _U(k) >> _U(32)).astype(np.int64)
+            open_ = ~filled[place]
+            at, one, place = at[open_], one[open_], place[open_]
             two = _mix(one + _GOLD)
-            keep = low + (two >> _U(32)).astype(np.float64) / 2.0**32 * (high - low) < w[at]
-            got.append((one[keep], two[keep]))
-        level, low, high = level + 1, high, high * 2
-        inside = weights > low
-    if not got:
-        return np.empty(0, np.int64), np.empty(0), np.empty(0, _U)
-    one, two = (np.concatenate(a) for a in zip(*got))
-    coordinate = ((one >> _U(32)) * _U(COORDINATES) >> _U(32)).astype(np.int64)
-    time = _CELL_START[cell] + ((one & _U(0xFFFFFFFF)).astype(np.float64) + (two & _U(0xFFFFFFFF)).astype(np.float64) / 2.0**32) / 2.0**32 * length
-    return coordinate, time, _mix(one ^ two)
-
-
-def signature(items: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Identity (32 bits) of the earliest dart of each coordinate."""
-    out = np.zeros(COORDINATES, np.uint32)
-    if not len(items):
-        return out
-    weights = weights.astype(np.float64)
-    filled = np.zeros(COORDINATES, bool)
-    cell = 0
-    while not filled.all():
-        c, t, who = darts(items, weights, cell)
-        order = np.argsort(-t, kind="stable")
-        fresh = np.zeros(COORDINATES, np.uint32)
-        fresh[c[order]] = (who[order] >> _U(32)).astype(np.uint32)
-        hit = np.zeros(COORDINATES, bool)
-        hit[c] = True
-        new = hit & ~filled
-        out[new] = fresh[new]
-        filled |= hit
+            keep = low + (two >> _U(32)) / 2.0**32 * (high - low) < w[at]
+            one, two, place = one[keep], two[keep], place[keep]
+            time = _CELL_START[cell] + ((one & _U(0xFFFFFFFF)) + (two & _U(0xFFFFFFFF)) / 2.0**32) / 2.0**32 * length
+            found.append((place, time, (_mix(one ^ two) >> _U(32)).astype(np.uint32)))
+            level, low, high = level + 1, high, high * 2
+            more = w > low
+            x, w, who = x[more], w[more], who[more]
+        place, time, name = (np.concatenate(a) for a in zip(*found))
+        order = np.argsort(-time, kind="stable")
+        out[place[order]] = name[order]
+        filled[place] = True
+        waiting = ~filled.reshape(-1, k).all(1)
+        more = waiting[owner]
+        items, weights, owner = items[more], weights[more], owner[more]
         cell += 1
-    return out
+    return out.reshape(-1, k)
 
 
-def bands_of(sig: np.ndarray) -> np.ndarray:
-    h = np.arange(BANDS, dtype=_U) * _GOLD
+def bands_of(sigs: np.ndarray) -> np.ndarray:
+    """Band keys of each signature row."""
+    h = np.repeat((np.arange(BANDS, dtype=_U) * _GOLD)[None, :], len(sigs), axis=0)
     for r in range(ROWS):
-        h = _mix(h + sig[r::ROWS][:BANDS].astype(_U) + _U(r))
+        h = _mix(h + sigs[:, r::ROWS].astype(_U) + _U(r))
     return h.view(np.int64)
 
 
@@ -174,12 +170,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches):
         hasher = Hasher()
         for part in chunks(batches, "text"):
-            sig, bands = [], []
-            for text in texts_of(part):
-                items, counts = shingles(text, hasher)
-                s = signature(items, counts)
-                sig.append(s.tobytes() if len(items) else None)
-                bands.append(bands_of(s) if len(items) else [])
+            sets = [shingles(t, hasher) for t in texts_of(part)]
+            rows = signatures_of(sets)
+            sig = [s.tobytes() if len(x) else None for s, (x, _) in zip(rows, sets)]
+            bands = [b if len(x) else [] for b, (x, _) in zip(bands_of(rows), sets)]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "node": part.column(1), "sig": pa.array(sig, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     return keyed(docs).mapInArrow(run, "doc_id long, node binary, sig binary, bands array<long>")
