@@ -8,10 +8,12 @@ minima over sum of maxima). Signatures are joined by bands; candidates are
 compared by signature and then exactly, and linked texts (0.8 or more) form
 classes.
 
-No pair list of a group is made: in each band bucket members meet a pivot, linked
-ones are contracted to components, and only members of different components meet
-again (a few rounds with new pivots, then all that are left, so no link between
-different texts is lost to the grouping). Equal texts are one node from the start.
+No pair list of a group is made: in each band bucket members meet one pivot, and
+linked ones are contracted to components. Where a bucket still holds several
+components, its members are dealt to cells of bounded size; a cell compares all
+its pairs of different components and returns a spanning forest of the links, so no
+link between different texts is lost to the grouping. Equal texts are one node
+from the start.
 
 A null text is empty; equal texts are one class, empty ones too. Texts of fewer than
 five words are one shingle. Of a null id the class is that of its text. Rows and
@@ -33,7 +35,8 @@ BANDS, ROWS = 28, 5
 COORDINATES = BANDS * ROWS
 # Signature agreement below this is no candidate: four and a half standard deviations under 0.8.
 AGREE = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
-PIVOT_ROUNDS = 3
+# Rows of a block when a bucket is compared as a whole.
+CELL_ROWS = 512
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -152,11 +155,18 @@ def bands_of(sigs: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - shared
-    return float(shared / total) if total else 1.0
+def unit_set(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A weighted set as a plain one: the n-th copy of an element has a name of its own
+    (32 bits), so set similarity of the names is the weighted Jaccard similarity."""
+    total = int(counts.sum())
+    copy = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort((_mix(np.repeat(items, counts) + copy.astype(_U) * _GOLD) >> _U(32)).astype(np.uint32))
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - shared
+    return shared / total if total else 1.0
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -225,33 +235,135 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(keep, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose exact similarity is at least ``SIMILARITY``."""
-    rows = pairs.join(texts.toDF("a", "xa", "wa"), "a").join(texts.toDF("b", "xb", "wb"), "b").select("a", "b", "xa", "wa", "xb", "wb")
+    rows = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
 
     def keep(batches):
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[2:]]
-            ok = [weighted_jaccard((np.frombuffer(p, _U), np.frombuffer(q, np.uint32).astype(np.int64)), (np.frombuffer(r, _U), np.frombuffer(s, np.uint32).astype(np.int64))) >= SIMILARITY
-                  for p, q, r, s in zip(*cols)]
+            ok = [likeness(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= SIMILARITY for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return rows.mapInArrow(keep, "a binary, b binary")
 
 
-def _weighted_sets(docs: DataFrame, seen: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, items, counts`` of the nodes in ``wanted``, from the row with the smallest id."""
+def _unit_sets(docs: DataFrame, seen: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, units`` of the nodes in ``wanted``, from the row with the smallest id."""
     owner = seen.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc"))
 
     def run(batches):
         hasher = Hasher()
         for part in chunks(batches, "text"):
-            got = [shingles(t, hasher) for t in texts_of(part)]
-            yield pa.RecordBatch.from_pydict({
-                "node": part.column(0), "items": pa.array([x.tobytes() for x, _ in got], pa.binary()), "counts": pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())})
+            got = [unit_set(*shingles(t, hasher)) for t in texts_of(part)]
+            yield pa.RecordBatch.from_pydict({"node": part.column(0), "units": pa.array([x.tobytes() for x in got], pa.binary())})
 
     rows = keyed(docs).join(owner, "node").where(F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "text")
-    return rows.mapInArrow(run, "node binary, items binary, counts binary")
+    return rows.mapInArrow(run, "node binary, units binary")
+
+
+def _in_cells(members: DataFrame, fn, schema: str, carried: list[str]) -> DataFrame:
+    """Run ``fn`` on each pair of blocks of a band's members (``band, node, comp, ...``).
+
+    A bucket is dealt by hash to blocks of about ``CELL_ROWS`` rows; a cell holds two
+    blocks (or one, for pairs inside it), so a bucket of any size is spread over many
+    tasks and no task sees more than two blocks. ``fn`` gets the columns of a
+    cell and the masks of its two sides.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("nb"))
+    dealt = members.join(blocks, "band").withColumn("blk", F.pmod(F.xxhash64("node"), "nb").cast("int")).withColumn("x", F.explode(F.expr("sequence(0, nb - 1)")))
+    celled = dealt.select("band", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "blk", "node", "comp", *carried)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = celled.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def cells(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            key = np.stack([t.column(c).to_numpy() for c in range(3)])
+            cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+            for a, b in zip(cut, cut[1:]):
+                yield t.slice(a, b - a)
+            held = t.slice(cut[-1]).combine_chunks()
+        if held is not None:
+            yield held
+
+    def run(batches):
+        out = {f.name: [] for f in arrow}
+        for t in cells(batches):
+            if t.num_rows < 2:
+                continue
+            for row in fn(t):
+                for name, v in zip(out, row):
+                    out[name].append(v)
+            if len(next(iter(out.values()))) > 5000:
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                out = {f.name: [] for f in arrow}
+        yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    return placed.mapInArrow(run, schema)
+
+
+def _near_pairs(t: pa.Table) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of a cell: of different components, agreeing in enough
+    coordinates, and not already met in an earlier band; best first."""
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    blk = t.column("blk").to_numpy()
+    node, comp = t.column("node").to_pylist(), t.column("comp").to_pylist()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    number = {c: n for n, c in enumerate(dict.fromkeys(comp))}
+    group = np.array([number[c] for c in comp])
+    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+    keys = bands_of(sig)
+    at = int(np.flatnonzero(keys[0] == t.column("band")[0].as_py())[0])
+    found = []
+    for a in left:
+        b = right[(right > a) if i == j else slice(None)]
+        b = b[group[b] != group[a]]
+        if not len(b):
+            continue
+        agree = (sig[b] == sig[a]).mean(1)
+        b, agree = b[agree >= AGREE], agree[agree >= AGREE]
+        first = (keys[b] == keys[a]).argmax(1) == at
+        found.append((np.full(first.sum(), a), b[first], agree[first]))
+    if not found:
+        return node, comp, *(np.empty(0, int),) * 2, np.empty(0)
+    a, b, agree = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-agree, kind="stable")
+    return node, comp, a[order], b[order], agree[order]
+
+
+def _suspects(t: pa.Table):
+    """Members of a cell that have a candidate partner."""
+    node, _, a, b, _ = _near_pairs(t)
+    band = t.column("band")[0].as_py()
+    for k in np.unique(np.concatenate([a, b])):
+        yield band, node[k]
+
+
+def _links(t: pa.Table):
+    """Verified links of a cell that join its components: a spanning forest, not all pairs."""
+    node, comp, a, b, _ = _near_pairs(t)
+    units = t.column("units").to_pylist()
+    root = {c: c for c in comp}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(comp[x]), find(comp[y])
+        if p != q and likeness(np.frombuffer(units[x], np.uint32), np.frombuffer(units[y], np.uint32)) >= SIMILARITY:
+            root[p] = q
+            yield node[x], node[y]
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -262,28 +374,24 @@ def classes(docs: DataFrame) -> DataFrame:
     member = nodes.select("node", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1").select("band", "pivot")
     buckets = written(member.join(shared, "band").select("band", "node", "pivot"), "buckets")
-    wanted = buckets.select("node").distinct()
-    texts = written(_weighted_sets(docs, seen, wanted), "shingle-sets")
 
-    links, known = None, None
+    # Members of a bucket meet its smallest node.
     pairs = buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    left = buckets.select("band", "node")
-    for turn in range(PIVOT_ROUNDS + 1):
-        fresh = written(_verified(_agreeing(pairs, nodes), texts), f"links-{turn}")
-        links = fresh if links is None else links.unionByName(fresh)
-        known = written(components(links, f"components-{turn}"), f"component-map-{turn}")
-        if turn == PIVOT_ROUNDS:
-            break
-        # Buckets that still hold more than one component.
-        placed = left.join(known, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).alias("p")).where("x <> y")
-        if turn < PIVOT_ROUNDS - 1:
-            pairs = placed.join(open_, "band").where(F.col("comp") != F.col("p.comp")).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-        else:
-            rest = placed.join(open_.select("band"), "band")
-            other = rest.toDF("band", "other", "other_comp")
-            pairs = rest.join(other, "band").where("comp < other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    agreeing = written(_agreeing(pairs, nodes), "agreeing")
+    ends = agreeing.select(F.col("a").alias("node")).unionByName(agreeing.select(F.col("b").alias("node"))).distinct()
+    links = written(_verified(agreeing, _unit_sets(docs, seen, ends)), "pivot-links")
+    known = written(components(links, "pivots"), "pivot-components")
+
+    # Members of different components meet where a bucket still holds several.
+    placed = buckets.join(known, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+    sig = nodes.select("node", "sig")
+    open_ = placed.join(mixed, "band").join(sig, "node").select("band", "node", "comp", "sig")
+    suspects = written(_in_cells(open_, _suspects, "band long, node binary", ["sig"]).distinct(), "suspects")
+    sets = _unit_sets(docs, seen, suspects.select("node").distinct())
+    last = placed.join(suspects, ["band", "node"]).join(sig, "node").join(sets, "node").select("band", "node", "comp", "sig", "units")
+    more = written(_in_cells(last, _links, "a binary, b binary", ["sig", "units"]), "cell-links")
+    known = written(components(links.unionByName(more), "all"), "components")
 
     whole = ids.join(known, "node", "left").select("node", "least", "n", F.coalesce("comp", "node").alias("comp"))
     groups = whole.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
