@@ -84,10 +84,10 @@ class Index:
 
     def enough(self, x: np.ndarray, cover: float, r: np.random.Generator) -> int:
         """Lists to probe so that ``cover`` of the sample's true neighbours lie in them."""
-        pick = np.sort(r.choice(len(x), min(400, len(x)), replace=False))
-        scores = self.sample[pick] @ self.sample.T
+        pick = np.sort(r.choice(len(x), min(200, len(x)), replace=False))
+        scores = (self.sample[pick] @ self.sample.T).astype(np.float32)
         scores[np.arange(len(pick)), pick] = -np.inf
-        top = np.argsort(-scores, axis=1)[:, :self.k]
+        top = np.argpartition(scores, -min(self.k, len(x)), axis=1)[:, -self.k:]
         order = self.order(self.rotated(self.sample[pick], True))
         rank = np.argsort(order, axis=1)
         found = np.sort(np.take_along_axis(rank, self.nearest(x, self.centres)[top], 1).ravel())
