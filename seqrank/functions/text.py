@@ -33,7 +33,7 @@ def clean_sequence(c: Column, mode: str = "trim") -> Column:
         return F.nullif(out, F.lit(""))
     if mode == "strict":
         out = F.upper(F.regexp_replace(text, r"[\s\-_.]", ""))
-        return F.when(out.rlike("^[A-Z]+$"), out)
+        return F.when(out.rlike("^[A-IK-Z]+$"), out)
     raise ValueError(f"unknown mode {mode!r}")
 
 

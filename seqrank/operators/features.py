@@ -15,9 +15,13 @@ UNKNOWN = "X"
 ALPHABET = RESIDUES + UNKNOWN
 
 
-def composition_vector(seq: str, max_len: int = 512) -> Column:
-    """Mean one-hot vector over 20 residues and X; zeros for an empty sequence (H1)."""
-    known = f"regexp_replace(left(coalesce({seq}, ''), {max_len}), '[^{RESIDUES}]', '{UNKNOWN}')"
+def composition_vector(seq: str) -> Column:
+    """Mean one-hot vector over 20 residues and X; zeros for an empty sequence (H1).
+
+    The whole sequence counts, after cleaning: letters only, upper case, X for
+    every letter that is no residue.
+    """
+    known = f"regexp_replace(upper(regexp_replace(coalesce({seq}, ''), '[^A-Za-z]', '')), '[^{RESIDUES}]', '{UNKNOWN}')"
     letters = ", ".join(f"'{a}'" for a in ALPHABET)
     # The outer transform binds the cleaned text once for all letters.
     share = "if(s = '', 0D, (length(s) - length(replace(s, a, ''))) / length(s))"
@@ -114,7 +118,7 @@ def cross_validate(
     # Every fold reads the joined rows again, so they are written once.
     checkpoint_dir(df.sparkSession)
     scaled = scale_by_fold(rows, "_label").withColumn("_x", array_to_vector(F.col(features))).checkpoint()
-    model = LinearRegression(featuresCol="_x", labelCol="scaled", predictionCol="_p", solver="normal", regParam=reg_param)
+    model = LinearRegression(featuresCol="_x", labelCol="scaled", predictionCol="_p", solver="auto", regParam=reg_param)
     folds = [r["fold"] for r in scaled.select("fold").distinct().orderBy("fold").collect()]
     out = None
     for f in folds:

@@ -38,9 +38,12 @@ def clean_assay(
 
 
 def chain_map(text: str) -> str:
-    """SQL of a chain map from its literal text; null for plain mutation strings."""
+    """SQL of a chain map from its literal text; null for plain mutation strings.
+
+    Text that starts like a literal and doesn't parse is an error.
+    """
     json = f"regexp_replace(translate({text}, '\\'', '\"'), ':\\\\s*None', ': null')"
-    return f"CASE WHEN ltrim({text}) LIKE '{{%' THEN from_json({json}, 'map<string,string>') END"
+    return f"CASE WHEN ltrim({text}) LIKE '{{%' THEN coalesce(from_json({json}, 'map<string,string>'), raise_error(concat('malformed chain map: ', {text}))) END"
 
 
 def chain_order(text: str) -> str:
@@ -53,7 +56,7 @@ def chain_order(text: str) -> str:
 
 def _parsed(df: DataFrame, poi: str, mutant: str) -> DataFrame:
     return df.withColumn("_muts", F.expr(chain_map(mutant))).withColumn(
-        "_global", F.expr(f"CASE WHEN _muts IS NULL AND {mutant} IS NOT NULL AND lower(trim({mutant})) NOT IN {_EMPTY} THEN trim({mutant}) END"))
+        "_global", F.expr(f"CASE WHEN _muts IS NULL AND {mutant} IS NOT NULL AND lower(trim({mutant})) NOT IN {_EMPTY} THEN regexp_replace(trim({mutant}), '^([\\\\x22\\\\x27])(.*)\\\\1$', '$2') END"))
 
 
 def _touched() -> Column:

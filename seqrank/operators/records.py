@@ -213,6 +213,8 @@ def beam_search(
     is carried; every round is cut by a checkpoint.
     """
     checkpoint_dir(records.sparkSession)
+    if not records.filter("hcdr_ranges IS NULL OR size(hcdr_ranges) = 0").isEmpty():
+        raise ValueError("records without CDR ranges")
     parents, seen = as_candidates(records), None
     for r in range(1, rounds + 1):
         best = beam_step(parents, scorer, max(beam, final), index_base).checkpoint()

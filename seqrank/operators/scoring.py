@@ -36,7 +36,8 @@ def score_delta_logprob(
 
     ``lp`` holds ``(seq_key, pos, aa, <values>)`` with 1-based ``pos``. Sites
     outside the table and residues outside the vocabulary add nothing; rows
-    without a site score 0. With ``seq`` the old residue is checked against
+    without a site score 0, and rows whose sequence has no output at all are
+    null. With ``seq`` the old residue is checked against
     the sequence: a mismatch raises, or makes the score null.
     """
     # Position maps put one vocabulary in one row, so the join shuffles
@@ -51,11 +52,17 @@ def score_delta_logprob(
     sites = sites.withColumn("_pos", F.coalesce(F.col("_m.pos") - F.lit(offset - 1), F.lit(0)))
     joined = sites.join(table, [seq_key, "_pos"], "left")
     delta = F.expr(f"try_element_at(`_t_{mt_value}`, _m.mt) - try_element_at(`_t_{wt_value}`, _m.wt)")
-    aggs = [F.coalesce(F.sum(delta), F.lit(0.0)).alias(out)]
+    aggs = [F.coalesce(F.sum(delta), F.lit(0.0)).alias(out), F.max(F.when(F.col("_m").isNotNull(), F.col(seq_key))).alias("_key")]
+    known = table.select(F.col(seq_key).alias("_known")).distinct()
+
+    def checked(rows: DataFrame) -> DataFrame:
+        lacks = F.col("_key").isNotNull() & F.col("_known").isNull()
+        return rows.join(known, F.col("_key") == F.col("_known"), "left").withColumn(out, F.when(~lacks, F.col(out))).drop("_key", "_known")
+
     if not seq:
-        return joined.groupBy(row_id).agg(*aggs)
+        return checked(joined.groupBy(row_id).agg(*aggs))
     wrong = F.expr("_pos >= 1 AND _pos <= length(_seq) AND upper(substring(_seq, _pos, 1)) <> _m.wt")
-    scored = joined.groupBy(row_id).agg(*aggs, F.max(F.when(wrong, F.concat(F.col("_m.wt"), F.col("_m.pos"), F.col("_m.mt")))).alias("_bad"))
+    scored = checked(joined.groupBy(row_id).agg(*aggs, F.max(F.when(wrong, F.concat(F.col("_m.wt"), F.col("_m.pos"), F.col("_m.mt")))).alias("_bad")))
     bad = F.raise_error(F.concat(F.lit("old residue differs: "), F.col("_bad"))) if on_mismatch == "raise" else F.lit(None)
     return scored.select(row_id, F.when(F.col("_bad").isNull(), F.col(out)).otherwise(bad.cast("double")).alias(out))
 
@@ -221,9 +228,9 @@ def sequence_loglik(tokens: DataFrame, key: str, reduction: str = "sum", length:
 
 
 def delta_vs_wildtype(scores: DataFrame, wt_scores: DataFrame, poi: str, score: str = "score", out: str = "delta") -> DataFrame:
-    """Mutant score minus the wild-type score of its POI."""
+    """Mutant score minus the wild-type score of its POI (D13); null without one."""
     base = wt_scores.select(poi, F.col(score).alias("_wt"))
-    return scores.join(base, poi).withColumn(out, F.col(score) - F.col("_wt")).drop("_wt")
+    return scores.join(base, poi, "left").withColumn(out, F.col(score) - F.col("_wt")).drop("_wt")
 
 
 def pseudo_loglik(lp: DataFrame, seqs: DataFrame, key: str, seq: str, empty: float | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def clean_text_residues(t):
 
 @query("clean_names", "B2", """
 SELECT p_partkey, CASE WHEN a = 'NAN' THEN '' ELSE a END AS trimmed, upper(regexp_replace(p_name, '[^\\p{{L}}]', '', 'g')) AS letters,
-       CASE WHEN regexp_full_match(b, '[A-Z]+') THEN b END AS strict
+       CASE WHEN regexp_full_match(b, '[A-IK-Z]+') THEN b END AS strict
 FROM (SELECT *, upper(regexp_replace(p_name, '\\s+', '', 'g')) AS a, upper(regexp_replace(p_brand || '-' || p_name, '[\\s\\-_.]', '', 'g')) AS b FROM {part})
 """.replace("{{L}}", "L"))
 def clean_names(t):

@@ -14,9 +14,9 @@ from .split_queries import _SIMPLE
 
 @query("composition_vector", "H1", f"""
 SELECT doc_id, i, round(coalesce((length(s) - length(replace(s, substr('{H.ALPHABET}', i + 1, 1), ''))) / nullif(length(s), 0), 0), 6) + 0.0 AS share
-FROM (SELECT doc_id, regexp_replace(left(text, 2000), '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g') AS s FROM {{documents}}), (SELECT cast(unnest(range(0, 21)) AS int) AS i)""")
+FROM (SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g') AS s FROM {{documents}}), (SELECT cast(unnest(range(0, 21)) AS int) AS i)""")
 def composition_vector(t):
-    rows = t("documents").select("doc_id", F.posexplode(H.composition_vector("text", 2000)).alias("i", "share"))
+    rows = t("documents").select("doc_id", F.posexplode(H.composition_vector("text")).alias("i", "share"))
     return rounded(rows)
 
 

@@ -63,7 +63,8 @@ _CHAIN_LP = """SELECT poi, chain, pos, aa, logit - ln(sum(exp(logit)) OVER (PART
 
 
 @query("score_per_chain", "D3", f"""
-SELECT r.rid, {rnd('coalesce(sum(m.logprob - w.logprob), 0)', 'score')} FROM rows_ r
+SELECT r.rid, CASE WHEN count(s.rid) = 0 OR count(k.poi) > 0 THEN {rnd('coalesce(sum(m.logprob - w.logprob), 0)', 'x').removesuffix(' AS x')} END AS score FROM rows_ r
+LEFT JOIN (SELECT DISTINCT poi FROM clp) k ON k.poi = r.poi
 LEFT JOIN (SELECT rid, poi, c, CASE c WHEN 'H' THEN mh WHEN 'L' THEN ml ELSE ma END AS tk FROM rows_ JOIN off USING (poi)
            UNION ALL SELECT rid, poi, c, left(mutant, 1) || (cast(substr(mutant, 2, length(mutant) - 2) AS int) - d) || right(mutant, 1) FROM rows_ JOIN off USING (poi)
            WHERE gstr AND cast(substr(mutant, 2, length(mutant) - 2) AS int) - d BETWEEN 1 AND 32) s ON s.rid = r.rid AND length(tk) > 2 AND tk <> 'nan'
@@ -162,7 +163,7 @@ def sequence_loglik(t):
     return rounded(out.withColumnsRenamed({"sum": "sum_score", "mean": "mean_score"}))
 
 
-@query("delta_vs_wildtype", "D13", f"SELECT o_orderkey, {rnd('o_totalprice - w', 'delta')} FROM {{orders}} JOIN (SELECT c_custkey AS o_custkey, c_acctbal AS w FROM {{customer}}) USING (o_custkey)")
+@query("delta_vs_wildtype", "D13", f"SELECT o_orderkey, {rnd('o_totalprice - w', 'delta')} FROM {{orders}} LEFT JOIN (SELECT c_custkey AS o_custkey, c_acctbal AS w FROM {{customer}}) USING (o_custkey)")
 def delta_vs_wildtype(t):
     wt = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("score"))
     rows = t("orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("score"))

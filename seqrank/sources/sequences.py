@@ -61,6 +61,6 @@ def read_a2m(spark: SparkSession, path: str) -> DataFrame:
     parsed = parsed.withColumns({
         "seq": F.expr(aligned_text("raw")),
         "_given": F.try_element_at(words, F.lit(2)),
-        "annotation": F.nullif(F.array_join(F.slice(words, 3, 1000), " "), F.lit("")),
+        "annotation": F.nullif(F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words) - 2, F.lit(0))), " "), F.lit("")),
     })
     return msa_identity(parsed, given="_given").drop("_given", "raw")

@@ -349,3 +349,47 @@ def test_perplexity_without_tokens(spark):
     df = spark.createDataFrame([(1.0, 0), (2.0, 0)], "loss double, tokens int")
     r = S.token_weighted_perplexity(df).first()
     assert r["loss"] is None and r["perplexity"] is None
+
+
+def test_related_pairs_share_a_cluster_in_large_data(spark):
+    """2 000 pairs with k = 3: far more sequences than one center per k-mer could serve."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(2000):
+        base = [rng.choice(MT.RESIDUES) for _ in range(100)]
+        other = list(base)
+        for at in rng.sample(range(100), 10):
+            other[at] = rng.choice(MT.RESIDUES)
+        rows += ["".join(base), "".join(other)]
+    df = spark.createDataFrame(list(enumerate(rows)), "row_idx long, seq string")
+    got = {r["row_idx"]: r["representative"] for r in CL.cluster_sequences(df, "seq", min_identity=0.8, k=3).collect()}
+    assert sum(got[2 * i] != got[2 * i + 1] for i in range(2000)) <= 2
+
+
+def test_missing_outputs_and_wild_types_are_null(spark):
+    lp = spark.createDataFrame([("a", 1, "A", -1.0), ("a", 1, "C", -3.0)], "poi string, pos int, aa string, logprob double")
+    muts = spark.createDataFrame([(1, "a", "A1C"), (2, "b", "A1C"), (3, "b", "WT"), (4, "a", "A9C")], "rid long, poi string, mutant string")
+    got = {r["rid"]: r["score"] for r in S.score_delta_logprob(muts, lp, "rid", "poi").collect()}
+    assert got == {1: -2.0, 2: None, 3: 0.0, 4: 0.0}
+    scores = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "poi string, score double")
+    delta = {r["poi"]: r["delta"] for r in S.delta_vs_wildtype(scores, scores.filter("poi = 'a'"), "poi").collect()}
+    assert delta == {"a": 0.0, "b": None}
+
+
+def test_composition_cleans_the_whole_sequence(spark):
+    from seqrank.operators import features as H
+
+    df = spark.createDataFrame([("ac d-e",), ("A" * 600 + "u1",), (None,)], "seq string")
+    rows = [r["c"] for r in df.select(H.composition_vector("seq").alias("c")).collect()]
+    assert rows[0][-1] == 0.0 and sum(rows[0]) == 1.0 and rows[1][0] == 600 / 601 and sum(rows[2]) == 0.0
+
+
+def test_malformed_and_quoted_chain_literals(spark):
+    from seqrank.operators import mutations as MU
+
+    rows = spark.createDataFrame([("p", "'A1C'"), ("p", '"A1C"'), ("p", "A1C")], "poi string, m string")
+    assert {r["_global"] for r in MU._parsed(rows, "poi", "m").collect()} == {"A1C"}
+    with pytest.raises(Exception, match="malformed chain map"):
+        spark.createDataFrame([("{'H': 'A1C'",)], "m string").selectExpr(MU.chain_map("m") + " AS x").collect()
