@@ -20,7 +20,8 @@ GAP = "-"
 def equal_share(a: str, b: str) -> Column:
     """Share of equal columns over the shorter row, gaps included."""
     n = f"least(length({a}), length({b}))"
-    same = f"aggregate(sequence(1, greatest({n}, 1)), 0D, (s, i) -> s + if(i <= {n} AND substring({a}, i, 1) = substring({b}, i, 1), 1D, 0D))"
+    letters = [f"slice(split({x}, ''), 1, {n})" for x in (a, b)]
+    same = f"aggregate(zip_with({letters[0]}, {letters[1]}, (x, y) -> if(x = y, 1D, 0D)), 0D, (s, v) -> s + v)"
     return F.expr(f"{same} / nullif({n}, 0)")
 
 

@@ -89,8 +89,11 @@ def fold_scaler(rows: DataFrame, label: str, split: str = "split", fold: str = "
 
 
 def scale_by_fold(rows: DataFrame, label: str, out: str = "scaled", split: str = "split", fold: str = "fold") -> DataFrame:
-    """Standardise every split with the training moments of its fold (H5)."""
-    scaled = rows.join(fold_scaler(rows, label, split, fold), fold)
+    """Standardise every split with the training moments of its fold (H5).
+
+    The scaler has one row per fold, so it is broadcast and the rows stay where they are.
+    """
+    scaled = rows.join(F.broadcast(fold_scaler(rows, label, split, fold)), fold)
     return scaled.withColumn(out, (F.col(label) - F.col("label_mean")) / F.col("label_std"))
 
 

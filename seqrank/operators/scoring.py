@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mutation_text import _lenient, parse_mutations, parse_mutations_strict
+from ..session import checkpoint_dir
 
 # Fixed values of the long-sequence windows: sigmoid midpoint and slope of the edge weights.
 EDGE_MIDPOINT, EDGE_SLOPE = 128, 16
@@ -275,7 +276,9 @@ def infer_with_cache(
     keyed = df.withColumn("seq_hash", sequence_hash(F.col(seq)))
     wanted = keyed.select("seq_hash", F.upper(F.trim(F.col(seq))).alias("seq")).dropDuplicates(["seq_hash"])
     unseen = wanted.join(cache.select("seq_hash"), "seq_hash", "left_anti")
-    fresh = unseen.mapInPandas(model, schema=f"seq_hash string, {out} {out_type}")
+    # Both returned frames read the new outputs, so the model runs once and they are kept.
+    checkpoint_dir(df.sparkSession)
+    fresh = unseen.mapInPandas(model, schema=f"seq_hash string, {out} {out_type}").checkpoint()
     known = cache.select("seq_hash", out).unionByName(fresh)
     seen = wanted.join(cache.select("seq_hash", F.lit(1).alias("_hit")), "seq_hash", "left")
     counts = seen.agg(F.count("_hit").alias("hits"), F.count_if(F.col("_hit").isNull()).alias("misses"))

@@ -184,10 +184,13 @@ def ranking_scores(t):
 def read_predictions(t):
     path = _scratch(t, "read_predictions")
     rows = t.sql(_JSON_FIX).select(F.concat(F.lit("c"), "c_nationkey").alias("candidate"), "value")
-    # One folder per candidate; the sink writes text parts, the source filters by name.
-    rows.repartition(2, "candidate").write.mode("overwrite").partitionBy("candidate").json(path)
-    files = t.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
-    return files.select(F.regexp_extract("_metadata.file_path", "candidate=([^/]+)/", 1).alias("candidate")).groupBy("candidate").agg(F.count(F.lit(1)).alias("files"))
+    # One folder per candidate with a summary document and one that the source must leave out.
+    for stem in ("summary", "notes"):
+        out = rows.repartition("candidate").write.mode("append").option("mapreduce.output.basename", stem)
+        out.partitionBy("candidate").json(path + "/" + stem)
+    found = A.read_predictions(t.spark, path)
+    name = F.regexp_extract("path", "candidate=([^/]+)/", 1).alias("candidate")
+    return found.groupBy(name).agg(F.sum(F.size(F.split(F.trim("value"), "\n"))).alias("files"))
 
 
 # ---------------------------------------------------------------- alignments

@@ -131,9 +131,9 @@ def blend_windows(t):
     return rounded(S.blend_windows(t.sql(_WIN), ["s_suppkey"], 1024))
 
 
-@query("window_weights", "D9", f"SELECT i, {rnd(_WEIGHT, 'weight', 9)} FROM (SELECT cast(p1.pos - 1 + 32 * (p2.pos - 1) AS int) AS i FROM {{positions}} p1 CROSS JOIN {{positions}} p2)")
+@query("window_weights", "D9", f"SELECT i, {rnd(_WEIGHT, 'weight', 9)} FROM (SELECT DISTINCT cast(p_partkey % 1024 AS int) AS i FROM {{part}})")
 def window_weights(t):
-    rows = t.sql("SELECT cast(p1.pos - 1 + 32 * (p2.pos - 1) AS int) AS i FROM {positions} p1 CROSS JOIN {positions} p2")
+    rows = t.sql("SELECT DISTINCT cast(p_partkey % 1024 AS int) AS i FROM {part}")
     return rounded(rows.select("i", S.window_weight("i", 1024).alias("weight")), 9)
 
 
