@@ -190,7 +190,7 @@ def read_predictions(t):
         out.partitionBy("candidate").json(path + "/" + stem)
     found = A.read_predictions(t.spark, path)
     name = F.regexp_extract("path", "candidate=([^/]+)/", 1).alias("candidate")
-    return found.groupBy(name).agg(F.sum(F.size(F.split(F.trim("value"), "\n"))).alias("files"))
+    return found.groupBy(name).agg(F.sum(F.regexp_count("value", F.lit("\n"))).alias("files"))
 
 
 # ---------------------------------------------------------------- alignments
