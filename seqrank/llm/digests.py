@@ -28,7 +28,7 @@ _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD
 # Unequal quartiles cost their distance, opposite ends twice as much.
 _STEP = np.array([0, 1, 2, 6])
 # Mean of _STEP over independent quartiles times the buckets: as far as unrelated texts are apart.
-BOUND = BUCKETS * (6 * 1 + 4 * 2 + 2 * 6) / 16 / 1.0
+BOUND = BUCKETS * (6 * 1 + 4 * 2 + 2 * 6) / 16
 _LENGTH_WEIGHT = 2
 _LENGTH_MOST = 32
 

@@ -108,7 +108,7 @@ def train(names: list[str], rows: list[list[int]], other: list[list[int] | None]
     """
     n, d = len(y), len(names)
     if not n:
-        return Model({}, float(np.log(0.5 / 0.5)))
+        return Model({}, 0.0)
     flat = lambda lists: (np.repeat(np.arange(len(lists)), [len(r) for r in lists]), np.array([j for r in lists for j in r], dtype=np.int64))
     at, col = flat(rows)
     pairs = [i for i, o in enumerate(other) if o is not None]
