@@ -368,6 +368,11 @@ def _links(t: pa.Table):
 
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, class_size`` for every row."""
+    return _classed(docs).select("doc_id", "class_id", "class_size")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """``doc_id, node, comp, class_id, class_size`` for every row; ``comp`` names the class also where no member has an id."""
     seen = written(signatures(docs), "signatures")
     nodes = written(seen.where("sig is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     ids = seen.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -395,14 +400,23 @@ def classes(docs: DataFrame) -> DataFrame:
 
     whole = ids.join(known, "node", "left").select("node", "least", "n", F.coalesce("comp", "node").alias("comp"))
     groups = whole.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    named = whole.join(groups, "comp").select("node", "class_id", "class_size")
-    return seen.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+    named = whole.join(groups, "comp").select("node", "comp", "class_id", "class_size")
+    return seen.select("doc_id", "node").join(named, "node").select("doc_id", "node", "comp", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id (null ids last)."""
+    """``docs`` with one row of each class: that of the smallest id (null ids last, then by the hash
+    of the text); of rows that repeat this id and text one stays."""
     names = docs.columns
-    named = classes(docs)
-    chosen = named.groupBy("class_id").agg(F.min("doc_id").alias("_keep")).select("_keep")
-    kept = docs.withColumn("_id", F.col("doc_id").cast("long")).join(chosen, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.select(*names)
+    rows = _classed(docs).groupBy("comp", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("comp").agg(F.min_by(F.struct("doc_id", "node", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("f"))
+    chosen = written(first.select(F.col("f.doc_id").alias("_keep"), F.col("f.node").alias("_keep_node"), F.col("f.n").alias("_n")), "chosen")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    keyed_docs = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_node", F.unhex(F.md5(text)))
+
+    def of(part: DataFrame) -> DataFrame:
+        return keyed_docs.join(part, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_node") == F.col("_keep_node")), "left_semi")
+
+    # Repeated rows are few: they alone are grouped.
+    once = of(chosen.where("_n = 1")).select(*names)
+    return once.unionByName(of(chosen.where("_n > 1")).dropDuplicates(["_id", "_node"]).select(*names))

@@ -22,6 +22,9 @@ from .common import arrow_map, chunks, labelled_sample, remainder, texts_of, wri
 SAMPLE_DOCUMENTS = 12000
 MAX_FEATURES = 4096
 MIN_DOCUMENTS = 4
+# Ridge of a feature: the base, and a part that grows as its chi-square falls, so that
+# features of chance, which small samples are full of, get small weights.
+RIDGE, SHRINK = 2e-4, 0.02
 _WORD = re.compile(r"[^\W\d_]+")
 
 # Terms that name groups of people; a term is swapped for the next one of its
@@ -100,11 +103,11 @@ class Model:
 
 
 def train(names: list[str], rows: list[list[int]], other: list[list[int] | None], y: np.ndarray,
-          penalty: float = 1.0, ridge: float = 2e-4, steps: int = 400, rate: float = 0.1) -> Model:
+          penalty: float = 1.0, ridge: float | np.ndarray = 2e-4, steps: int = 400, rate: float = 0.1) -> Model:
     """Fit by Adam on the full batch: log loss + ridge + penalty * (score(x) - score(swapped x))^2.
 
     ``rows`` and ``other`` hold feature indexes of each text and of its swapped
-    form (None: no term).
+    form (None: no term); ``ridge`` is one number or one per feature.
     """
     n, d = len(y), len(names)
     if not n:
@@ -137,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
 
     A grouped aggregate counts the documents of each feature by label and keeps
     the ``MAX_FEATURES`` features with the largest chi-square; only their indexes
-    reach the driver, so what it holds is bounded by sample x features.
+    reach the driver, so what it holds is bounded by sample x features. The weaker
+    a feature's chi-square, the stronger its ridge.
     """
     ids = F.broadcast(labelled_sample(labels, label, remainder(F.col("doc_id"), folds) != held, sample))
     rows = docs.select("doc_id", "text").join(ids, "doc_id").where(F.col("text").isNotNull())
@@ -171,8 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     counts = bags.select("words", "label").mapInArrow(counted, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("a"), F.sum("no").alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi = F.pow(a * (nn - b) - b * (ny - a), 2) / ((a + b) * (ny + nn - a - b) + 1.0)
-    best = counts.where(a + b >= MIN_DOCUMENTS).orderBy(chi.desc(), "feature").limit(MAX_FEATURES).select("feature")
-    names = sorted(r["feature"] for r in best.collect())
+    best = counts.where(a + b >= MIN_DOCUMENTS).select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(MAX_FEATURES)
+    strength = {r["feature"]: r["chi"] * (ny + nn) / max(ny * nn, 1.0) for r in best.collect()}
+    names = sorted(strength)
+    ridge = RIDGE + np.array([min(1.0, SHRINK / max(strength[f], 1e-9)) for f in names])
     index = {f: i for i, f in enumerate(names)}
 
     def project(batch):
@@ -182,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     got = arrow_map(bags, project, "doc_id long, label int, x array<int>, z array<int>").toPandas().sort_values("doc_id", kind="stable")
     x = [list(r) for r in got["x"]]
     z = [None if r is None else list(r) for r in got["z"]]
-    return train(names, x, z, (got["label"].to_numpy() == 1).astype(float), penalty)
+    return train(names, x, z, (got["label"].to_numpy() == 1).astype(float), penalty, ridge)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

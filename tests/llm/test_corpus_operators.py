@@ -28,6 +28,13 @@ def test_classifiers_on_held_out_documents(spark, query, column, folds, held, le
     assert auc(y, s) >= least
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = [(truth[r["doc_id"]], r["score"]) for r in queries.op8_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert auc(np.array([a for a, _ in out]), np.array([b for _, b in out])) >= 0.9
+
+
 def test_classifier_edges(make_docs, labels):
     docs = make_docs(["plain words here", "LOUD!! WORDS!!"])
     for op in (quality, toxicity):
@@ -193,9 +200,21 @@ def test_near_copies_of_a_hub_and_edges(make_docs, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None} == want
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda i: (i is None, i)) == sorted(
+        {r["class_id"] for r in rows if r["class_id"] is not None}) + [None]
     assert near_copies.classes(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_a_class_stays(spark):
+    from pyspark.sql import functions as F
+    a, b, c = "one two three four five six seven", "some other words that stand here alone", "the third text is of its own too"
+    rows = [(None, a), (None, a), (5, b), (None, b), (7, c), (7, c), (9, c), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("_n", F.lit(1))
+    got = sorted(((r["doc_id"], r["text"]) for r in near_copies.keep_one(docs).collect()), key=str)
+    assert got == sorted([(None, a), (5, b), (7, c), (3, "")], key=str)
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
 def test_signature_estimates_weighted_similarity():
     h = near_copies.Hasher()
     text = " ".join(f"v{i}" for i in range(400))
