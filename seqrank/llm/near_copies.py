@@ -417,6 +417,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def of(part: DataFrame) -> DataFrame:
         return keyed_docs.join(part, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_node") == F.col("_keep_node")), "left_semi")
 
-    # Repeated rows are few: they alone are grouped.
-    once = of(chosen.where("_n = 1")).select(*names)
-    return once.unionByName(of(chosen.where("_n > 1")).dropDuplicates(["_id", "_node"]).select(*names))
+    once, repeated = of(chosen.where("_n = 1")).select(*names), chosen.where("_n > 1")
+    # Rows that repeat an id and its text are rare: they alone are grouped, which shuffles the texts once more.
+    return once if repeated.isEmpty() else once.unionByName(of(repeated).dropDuplicates(["_id", "_node"]).select(*names))
