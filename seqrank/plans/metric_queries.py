@@ -144,6 +144,18 @@ def kendall_tau(t):
     return rounded(M.kendall_tau(rows, ["fold"], "l_quantity", "l_discount"))
 
 
+_ACCOUNTS = "SELECT c_nationkey AS fold, c_acctbal AS t, cast(c_custkey * 7919 % 100003 AS double) AS p FROM {customer}"
+
+
+@query("kendall_tau_pairs", "E12", """
+SELECT a.fold, (SELECT count(*) FROM f b WHERE b.fold = a.fold) AS n, round(sum(sign(a.t - b.t) * sign(a.p - b.p)) /
+       sqrt(sum(CASE WHEN a.t <> b.t THEN 1.0::double ELSE 0 END)) / sqrt(sum(CASE WHEN a.p <> b.p THEN 1.0::double ELSE 0 END)), 6) + 0.0 AS kendall_tau
+FROM f a JOIN f b USING (fold) GROUP BY a.fold""", {"f": _ACCOUNTS})
+def kendall_tau_pairs(t):
+    """Values with hardly any tie; the twin counts all pairs of a nation."""
+    return rounded(M.kendall_tau(t.sql(_ACCOUNTS), ["fold"], "t", "p"))
+
+
 @query("kendall_tau_continuous", "E12")
 def kendall_tau_continuous(t):
     """Untied values on both sides; SQL would need all pairs (see tests for brute force)."""

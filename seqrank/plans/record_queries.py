@@ -272,10 +272,10 @@ SELECT 'm2', label, -pred FROM {{scored_events}})) GROUP BY model)""")
 def evaluate_scored_files(t):
     root = _scratch(t, "scored") + "/root"
     ev = t("scored_events")
-    ev.select(F.col("label").alias("DMS_score"), F.col("pred").alias("a_score")).coalesce(1).write.option("header", True).csv(root + "/m1/x")
-    # Another column order and an extra column: read by its own header.
-    ev.select(F.lit("k").alias("note"), (-F.col("pred")).alias("b_score"), F.col("label").alias("DMS_score")).coalesce(1).write.option("header", True).csv(root + "/m2/x")
-    files = A.read_scored_files(t.spark, root).filter("status = 'ok'")
+    ev.select(F.col("label").alias("DMS_score"), F.col("pred").alias("a_score")).write.option("header", True).csv(root + "/m1/x")
+    # Another column order, an extra column and two scores: read by its own header, the preferred score first.
+    ev.select(F.lit("k").alias("note"), F.col("pred").alias("masked_score"), (-F.col("pred")).alias("wt_score"), F.col("label").alias("DMS_score")).write.option("header", True).csv(root + "/m2/x")
+    files = A.read_scored_files(t.spark, root, score_preference=("wt_score", "masked_score")).filter("status = 'ok'")
     return rounded(M.evaluate(files, ["model"], "label", "pred").select("model", "n", "spearman"))
 
 

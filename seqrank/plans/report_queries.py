@@ -69,6 +69,21 @@ def _regression(t):
     return H.cross_validate(rows, splits, "embedding", "y", "vec_id")
 
 
+_LINE = "SELECT o_orderkey AS row_idx, o_totalprice / 1e4 AS y, o_custkey / 1e3 AS x FROM {orders}"
+
+
+@query("cross_validate_line", "H6", f"""
+SELECT fold, row_idx, {rnd('a * x + b', 'pred', 4)} FROM (SELECT cast(row_idx % 3 AS int) AS fold, row_idx, x FROM line) JOIN fit USING (fold)""", {
+    "line": _LINE,
+    "fit": """SELECT fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM line JOIN (SELECT cast(unnest(range(0, 3)) AS int) AS fold) k ON row_idx % 3 <> fold GROUP BY fold"""})
+def cross_validate_line(t):
+    """One feature, so that the fit has a closed form."""
+    rows = t.sql(_LINE).withColumn("v", F.array("x"))
+    splits = rows.select("row_idx", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("fold")).withColumn(
+        "split", F.when(F.col("row_idx") % 3 == F.col("fold"), "test").otherwise("train"))
+    return rounded(H.cross_validate(rows, splits, "v", "y", "row_idx").select("fold", "row_idx", "pred"), 4)
+
+
 @query("cross_validate", "H6")
 def cross_validate(t):
     return rounded(H.fold_metrics(_regression(t)))

@@ -176,9 +176,9 @@ def pseudo_loglik(t):
     return rounded(S.pseudo_loglik(lp, t("wt").filter("chain = 'H'"), "poi", "seq"))
 
 
-@query("residue_probability", "D15", f"SELECT poi, aa, {rnd('avg(exp(logprob))', 'probability')}, {rnd('max(exp(logprob))', 'peak')} FROM lp WHERE pos <= 12 GROUP BY poi, aa", _LP)
+@query("residue_probability", "D15", f"SELECT poi, aa, {rnd('avg(exp(logprob))', 'probability')}, {rnd('max(exp(logprob))', 'peak')} FROM lp GROUP BY poi, aa", _LP)
 def residue_probability(t):
-    out = S.residue_probability(t("logits").withColumn("len", F.lit(12)), ["poi", "pos"], "len")
+    out = S.residue_probability(t("logits").withColumn("len", F.lit(32)), ["poi", "pos"], "len")
     return rounded(out.groupBy("poi", "aa").agg(F.avg("probability").alias("probability"), F.max("probability").alias("peak")))
 
 
@@ -189,7 +189,7 @@ _MASKED = "SELECT poi, concat(substr(seq, 1, 4), '*', substr(seq, 6, 9), '*', su
 SELECT m.poi, substr(m.seq, 1, 4) || a.aa || substr(m.seq, 6, 9) || b.aa || substr(m.seq, 16) AS restored FROM mk m
 JOIN best a ON a.poi = m.poi AND a.pos = 5 JOIN best b ON b.poi = m.poi AND b.pos = 15""", {
     "mk": _MASKED,
-    "best": "SELECT poi, pos, aa FROM (SELECT *, row_number() OVER (PARTITION BY poi, pos ORDER BY logit DESC, aa) AS rn FROM {logits}) WHERE rn = 1"})
+    "best": "SELECT poi, pos, aa FROM (SELECT *, row_number() OVER (PARTITION BY poi, pos ORDER BY logit DESC, aa) AS rn FROM {logits} WHERE pos IN (5, 15)) WHERE rn = 1"})
 def restore_masked(t):
     return S.restore_masked(t.sql(_MASKED), t("logits"), "poi", "seq").select("poi", "restored")
 

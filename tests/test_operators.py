@@ -265,6 +265,9 @@ def test_mixed_headers_and_missing_scores(spark, tmp_path):
     assert {r["model"] for r in files.collect()} == {"m"}
     got = {r["file"]: r["n"] for r in M.evaluate(files.filter("status = 'ok'"), ["model", "file"], "label", "pred").collect()}
     assert got == {"a": 2, "b": 2}
+    preferred = A.read_scored_files(spark, str(tmp_path), score_preference=("z_score", "y_score"))
+    assert {(r["label"], r["pred"], r["status"]) for r in preferred.filter("file = 'd'").collect()} == {("1", "3", "ok")}
+    assert {r["status"] for r in preferred.filter("file = 'a'").collect()} == {"ok"}
 
 
 def test_required_columns(spark, tmp_path):
