@@ -39,12 +39,13 @@ def magnitude_cell(c: Column) -> Column:
     return F.when(v < 0, -cell).otherwise(cell)
 
 
-def _cells(t: T.DataType, name: str) -> list[tuple[str, Column]]:
-    """Coarse cells above a value: a prefix of text (65 536 cells of a digest),
-    the day of a time, the magnitude cell of a number."""
+def _cells(t: T.DataType, name: str, digest: bool = False) -> list[tuple[str, Column]]:
+    """Coarse cells above a value: prefixes of text (one of 65 536 cells for a digest,
+    a second, longer one for keys with a common beginning), the day of a time, the
+    magnitude cell of a number."""
     c = F.col(name)
     if isinstance(t, T.StringType):
-        return [("p4", F.substring(c, 1, 4))]
+        return [(f"p{n}", F.substring(c, 1, n)) for n in ((4,) if digest else (4, 12))]
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         return [("day", F.date_trunc("day", c))]
     if isinstance(t, (T.BooleanType, T.ByteType, T.ShortType, T.DateType)):
@@ -52,8 +53,9 @@ def _cells(t: T.DataType, name: str) -> list[tuple[str, Column]]:
     return [("cell", magnitude_cell(c))]
 
 
-def order_levels(df: DataFrame, columns: Sequence[str], prefix: str = "_lv") -> tuple[DataFrame, list[str]]:
+def order_levels(df: DataFrame, columns: Sequence[str], prefix: str = "_lv", digests: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Add level columns for a sort order and return their names, coarse to fine.
+    Columns in ``digests`` are known to be spread evenly.
 
     The first two sort columns get cells of their own, so neither may hold a
     hot value that ends in one window; further columns only break ties of the
@@ -61,10 +63,10 @@ def order_levels(df: DataFrame, columns: Sequence[str], prefix: str = "_lv") ->
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     first, *rest = columns
-    added = [(f"{prefix}0_{tag}", c) for tag, c in _cells(types[first], first)]
+    added = [(f"{prefix}0_{tag}", c) for tag, c in _cells(types[first], first, first in digests)]
     levels = [n for n, _ in added] + [first]
     if rest:
-        finer = [(f"{prefix}1_{tag}", c) for tag, c in _cells(types[rest[0]], rest[0])]
+        finer = [(f"{prefix}1_{tag}", c) for tag, c in _cells(types[rest[0]], rest[0], rest[0] in digests)]
         tail = (f"{prefix}1_tail", F.struct(*[F.col(c) for c in rest])) if len(rest) > 1 else None
         added += finer + ([tail] if tail else [])
         levels += [n for n, _ in finer] + [tail[0] if tail else rest[0]]
@@ -131,13 +133,14 @@ def running_before(
     weights: Sequence[str],
     totals: bool = True,
     split: bool = False,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Add ``before_<w>`` (sum over strictly earlier cells) and ``total_<w>``.
 
     ``df`` holds one row per ``groups + levels``; other columns are carried
     along. Without ``split`` every group goes through the levels and the input
     is read once, which suits histograms that come out of a longer plan. With
-    ``split`` only groups above ``WINDOW_ROWS`` do; that reads the input again
+    ``split`` only groups above ``window_rows`` (``WINDOW_ROWS``) do; that reads the input again
     for the counts, which suits rows that come straight from a table. With
     adaptive execution the leveled branch disappears when no group is large.
     """
@@ -148,7 +151,7 @@ def running_before(
         return _plain_running(keyed, levels, weights, totals).select(*df.columns, *added)
     if not split:
         return _leveled_running(df, groups, levels, weights, totals).select(*df.columns, *added)
-    large = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > WINDOW_ROWS).select("_k")
+    large = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > (WINDOW_ROWS if window_rows is None else window_rows)).select("_k")
     small = _plain_running(keyed.join(F.broadcast(large), "_k", "left_anti"), levels, weights, totals)
     deep = _leveled_running(keyed.join(F.broadcast(large), "_k", "left_semi").drop("_k"), groups, levels, weights, totals)
     return small.select(*df.columns, *added).unionByName(deep.select(*df.columns, *added))
@@ -160,15 +163,17 @@ def with_position(
     order: Sequence[str],
     name: str = "position",
     total: str | None = None,
+    digests: Sequence[str] = (),
+    window_rows: int | None = None,
 ) -> DataFrame:
     """0-based position of every row inside its group under a *total* order.
 
     ``order`` must identify rows inside the group (the last column breaks all
-    ties). Text columns should have spread prefixes, as digests do.
+    ties). ``window_rows`` overrides the size above which a group takes the levels.
     """
     one = "_one"
-    leveled, levels = order_levels(df.withColumn(one, F.lit(1).cast("long")), order)
-    placed = running_before(leveled, groups, levels, [one], totals=total is not None, split=True)
+    leveled, levels = order_levels(df.withColumn(one, F.lit(1).cast("long")), order, digests=digests)
+    placed = running_before(leveled, groups, levels, [one], totals=total is not None, split=True, window_rows=window_rows)
     extra = [F.col(f"total_{one}").alias(total)] if total else []
     return placed.select(*[F.col(c) for c in df.columns], F.col(f"before_{one}").cast("long").alias(name), *extra)
 
@@ -191,13 +196,16 @@ def with_row_index(
     if order:
         out = with_position(df, [], order, name)
         return out.withColumn(name, F.col(name) + F.lit(start)) if start else out
-    tagged = df.select(
-        "*",
-        F.monotonically_increasing_id().alias("_mid"),
-        F.lit(1).cast("long").alias("_one"),
-    ).withColumn("_part", F.shiftright("_mid", 33))
-    placed = running_before(tagged, [], ["_part", "_mid"], ["_one"], totals=False)
-    return placed.select(*[F.col(c) for c in df.columns], (F.col("before__one") + F.lit(start)).cast("long").alias(name))
+    # The id holds the partition above bit 33 and the place in it below, so only
+    # the offsets of the partitions are wanted: one row per partition, which bounds
+    # the broadcast; the rows stay where they are.
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33))
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = tagged.join(F.broadcast(offsets), "_part")
+    return placed.select(*[F.col(c) for c in df.columns], (F.col("_off") + place + F.lit(start)).cast("long").alias(name))
 
 
 def entry_id(prefix: str | Column, index: Column, width: int = 6) -> Column:

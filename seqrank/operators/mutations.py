@@ -64,14 +64,15 @@ def _touched() -> Column:
     return F.expr(f"map_keys(map_filter(coalesce(_muts, cast(map() AS map<string,string>)), (k, v) -> v IS NOT NULL AND lower(trim(v)) NOT IN {_EMPTY}))")
 
 
+def _by_poi(rows: DataFrame, poi: str, *more: Column) -> DataFrame:
+    """One aggregate per POI; the set holds distinct chain lists, so it stays as small as the complex."""
+    touched = F.array_sort(F.array_distinct(F.flatten(F.collect_set(_touched()))))
+    return rows.groupBy(poi).agg(touched.alias("focus_chains"), F.bool_or(F.col("_global").isNotNull()).alias("has_global"), *more)
+
+
 def focus_chains(df: DataFrame, poi: str = "POI", mutant: str = "mutant") -> DataFrame:
     """Chains with at least one mutation per POI, and whether a plain string occurs."""
-    return (
-        _parsed(df, poi, mutant)
-        .select(poi, F.explode_outer(_touched()).alias("_c"), F.col("_global").isNotNull().alias("_g"))
-        .groupBy(poi)
-        .agg(F.array_sort(F.collect_set("_c")).alias("focus_chains"), F.bool_or("_g").alias("has_global"))
-    )
+    return _by_poi(_parsed(df, poi, mutant), poi)
 
 
 def concat_chains(
@@ -85,9 +86,8 @@ def concat_chains(
     when ``focus`` is set and no row of the POI uses a plain string.
     """
     rows = _parsed(df, poi, mutant)
-    first = rows.groupBy(poi).agg(F.min_by(F.struct(F.col(chain_id).alias("ids"), F.col(wt).alias("wt")), F.col(order)).alias("_first"))
-    chains = focus_chains(df, poi, mutant)
-    named = first.join(chains, poi).select(
+    first = F.min_by(F.struct(F.col(chain_id).alias("ids"), F.col(wt).alias("wt")), F.col(order)).alias("_first")
+    named = _by_poi(rows, poi, first).select(
         poi, "focus_chains", "has_global",
         F.expr(chain_map("_first.wt")).alias("_wt"), F.expr(chain_order("_first.ids")).alias("_ids"))
     keep = "map_contains_key(_wt, c)" + (" AND (has_global OR array_contains(focus_chains, c))" if focus else "")
@@ -103,13 +103,15 @@ def concat_chains(
 
 def globalize_mutations(
     df: DataFrame, row_id: str, poi: str = "POI", wt: str = "wildtype_sequence", mutant: str = "mutant",
-    chain_id: str = "chain_id", focus: bool = True, order: str | None = None,
+    chain_id: str = "chain_id", focus: bool = True, order: str | None = None, table: DataFrame | None = None,
 ) -> DataFrame:
     """Rewrite every per-chain mutation to the concatenated sequence.
 
-    Adds ``wt_concat`` and ``mutant_global``; plain strings pass through.
+    Adds ``wt_concat`` and ``mutant_global``; plain strings pass through. ``table``
+    is the output of :func:`concat_chains` when the caller has it already.
     """
-    table = concat_chains(df, order or row_id, poi, wt, mutant, chain_id, focus)
+    if table is None:
+        table = concat_chains(df, order or row_id, poi, wt, mutant, chain_id, focus)
     rows = _parsed(df, poi, mutant).join(table, poi)
     shifted = f"transform({_lenient('_muts[c]')}, m -> concat(m.wt, m.pos + offsets[i], m.mt))"
     per_chain = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.mutation_text import apply_mutations
 from ..functions.ordering import attach_row, group_key, with_position
 from . import metrics as M
-from .scoring import toy_score
+from .scoring import with_toy_score
 from .splits import grouped_quantiles
 
 
@@ -126,5 +126,5 @@ def metrics_long(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
 
 def add_scores(df: DataFrame, weights: Mapping[str, float], row_id: str = "mutation_id", seq: str = "wildtype_sequence", mutant: str = "mutant", label: str = "DMS_score") -> DataFrame:
     """Demonstration output row: id, mutant, wild type, mutated sequence, label, score."""
-    built = df.withColumn("mutated_sequence", apply_mutations(seq, mutant)).join(toy_score(df, weights, row_id, mutant), row_id)
+    built = with_toy_score(df.withColumn("mutated_sequence", apply_mutations(seq, mutant)), weights, mutant)
     return built.select(row_id, mutant, seq, "mutated_sequence", F.col(label).cast("double").alias(label), "mock_score")

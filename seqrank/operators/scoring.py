@@ -206,26 +206,28 @@ def chunk_sequences(df: DataFrame, seq: str, size: int) -> DataFrame:
     return rows.withColumn("chunk_text", F.expr(f"substring({seq}, chunk * {size} + 1, {size})"))
 
 
-def sequence_loglik(tokens: DataFrame, key: str, reduction: str = "sum", length: str | None = None) -> DataFrame:
+def sequence_loglik(tokens: DataFrame, key: str, reduction: str | Sequence[str] = "sum", length: str | None = None) -> DataFrame:
     """Sequence score from token log-probabilities.
 
     ``tokens`` has ``key, chunk, direction, logprob`` and ``is_residue``;
     terminals are left out. ``sum``: chunk means over both directions, halved;
     ``per_residue``: that divided by the sequence length; ``mean``: mean over
     chunks and directions; ``total``: half the sum of residue log-probabilities;
-    ``forward_total``: sum of residue log-probabilities.
+    ``forward_total``: sum of residue log-probabilities. One reduction gives the
+    column ``score``; a list of them gives one column each from the same aggregate.
     """
     lengths = [F.max(length).alias("_len")] if length else []
     chunks = tokens.filter("is_residue").groupBy(key, "chunk", "direction").agg(
         F.avg("logprob").alias("_mean"), F.sum("logprob").alias("_sum"), *lengths)
-    score = {
+    scores = {
         "sum": F.sum("_mean") / 2.0,
         "per_residue": F.sum("_mean") / 2.0 / F.greatest(F.max("_len"), F.lit(1)) if length else None,
         "mean": F.avg("_mean"),
         "total": F.sum("_sum") / 2.0,
         "forward_total": F.sum("_sum"),
-    }[reduction]
-    return chunks.groupBy(key).agg(score.alias("score"))
+    }
+    wanted = {"score": reduction} if isinstance(reduction, str) else {r: r for r in reduction}
+    return chunks.groupBy(key).agg(*[scores[r].alias(name) for name, r in wanted.items()])
 
 
 def delta_vs_wildtype(scores: DataFrame, wt_scores: DataFrame, poi: str, score: str = "score", out: str = "delta") -> DataFrame:
@@ -285,11 +287,17 @@ def infer_with_cache(
     return keyed.join(known, "seq_hash", "left"), fresh, counts
 
 
-def toy_score(df: DataFrame, weights: Mapping[str, float], row_id: str, mutant: str = "mutant", out: str = "mock_score") -> DataFrame:
+def with_toy_score(df: DataFrame, weights: Mapping[str, float], mutant: str = "mutant", out: str = "mock_score") -> DataFrame:
     """Demonstration scorer (D19): weight change minus 0.01 per position, six decimals."""
     table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
-    rows = df.select(row_id, parse_mutations_strict(mutant).alias("_m"), table.alias("_w"))
-    return rows.select(row_id, F.expr("round(aggregate(_m, 0D, (s, m) -> s + element_at(_w, m.mt) - element_at(_w, m.wt) - 0.01D * (m.pos - 1)), 6)").alias(out))
+    rows = df.select("*", parse_mutations_strict(mutant).alias("_m"), table.alias("_w"))
+    value = F.expr("round(aggregate(_m, 0D, (s, m) -> s + element_at(_w, m.mt) - element_at(_w, m.wt) - 0.01D * (m.pos - 1)), 6)")
+    return rows.withColumn(out, value).drop("_m", "_w")
+
+
+def toy_score(df: DataFrame, weights: Mapping[str, float], row_id: str, mutant: str = "mutant", out: str = "mock_score") -> DataFrame:
+    """The scores of :func:`with_toy_score` by row id."""
+    return with_toy_score(df, weights, mutant, out).select(row_id, out)
 
 
 def token_weighted_perplexity(batches: DataFrame, loss: str = "loss", tokens: str = "tokens", groups: Sequence[str] = ()) -> DataFrame:

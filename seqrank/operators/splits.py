@@ -146,7 +146,7 @@ def _dealt(clusters: DataFrame, plan: dict[int, dict[int, Phases]], seeds: dict[
     table = spark.createDataFrame(rows, _PLAN_SCHEMA)
     seed = F.coalesce(*[F.when(F.col("fold") == f, F.lit(s)) for f, s in seeds.items()])
     keyed = clusters.withColumn("_h", hash_key(seed, F.col("cluster")))
-    ranked = with_position(keyed, ["fold", "size"], ["_h"], "rank").drop("_h")
+    ranked = with_position(keyed, ["fold", "size"], ["_h"], "rank", digests=["_h"]).drop("_h")
     return ranked.join(table, ["fold", "size"]).withColumn(out, _bin_of()).drop("phases", "rank")
 
 
@@ -285,7 +285,7 @@ def group_train_valid(df: DataFrame, group: str, frac: float, seed: int = 42, ro
 
 def _shuffled(rows: DataFrame, groups: Sequence[str], seed: int | Column, key: str, index: str = "_i", total: str | None = "_n") -> DataFrame:
     keyed = rows.withColumn("_h", hash_key(seed, F.col(key)))
-    return with_position(keyed, groups, ["_h", key], index, total=total).drop("_h")
+    return with_position(keyed, groups, ["_h", key], index, total=total, digests=["_h"]).drop("_h")
 
 
 def repeated_random_folds(df: DataFrame, k: int, valid_frac: float, test_frac: float, seed: int = 42, row_idx: str = "row_idx") -> DataFrame:
@@ -316,6 +316,12 @@ def sliced_random_folds(df: DataFrame, k: int, seed: int = 42, row_idx: str = "r
         every.filter("fold = home").select("fold", F.lit("test").alias("split"), "row_idx"))
 
 
+def fold_clusters(splits: DataFrame, df: DataFrame, cluster: str, row_idx: str = "row_idx") -> DataFrame:
+    """The clusters of each split as a long table ``fold, split, cluster`` (cluster lists of G6)."""
+    rows = with_cluster(df, cluster, row_idx, "unknown")
+    return splits.join(rows, "row_idx").select("fold", "split", "cluster").distinct()
+
+
 def _row_valid(rest: DataFrame, valid_frac: float, seed: int) -> DataFrame:
     """Row-level validation sample of each fold's rest: smallest hashes, size clamped to [1, n-1]."""
     placed = _shuffled(rest, ["fold"], F.concat(F.lit("valid"), (F.col("fold") + F.lit(seed)).cast("string")), "row_idx")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from .registry import query, rnd, rounded
+from .registry import fixture, query, rnd, rounded
 
 # SQL twins rank rows directly; the Spark side works on value histograms.
 _RANKED = {
@@ -63,6 +63,15 @@ def ranking_metrics_events(t):
     return rounded(M.evaluate(t("scored_events"), ["grp"], "label", "pred"))
 
 
+# Two predicted values over all rows: tied runs beyond the summed part of the discounts.
+fixture("tied_scores", "SELECT 'all' AS grp, label, cast(length(mutant) % 2 as double) AS pred, rid FROM {heavy_mut}")
+
+
+@query("ranking_metrics_tied", "E1 E3 E4 E5 E6", _RANKING_SELECT, _ranking_sql("tied_scores"))
+def ranking_metrics_tied(t):
+    return rounded(M.ranking_metrics(t("tied_scores"), ["grp"], "label", "pred"))
+
+
 @query("spearman", "E1", f"SELECT grp, n, {rnd('spearman', 'spearman')} FROM by_row",
        {k: v for k, v in _ranking_sql("scored").items() if k in ("ranked", "cuts", "flagged", "by_row")})
 def spearman(t):
@@ -96,6 +105,14 @@ def top_bottom_hits(t):
     return rounded(M.top_bottom_hits(t("scored"), ["grp"], "label", "pred", "rid"))
 
 
+_HITS_SELECT, _HITS = _hits_sql()
+
+
+@query("evaluate_hits", "E7 E9", f"SELECT m.*, h.* EXCLUDE (grp, n) FROM ({_RANKING_SELECT}) m JOIN ({_HITS_SELECT}) h USING (grp)", {**_ranking_sql("scored"), **_HITS})
+def evaluate_hits(t):
+    return rounded(M.evaluate(t("scored"), ["grp"], "label", "pred", hits=True, row_id="rid"))
+
+
 # Three kinds of files: both score columns, only the second one, none at all.
 _FILES = """
 SELECT concat(grp, '.csv') AS file,

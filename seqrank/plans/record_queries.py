@@ -206,9 +206,13 @@ def msa_identity(t):
     return rounded(K.by_identity(K.msa_identity(t.sql(_MSA)))).select("row_idx", "identity", "is_query")
 
 
-@query("greedy_diverse", "K2")
+@query("greedy_diverse", "K2", "SELECT row_idx, CASE WHEN (SELECT count(*) FROM m) > 12 THEN step END AS pick FROM rec WHERE chosen", {"m": _MSA, "rec": """
+SELECT 0 AS step, row_idx, seq, k, 0.0::double AS s, k = min(k) OVER () AS chosen, k = min(k) OVER () AS taken FROM (SELECT row_idx, seq, md5('3|' || row_idx) AS k FROM m)
+UNION ALL SELECT step + 1, row_idx, seq, k, s, chosen, taken OR chosen FROM (
+SELECT step, row_idx, seq, k, s, taken, NOT taken AND row_number() OVER (ORDER BY taken, round(s, 9) DESC, k) = 1 AS chosen FROM (
+SELECT step, row_idx, seq, k, taken, s + 1 - list_sum(list_transform(range(1, 33), lambda i: CASE WHEN substr(q, i, 1) = substr(seq, i, 1) THEN 1.0::double ELSE 0.0 END)) / 32 AS s
+FROM (SELECT *, max(CASE WHEN chosen THEN seq END) OVER () AS q FROM rec)) WHERE step < 11)"""})
 def greedy_diverse(t):
-    """Iterative selection; compared with brute force in the tests."""
     return K.greedy_diverse(t.sql(_MSA), n=12, seed=3).select("row_idx", "pick")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.mutation_text import parse_mutations
+from ..operators import metrics as M
 from ..operators import mutations as MU
 from ..operators import scoring as S
+from .metric_queries import _RANKING_SELECT, _ranking_sql
 from .mutation_queries import _CHAINS, _TOKENS
 from .registry import query, rnd, rounded
 
@@ -33,6 +35,18 @@ def score_delta_logprob(t):
     return rounded(S.score_delta_logprob(t("heavy_mut"), lp, "rid", "poi", seq="seq"))
 
 
+# The whole way from a mutation table and model outputs to metrics per assay.
+_SCORED = f"SELECT substr(h.poi, 1, 2) AS grp, min(h.label) AS label, {rnd('coalesce(sum(d), 0)', 'pred')}, h.rid FROM {{heavy_mut}} h LEFT JOIN site USING (rid) GROUP BY h.rid, h.poi"
+
+
+@query("score_and_evaluate", "D1 D6 E9", _RANKING_SELECT, {**_D1, "sc": _SCORED, **_ranking_sql("sc")})
+def score_and_evaluate(t):
+    muts = t("heavy_mut")
+    scores = rounded(S.score_delta_logprob(muts, S.log_softmax(t("logits"), ["poi", "pos"]), "rid", "poi", seq="seq"))
+    rows = muts.select("rid", F.substring("poi", 1, 2).alias("grp"), "label").join(scores, "rid")
+    return rounded(M.evaluate(rows, ["grp"], "label", "score"))
+
+
 @query("score_temperature", "D4", "SELECT h.rid, round(coalesce(sum(d), 0), 5) + 0.0 AS score FROM {heavy_mut} h LEFT JOIN s4 USING (rid) GROUP BY h.rid",
        {**_TOKENS, **_LP, "s4": """SELECT p.rid, m.logprob - w.logprob AS d FROM parsed p JOIN {heavy_mut} h USING (rid)
         JOIN lp m ON m.poi = h.poi AND m.pos = p.pos AND m.aa = p.mt JOIN lp15 w ON w.poi = h.poi AND w.pos = p.pos AND w.aa = p.wt"""})
@@ -74,8 +88,9 @@ GROUP BY r.rid""", {**_CHAINS, "clp": _CHAIN_LP})
 def score_per_chain(t):
     lp = S.log_softmax(t("chain_logits"), ["poi", "chain", "pos"]).select("poi", "chain", "pos", "aa", "logprob")
     assay = t("assay")
-    rows = MU.globalize_mutations(assay, "rid", "poi")
-    return rounded(S.score_per_chain(rows, lp, MU.concat_chains(assay, "rid", "poi"), "rid", "poi"))
+    chains = MU.concat_chains(assay, "rid", "poi")
+    rows = MU.globalize_mutations(assay, "rid", "poi", table=chains)
+    return rounded(S.score_per_chain(rows, lp, chains, "rid", "poi"))
 
 
 @query("score_embedding_shift", "D5", f"""
@@ -149,17 +164,11 @@ _TOKEN_LP = """SELECT l_orderkey, l_linenumber % 2 AS chunk, CASE WHEN l_suppkey
  -l_discount * 10 - l_quantity / 50 AS logprob, l_returnflag <> 'R' AS is_residue, 7 AS len FROM {lineitem}"""
 
 
-def _loglik(t, reduction):
-    return S.sequence_loglik(t.sql(_TOKEN_LP), "l_orderkey", reduction, "len").withColumnRenamed("score", reduction)
-
-
 @query("sequence_loglik", "D12", f"""
 SELECT l_orderkey, {rnd('sum(m) / 2', 'sum_score')}, {rnd('sum(m) / 2 / 7', 'per_residue')}, {rnd('avg(m)', 'mean_score')}, {rnd('sum(s) / 2', 'total')}, {rnd('sum(s)', 'forward_total')}
 FROM (SELECT l_orderkey, avg(logprob) AS m, sum(logprob) AS s FROM ({_TOKEN_LP}) WHERE is_residue GROUP BY l_orderkey, chunk, direction) GROUP BY l_orderkey""")
 def sequence_loglik(t):
-    out = _loglik(t, "sum")
-    for r in ("per_residue", "mean", "total", "forward_total"):
-        out = out.join(_loglik(t, r), "l_orderkey")
+    out = S.sequence_loglik(t.sql(_TOKEN_LP), "l_orderkey", ("sum", "per_residue", "mean", "total", "forward_total"), "len")
     return rounded(out.withColumnsRenamed({"sum": "sum_score", "mean": "mean_score"}))
 
 

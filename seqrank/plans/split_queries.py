@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.ordering import entry_id, with_row_index
+from ..functions.ordering import entry_id, with_position, with_row_index
 from ..operators import clusters as C
 from ..operators import splits as S
 from .registry import query, rnd, rounded
@@ -26,6 +26,20 @@ def row_index_scan_order(t):
     return out.agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi"), F.countDistinct("row_idx").alias("distinct_ids"))
 
 
+# The way of large groups, forced: text keys with a common beginning, and one group with five hot values.
+@query("position_leveled_names", "A9", """
+SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name, c_custkey) - 1 AS position, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM {customer}""")
+def position_leveled_names(t):
+    rows = t("customer").select("c_custkey", "c_mktsegment", "c_name")
+    return with_position(rows, ["c_mktsegment"], ["c_name", "c_custkey"], total="n", window_rows=0).select("c_custkey", "position", "n")
+
+
+@query("position_leveled_hot", "A9", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice, o_orderkey) - 1 AS position FROM {orders}")
+def position_leveled_hot(t):
+    rows = t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return with_position(rows, [], ["o_orderpriority", "o_totalprice", "o_orderkey"], window_rows=0).select("o_orderkey", "position")
+
+
 # ---------------------------------------------------------------- clusters
 
 @query("exact_sequence_groups", "F2", "SELECT sha256(text) AS seq_hash, min(doc_id) AS representative, count(*) AS size FROM {documents} GROUP BY text")
@@ -227,9 +241,26 @@ def group_train_valid(t):
     return S.group_train_valid(t("clustered"), "cluster", 0.1, 5)
 
 
-@query("default_cv_group", "G12 G10 G11")
+def _inner_greedy(k: int, bins: int, seed: int, frac: float) -> dict[str, str]:
+    """The rest of each fold dealt to ``bins`` group folds; the one closest to the target is validation."""
+    state = [f"{x}{j}" for x in "lg" for j in range(bins)]
+    upd = [f"l{j} + CASE WHEN b = {j} THEN size ELSE 0 END AS l{j}" for j in range(bins)] + [f"g{j} + CASE WHEN b = {j} THEN 1 ELSE 0 END AS g{j}" for j in range(bins)]
+    return {
+        "pool": f"""SELECT f AS fold, cluster, size, row_number() OVER (PARTITION BY f ORDER BY size DESC, md5((f + {seed + 1}) || '|' || cluster)) AS i
+                    FROM tested, range({k}) r(f) WHERE test_fold <> f""",
+        "inr": f"""SELECT f AS fold, 0::bigint AS i, '' AS cluster, 0::bigint AS size, -1 AS bin, {', '.join(f'0::bigint AS {s}' for s in state)} FROM range({k}) r(f)
+                   UNION ALL SELECT fold, i, cluster, size, b AS bin, {', '.join(upd)} FROM (
+                   SELECT p.fold, p.i, p.cluster, p.size, {_lightest(bins, True)} AS b, {', '.join(f'r.{s}' for s in state)} FROM inr r JOIN pool p ON p.fold = r.fold AND p.i = r.i + 1)""",
+        "tgt": f"SELECT fold, greatest(1, round_even(sum(size) * {frac}, 0)) AS target FROM pool GROUP BY fold",
+        "sums": "SELECT fold, bin, sum(size) AS s FROM inr WHERE i > 0 GROUP BY fold, bin",
+        "pick": "SELECT fold, arg_min(bin, (abs(s - target), s, bin)) AS f FROM sums JOIN tgt USING (fold) GROUP BY fold",
+        "dec": """SELECT fold, cluster, CASE WHEN bin = f THEN 'valid' ELSE 'train' END AS split FROM inr JOIN pick USING (fold) WHERE i > 0
+                  UNION ALL SELECT test_fold, cluster, 'test' FROM tested""",
+    }
+
+
+@query("default_cv_group", "G12 G10 G11", _BY_CLUSTER, {**_greedy(4, 5, count_ties=True), **_inner_greedy(4, 9, 5, 0.1)})
 def default_cv_group(t):
-    """Nested greedy choices per fold; compared with the item loop in the tests."""
     return S.default_cv(t("clustered"), 4, "cluster", 5)
 
 
@@ -267,15 +298,23 @@ def repeated_random_folds(t):
     return S.repeated_random_folds(t("clustered"), 5, 0.1, 0.2, 42)
 
 
-@query("sliced_random_folds", "G6", """
-SELECT fold, CASE WHEN i < floor(n * 0.1) THEN 'valid' ELSE 'train' END AS split, row_idx FROM rest UNION ALL SELECT home, 'test', row_idx FROM base""", {
+_SLICED = {
     "base": """SELECT row_idx, n, cast(least(p // cast(floor(n * 0.2) AS bigint), 4) AS int) AS home
                FROM (SELECT row_idx, row_number() OVER (ORDER BY md5('42|' || row_idx)) - 1 AS p, count(*) OVER () AS n FROM {clustered})""",
-    "rest": "SELECT cast(f AS int) AS fold, row_idx, n, row_number() OVER (PARTITION BY f ORDER BY md5('rest' || (f + 42) || '|' || row_idx)) - 1 AS i FROM base, range(5) r(f) WHERE home <> f"})
+    "rest": "SELECT cast(f AS int) AS fold, row_idx, n, row_number() OVER (PARTITION BY f ORDER BY md5('rest' || (f + 42) || '|' || row_idx)) - 1 AS i FROM base, range(5) r(f) WHERE home <> f",
+    "sl": "SELECT fold, CASE WHEN i < floor(n * 0.1) THEN 'valid' ELSE 'train' END AS split, row_idx FROM rest UNION ALL SELECT home, 'test', row_idx FROM base"}
+
+
+@query("sliced_random_folds", "G6", "SELECT fold, split, row_idx FROM sl", _SLICED)
 def sliced_random_folds(t):
     return S.sliced_random_folds(t("clustered"), 5, 42)
 
 
+@query("sliced_fold_clusters", "G6", "SELECT DISTINCT fold, split, coalesce(cluster, 'unknown') AS cluster FROM sl JOIN {clustered} USING (row_idx)", _SLICED)
+def sliced_fold_clusters(t):
+    return S.fold_clusters(S.sliced_random_folds(t("clustered"), 5, 42), t("clustered"), "cluster")
+
+
 _ROW_VALID = """SELECT fold, row_idx, row_number() OVER (PARTITION BY fold ORDER BY md5('valid' || (fold + 42) || '|' || row_idx)) - 1 AS i, count(*) OVER (PARTITION BY fold) AS n FROM ev"""
 _ROW_SPLIT = "CASE WHEN i < least(greatest(1, round_even(n * 0.1, 0)), n - 1) THEN 'valid' ELSE 'train' END AS split"
 
