@@ -28,8 +28,9 @@ MAX_LISTS = 16_384
 CELL_ROWS = 4096
 COLUMNS = 16
 EPSILON = 2.1
-# Share of the true neighbours that the probed lists should hold, measured on the sample.
+# Share of the true neighbours that the probed lists should hold, measured on so many vectors.
 COVER = 0.96
+MEASURED = 200
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def rotation(d: int, seed: int = 5) -> np.ndarray:
 class Index:
     """Rotation, list centres and the sample that thresholds come from."""
 
-    def __init__(self, sample_ids: np.ndarray, sample: np.ndarray, rows: int, top_norm: float, k: int, seed: int = 5, cover: float = COVER):
+    def __init__(self, sample_ids: np.ndarray, sample: np.ndarray, rows: int, top_norm: float, k: int, seed: int = 5):
         self.k, self.norm = k, top_norm
         self.ids, self.sample = sample_ids, sample
         self.turn = rotation(sample.shape[1] + 1, seed)
@@ -67,7 +68,7 @@ class Index:
             n = np.bincount(own, minlength=lists)
             centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
         self.centres = centres
-        self.probes = self.enough(x, cover, r)
+        self.probes = lists
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.norm - (x * x).sum(1)))
@@ -82,16 +83,12 @@ class Index:
         """Lists from near to far for each rotated query."""
         return np.argsort((self.centres * self.centres).sum(1) / 2 - q @ self.centres.T, axis=1, kind="stable")
 
-    def enough(self, x: np.ndarray, cover: float, r: np.random.Generator) -> int:
-        """Lists to probe so that ``cover`` of the sample's true neighbours lie in them."""
-        pick = np.sort(r.choice(len(x), min(200, len(x)), replace=False))
-        scores = (self.sample[pick] @ self.sample.T).astype(np.float32)
-        scores[np.arange(len(pick)), pick] = -np.inf
-        top = np.argpartition(scores, -min(self.k, len(x)), axis=1)[:, -self.k:]
-        order = self.order(self.rotated(self.sample[pick], True))
-        rank = np.argsort(order, axis=1)
-        found = np.sort(np.take_along_axis(rank, self.nearest(x, self.centres)[top], 1).ravel())
-        return int(found[min(len(found) - 1, int(np.ceil(cover * len(found))))]) + 1
+    def enough(self, q: np.ndarray, lists: list[np.ndarray], cover: float = COVER) -> int:
+        """Lists to probe so that ``cover`` of the true neighbours of ``q`` lie in them;
+        ``lists`` holds the list of each neighbour."""
+        rank = np.argsort(self.order(self.rotated(q, True)), axis=1)
+        found = np.sort(np.concatenate([rank[i, own] for i, own in enumerate(lists)]))
+        return int(found[min(len(found) - 1, int(np.ceil(cover * len(found))))]) + 1 if len(found) else len(self.centres)
 
     def thresholds(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Inner product of the 2k-th best sample vector, so that k better ones are
@@ -103,13 +100,53 @@ class Index:
         return np.partition(s, -2 * self.k, axis=1)[:, -2 * self.k]
 
 
-def build(rows: DataFrame, k: int) -> Index | None:
-    """Fit on at most ``SAMPLE`` vectors (by the hash of the id); every vector is indexed later."""
+def build(rows: DataFrame, k: int) -> tuple[Index, np.ndarray, np.ndarray] | None:
+    """Index fit on at most ``SAMPLE`` vectors (by the hash of the id; every vector is indexed
+    later), and ids and vectors of the ``MEASURED`` rows that follow them in that order.
+
+    A vector of the fit has a list centre near it that others lack, so the rows to
+    measure by are others as far as there are any.
+    """
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     if not facts["n"]:
         return None
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    return Index(got["vec_id"].to_numpy(dtype=np.int64), np.stack(got["v"].to_numpy()).astype(np.float64), facts["n"], facts["m"], k)
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE + MEASURED).toPandas()
+    ids, x = got["vec_id"].to_numpy(dtype=np.int64), np.stack(got["v"].to_numpy()).astype(np.float64)
+    return Index(ids[:SAMPLE], x[:SAMPLE], facts["n"], facts["m"], k), ids[-MEASURED:], x[-MEASURED:]
+
+
+def true_lists(listed: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
+    """Lists of the k nearest of all rows for each vector of ``q``, by comparing all of them.
+
+    A task keeps the k best for each vector, so it emits one row per vector whatever it reads.
+    """
+    def best(score: np.ndarray, own: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.lexsort((own, -score))[:rows]
+
+    def compare(batches):
+        top = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32))] * len(ids)
+        for b in batches:
+            if not len(b):
+                continue
+            own, lists = b["vec_id"].to_numpy(dtype=np.int64), b["list"].to_numpy(dtype=np.int32)
+            scores = q @ np.stack(b["v"].to_numpy()).astype(np.float64).T
+            scores[ids[:, None] == own[None, :]] = -np.inf
+            for i, s in enumerate(scores):
+                # All that tie with the k-th stay until the ids decide.
+                at = np.flatnonzero((s >= np.partition(s, -k)[-k] if len(s) > k else True) & (s > -np.inf))
+                at = at[best(s[at], own[at], k)]
+                three = [np.concatenate(c) for c in zip(top[i], (s[at], own[at], lists[at]))]
+                keep = best(three[0], three[1], k)
+                top[i] = tuple(c[keep] for c in three)
+        yield pd.DataFrame({"q": np.arange(len(ids), dtype=np.int32), "score": [t[0] for t in top], "vec_id": [t[1] for t in top], "list": [t[2] for t in top]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        score, own, lists = (np.concatenate(rows[c].to_numpy()) for c in ("score", "vec_id", "list"))
+        return pd.DataFrame({"q": rows["q"].iloc[0], "list": lists[best(score, own, k)]})
+
+    parts = listed.mapInPandas(compare, "q int, score array<double>, vec_id array<long>, list array<int>").where(F.size("list") > 0)
+    got = parts.groupBy("q").applyInPandas(merge, "q int, list int").toPandas()
+    return [got["list"].to_numpy(dtype=np.int64)[got["q"].to_numpy() == i] for i in range(len(ids))]
 
 
 def scan(index: Index, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
@@ -152,9 +189,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = written(clean(vectors), "vectors")
-    index = build(rows, k)
-    if index is None:
+    built = build(rows, k)
+    if built is None:
         return empty
+    index, measured_ids, measured = built
 
     def assign(batches):
         for b in batches:
@@ -172,6 +210,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                 yield pd.DataFrame({"query_id": part["vec_id"], "least": least, "lists": list(lists), "q": part["v"]})
 
     listed = written(rows.mapInPandas(assign, "vec_id long, list int, v array<double>"), "lists")
+    index.probes = index.enough(measured, true_lists(listed, measured_ids, measured, k))
     queries = rows.where(F.col("vec_id") % every == 0)
     probed = written(queries.mapInPandas(probe, "query_id long, least double, lists array<int>, q array<double>"), "probes")
     found = written(_scanned(index, listed, probed, k), "found")

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -142,6 +143,22 @@ def test_neighbours_recall(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def test_neighbours_recall_with_few_sample_rows_per_list(spark, monkeypatch):
+    """2 sample rows per list, as 16 million rows have them, and 60 000 rows."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 1000)
+    x = np.random.default_rng(7).normal(size=(60_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = collections.defaultdict(set)
+    for r in neighbours.search(table, every=200).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = x[::200] @ x.T
+    s[np.arange(len(s)), np.arange(0, len(x), 200)] = -np.inf
+    best = np.argpartition(s, -20, axis=1)[:, -20:]
+    assert all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[200 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)]) >= 0.93
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "'x' as list")
