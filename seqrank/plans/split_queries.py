@@ -62,6 +62,13 @@ def cluster_sequences(t):
     return out.groupBy("representative").agg(F.count(F.lit(1)).alias("size"))
 
 
+@query("cluster_sequences_remote", "F1")
+def cluster_sequences_remote(t):
+    """Cluster sizes at identity 0.3, as for antigens."""
+    out = C.cluster_sequences(_variants(t), "seq", min_identity=0.3, coverage=0.8)
+    return out.groupBy("representative").agg(F.count(F.lit(1)).alias("size"))
+
+
 _MAP = "SELECT text AS t, cast(doc_id AS string) AS member, cast(min(doc_id) OVER (PARTITION BY text) AS string) AS representative, doc_id AS row_idx FROM {documents}"
 
 

@@ -371,6 +371,26 @@ def test_related_pairs_share_a_cluster_in_large_data(spark):
     assert sum(got[2 * i] != got[2 * i + 1] for i in range(2000)) <= 2
 
 
+def test_remote_pairs_meet_as_data_grow(spark):
+    """20 000 pairs of identity 0.6 at threshold 0.3; few k-mers, since the result must not rest on their number."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(20_000):
+        base = rng.choices(MT.RESIDUES, k=100)
+        other = list(base)
+        for at in rng.sample(range(100), 40):
+            other[at] = rng.choice([x for x in MT.RESIDUES if x != other[at]])
+        rows += ["".join(base), "".join(other)]
+    df = spark.createDataFrame(list(enumerate(rows)), "row_idx long, seq string")
+    got = {r["row_idx"]: r["representative"] for r in CL.cluster_sequences(df, "seq", min_identity=0.3, kmers=4).collect()}
+    assert len(got) == len(rows) and all(got[r] == r for r in got.values())
+    # Both representatives at once would be a pair that never met; a row that joined
+    # another representative has met one that is similar enough.
+    assert sum(got[2 * i] == 2 * i and got[2 * i + 1] == 2 * i + 1 for i in range(20_000)) <= 20
+
+
 def test_missing_outputs_and_wild_types_are_null(spark):
     lp = spark.createDataFrame([("a", 1, "A", -1.0), ("a", 1, "C", -3.0)], "poi string, pos int, aa string, logprob double")
     muts = spark.createDataFrame([(1, "a", "A1C"), (2, "b", "A1C"), (3, "b", "WT"), (4, "a", "A9C")], "rid long, poi string, mutant string")
