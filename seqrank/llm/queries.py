@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digests, languages, lines, mixing, near_copies, neighbours, packing, pii, quality, toxicity
+from . import centroids, digests, hard_negatives, languages, line_rules, lines, mixing, near_copies, neighbours, packing, pii, quality, toxicity
 from .common import remainder, table
 
 PREDICT_AT = 0.3
@@ -65,13 +65,31 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = line_rules.examine(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.col(f"_rules.counts.{c}").alias(c) for c in line_rules.COUNTS + line_rules.TAKEN]
+    return seen.select("doc_id", *counts[:5], "_rules.base_failed", "_rules.kept", *counts[5:])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality, op2_language, op3_pii, op4_mixing, op5_digest, op6_packing, op7_line_dedup, op8_toxicity, op9_neighbours, op10_near_copies)
+        op1_quality, op2_language, op3_pii, op4_mixing, op5_digest, op6_packing, op7_line_dedup, op8_toxicity, op9_neighbours, op10_near_copies,
+        op11_line_rules, op12_hard_negatives, op13_centroids)
 }
 
 SQL: dict[str, str] = {
     "op7_line_dedup": lines.ORACLE.format(documents="documents") + """
 SELECT doc_id, CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_transform(kept, lambda x: x[1]), chr(10)) END AS text,
        n_lines, len(kept) AS n_kept FROM o""",
+    "op11_line_rules": line_rules.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
