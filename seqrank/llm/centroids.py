@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import attach_row
 from .common import written
 
 COMPONENTS = 64
@@ -143,8 +144,8 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, compon
     names = [(i, hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centroids)]
     # One row per centroid on the other side of both joins, so at most k.
     inertia = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    whole = assigned.agg(F.sum("distance").alias("inertia"))
-    facts = inertia.join(F.broadcast(spark.createDataFrame(names, "cluster int, centroid_sha256 string")), "cluster").join(F.broadcast(whole))
+    inertia = attach_row(inertia, assigned.agg(F.sum("distance").alias("inertia")))
+    facts = inertia.join(F.broadcast(spark.createDataFrame(names, "cluster int, centroid_sha256 string")), "cluster")
     return assigned.join(F.broadcast(facts), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 

@@ -193,7 +193,7 @@ class Negatives:
         most = np.where(usable, high, -np.inf).max(1, initial=-np.inf)
         i, j, score = wanted_pairs(a, b, least, most, a.labels[:, None] != b.labels[None, :], self.kind)
         for p in range(self.p):
-            take = (score >= low[i, p]) & (score <= high[i, p])
+            take = (score >= low[i, p]) & (score >= self.low[rows][i, p]) & (score <= high[i, p])
             self.best.add((i[take] + at) * self.p + p, score[take], b.ids[j[take]])
 
     def found(self) -> list[np.ndarray]:

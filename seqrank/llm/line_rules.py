@@ -2,8 +2,8 @@
 
 Every line of a text that holds a word is judged by three rules:
 
-* *punctuation*: over ``PUNCTUATION_SHARE`` of its characters (without spaces) are
-  punctuation or symbols, or it has fewer than ``SHORT_WORDS`` words and doesn't
+* *punctuation*: besides one mark, over ``PUNCTUATION_SHARE`` of its characters
+  (without spaces) are punctuation or symbols, or it has fewer than ``SHORT_WORDS`` words and doesn't
   end like a sentence;
 * *navigation*: over ``SEPARATOR_SHARE`` of its words are separators of menus, or
   it has more capitals than small letters and at least ``MENU_WORDS`` words;
@@ -68,7 +68,7 @@ def _matched(text: Column, pattern: str) -> Column:
 def line_rule(line: Column, words: Column, chars: Column) -> Column:
     """Number of the first rule that a line fails, from 1; 0 if it passes."""
     n = F.size(words)
-    many = _matched(line, "[\\p{P}\\p{S}]+") > F.lit(PUNCTUATION_SHARE) * chars
+    many = _matched(line, "[\\p{P}\\p{S}]+") - 1 > F.lit(PUNCTUATION_SHARE) * chars
     stub = (n < SHORT_WORDS) & ~F.rtrim(line).rlike(ENDS)
     menu = F.size(F.filter(words, lambda w: w.isin(*SEPARATORS))) > F.lit(SEPARATOR_SHARE) * n
     loud = (n >= MENU_WORDS) & (_matched(line, "\\p{Lu}+") > _matched(line, "\\p{Ll}+"))
@@ -159,7 +159,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 l AS (SELECT r, i, string_split(t, chr(10))[i] AS x FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(i)),
 w AS (SELECT *, list_filter(string_split_regex(x, '{_SPLIT}'), lambda y: y <> '') AS ws, {_drop_sql('x', SPACES)} AS chars FROM l),
 f AS (SELECT *, CASE WHEN len(ws) = 0 THEN 0
-    WHEN length(x) - length(regexp_replace(x, '[\\p{{P}}\\p{{S}}]+', '', 'g')) > {PUNCTUATION_SHARE} * chars
+    WHEN length(x) - length(regexp_replace(x, '[\\p{{P}}\\p{{S}}]+', '', 'g')) - 1 > {PUNCTUATION_SHARE} * chars
       OR len(ws) < {SHORT_WORDS} AND NOT regexp_matches(rtrim(x, ' '), '{_sql(ENDS)}') THEN 1
     WHEN len(list_filter(ws, lambda y: y IN ({', '.join(f"'{s}'" for s in SEPARATORS)}))) > {SEPARATOR_SHARE} * len(ws)
       OR len(ws) >= {MENU_WORDS} AND length(regexp_replace(x, '\\p{{Lu}}+', '', 'g')) < length(regexp_replace(x, '\\p{{Ll}}+', '', 'g')) THEN 2
