@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 # Cells per unit of natural log, and the smallest magnitude that is resolved.
 _CELLS_PER_LOG = 16384.0
 _MAGNITUDE_SCALE = 2.0**40
@@ -191,21 +193,24 @@ def with_row_index(
 
     With ``order`` the index follows that total order. Without it the index
     follows the scan order of the source files (partition id, then position in
-    the partition), which is stable while the files do not change.
+    the partition), which is stable while the files do not change; the rows are
+    written to the checkpoint folder for that.
     """
     if order:
         out = with_position(df, [], order, name)
         return out.withColumn(name, F.col(name) + F.lit(start)) if start else out
-    # The id holds the partition above bit 33 and the place in it below, so only
-    # the offsets of the partitions are wanted: one row per partition, which bounds
-    # the broadcast; the rows stay where they are.
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = tagged.join(F.broadcast(offsets), "_part")
-    return placed.select(*[F.col(c) for c in df.columns], (F.col("_off") + place + F.lit(start)).cast("long").alias(name))
+    # Numbers and offsets must come from the very same partitions, and a plan with a
+    # shuffle may be cut anew for each use: the tagged rows are written once.
+    # The id holds the partition above bit 33 and the place in it below; offsets
+    # are one row per partition, which bounds the broadcast, and rows stay where they are.
+    checkpoint_dir(df.sparkSession)
+    tagged = df.withColumn("_row_id", F.monotonically_increasing_id()).checkpoint().withColumn("_row_part", F.shiftright("_row_id", 33))
+    counts = tagged.groupBy("_row_part").agg(F.count(F.lit(1)).alias("_row_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_row_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_row_part", F.coalesce(F.sum("_row_n").over(before), F.lit(0)).alias("_row_off"))
+    place = F.col("_row_id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = tagged.join(F.broadcast(offsets), "_row_part")
+    return placed.select(*[F.col(c) for c in df.columns], (F.col("_row_off") + place + F.lit(start)).cast("long").alias(name))
 
 
 def entry_id(prefix: str | Column, index: Column, width: int = 6) -> Column:

@@ -165,6 +165,22 @@ def test_row_index_is_dense(spark):
     assert all(r["row_idx"] == r["v"] for r in with_row_index(df, ["v"]).collect())
 
 
+@pytest.mark.parametrize("kind", ["aggregate", "join", "distinct", "union"])
+def test_row_index_is_dense_behind_a_shuffle(spark, kind):
+    """Wide rows whose shuffle is cut differently for a plan that reads fewer columns."""
+    wide = spark.range(300_000).selectExpr("id % 299999 AS k", "id", "repeat(md5(cast(id AS string)), 8) AS text")
+    df = {
+        "aggregate": lambda: wide.groupBy("k").agg(F.max("text").alias("text"), F.min("id").alias("id")),
+        "join": lambda: wide.join(spark.range(150_000).selectExpr("id AS k", "id AS other"), "k", "left"),
+        "distinct": lambda: wide.select("k", "text").distinct(),
+        "union": lambda: wide.unionByName(wide.groupBy("k").agg(F.max("id").alias("id"), F.max("text").alias("text"))),
+    }[kind]()
+    n = {"aggregate": 299_999, "union": 599_999}.get(kind, 300_000)
+    out = with_row_index(df)
+    assert out.columns == [*df.columns, "row_idx"]
+    assert out.agg(F.count("text"), F.min("row_idx"), F.max("row_idx"), F.countDistinct("row_idx")).first()[:] == (n, 0, n - 1, n)
+
+
 def test_status_of_files(spark):
     rows = [("a", 1.0, 1.0, None), ("a", 2.0, 3.0, None), ("b", 1.0, None, 2.0), ("c", 1.0, None, None), ("d", None, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "file string, DMS_score double, wt_score double, masked_score double")

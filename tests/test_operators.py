@@ -355,7 +355,7 @@ def test_perplexity_without_tokens(spark):
 
 
 def test_related_pairs_share_a_cluster_in_large_data(spark):
-    """2 000 pairs with k = 3: far more sequences than one center per k-mer could serve."""
+    """2 000 pairs of identity 0.9."""
     import random
 
     rng = random.Random(9)
@@ -367,12 +367,12 @@ def test_related_pairs_share_a_cluster_in_large_data(spark):
             other[at] = rng.choice(MT.RESIDUES)
         rows += ["".join(base), "".join(other)]
     df = spark.createDataFrame(list(enumerate(rows)), "row_idx long, seq string")
-    got = {r["row_idx"]: r["representative"] for r in CL.cluster_sequences(df, "seq", min_identity=0.8, k=3).collect()}
+    got = {r["row_idx"]: r["representative"] for r in CL.cluster_sequences(df, "seq", min_identity=0.8).collect()}
     assert sum(got[2 * i] != got[2 * i + 1] for i in range(2000)) <= 2
 
 
 def test_remote_pairs_meet_as_data_grow(spark):
-    """20 000 pairs of identity 0.6 at threshold 0.3; few k-mers, since the result must not rest on their number."""
+    """20 000 pairs of identity 0.6 at threshold 0.3, with the default arguments."""
     import random
 
     rng = random.Random(5)
@@ -384,13 +384,31 @@ def test_remote_pairs_meet_as_data_grow(spark):
             other[at] = rng.choice([x for x in MT.RESIDUES if x != other[at]])
         rows += ["".join(base), "".join(other)]
     df = spark.createDataFrame(list(enumerate(rows)), "row_idx long, seq string")
-    got = {r["row_idx"]: r["representative"] for r in CL.cluster_sequences(df, "seq", min_identity=0.3, kmers=4).collect()}
+    got = {r["row_idx"]: r["representative"] for r in CL.cluster_sequences(df, "seq", min_identity=0.3).collect()}
     assert len(got) == len(rows) and all(got[r] == r for r in got.values())
     # Both representatives at once would be a pair that never met; a row that joined
     # another representative has met one that is similar enough.
     assert sum(got[2 * i] == 2 * i and got[2 * i + 1] == 2 * i + 1 for i in range(20_000)) <= 20
 
 
+def test_members_stay_similar_when_representatives_merge(spark):
+    """A chain of sequences, each similar to the next only: members always meet the limit against their representative."""
+    import random
+
+    rng = random.Random(2)
+    now, rows = rng.choices(MT.RESIDUES, k=80), []
+    for _ in range(60):
+        rows.append("".join(now) + "A" * rng.randint(0, 3))
+        for at in rng.sample(range(80), 6):
+            now[at] = rng.choice(MT.RESIDUES)
+    df = spark.createDataFrame(list(enumerate(rows)), "row_idx long, seq string")
+    got = {r["row_idx"]: r["representative"] for r in CL.cluster_sequences(df, "seq", min_identity=0.8, max_turns=12).collect()}
+    assert set(got) == set(range(60)) and all(got[r] == r for r in got.values()) and len(set(got.values())) < 30
+    check = spark.createDataFrame([(rows[i], rows[r]) for i, r in got.items()], "a string, b string")
+    assert check.agg(F.min(CL.sequence_identity(F.col("a"), F.col("b")))).first()[0] >= 0.8
+    assert CL.cluster_sequences(df.limit(0), "seq").collect() == []
+
+
 def test_missing_outputs_and_wild_types_are_null(spark):
     lp = spark.createDataFrame([("a", 1, "A", -1.0), ("a", 1, "C", -3.0)], "poi string, pos int, aa string, logprob double")
     muts = spark.createDataFrame([(1, "a", "A1C"), (2, "b", "A1C"), (3, "b", "WT"), (4, "a", "A9C")], "rid long, poi string, mutant string")
