@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as H
+from ..operators import metrics as M
 from ..operators import reports as I
 from ..operators import splits as S
 from .registry import query, rnd, rounded
@@ -84,6 +85,25 @@ def cross_validate_line(t):
     return rounded(H.cross_validate(rows, splits, "v", "y", "row_idx").select("fold", "row_idx", "pred"), 4)
 
 
+_PLANE = "SELECT o_orderkey AS row_idx, o_totalprice / 1e4 AS y, o_custkey / 1e3 AS x, (o_orderkey * 7919 % 1009) / 1e2 AS z FROM {orders}"
+
+
+@query("cross_validate_plane", "H6 E10 E11", f"""
+SELECT fold, count(*) AS n, {rnd('avg(pow(p - y, 2))', 'mse', 4)}, {rnd('sqrt(avg(pow(p - y, 2)))', 'rmse', 4)}, {rnd('avg(abs(p - y))', 'mae', 4)},
+       {rnd('1 - sum(pow(p - y, 2)) / (var_pop(y) * count(*))', 'r2', 4)}
+FROM (SELECT fold, y, my + a * (x - mx) + b * (z - mz) AS p FROM (SELECT *, cast(row_idx % 5 AS int) AS fold FROM plane) JOIN fit USING (fold)) GROUP BY fold""", {
+    "plane": _PLANE,
+    "fit": """SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM (
+        SELECT fold, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy
+        FROM plane JOIN (SELECT cast(unnest(range(0, 5)) AS int) AS fold) k ON row_idx % 5 <> fold GROUP BY fold)"""})
+def cross_validate_plane(t):
+    """Two features: the twin solves the normal equations of each fold."""
+    rows = t.sql(_PLANE).withColumn("v", F.array("x", "z"))
+    splits = rows.select("row_idx", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("fold")).withColumn(
+        "split", F.when(F.col("row_idx") % 5 == F.col("fold"), "test").otherwise("train"))
+    return rounded(M.regression_errors(H.cross_validate(rows, splits, "v", "y", "row_idx"), ["fold"], "truth", "pred"), 4)
+
+
 @query("cross_validate", "H6")
 def cross_validate(t):
     return rounded(H.fold_metrics(_regression(t)))

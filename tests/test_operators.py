@@ -434,3 +434,56 @@ def test_malformed_and_quoted_chain_literals(spark):
     assert {r["_global"] for r in MU._parsed(rows, "poi", "m").collect()} == {"A1C"}
     with pytest.raises(Exception, match="malformed chain map"):
         spark.createDataFrame([("{'H': 'A1C'",)], "m string").selectExpr(MU.chain_map("m") + " AS x").collect()
+
+
+@pytest.mark.parametrize(("reg", "width"), [(0.0, 1024), (0.3, 1024), (0.3, 2)])
+def test_cross_validation_against_normal_equations(spark, reg, width):
+    """All folds from one set of moments, and the iterative form, against a ridge fit of each training set."""
+    import numpy as np
+
+    from seqrank.operators import features as H
+
+    r = np.random.default_rng(3)
+    n, d, k = 240, 4, 3
+    x = r.normal(size=(n, d)) * [1.0, 10.0, 0.1, 2.0] + [100.0, 0.0, -5.0, 3.0]
+    y = x @ [0.5, -0.2, 4.0, 0.0] + r.normal(size=n) + 50
+    rows = [(i, None if i == 7 else x[i].tolist(), None if i == 11 else float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_idx long, v array<double>, y double").repartition(7)
+    splits = spark.createDataFrame([(f, "test" if i % k == f else "valid" if i % 10 == f else "train", i) for f in range(k) for i in range(n) if not (f == 2 and i > 200)], "fold int, split string, row_idx long")
+    got = {(p["fold"], p["row_idx"]): (p["truth"], p["pred"]) for p in H.cross_validate(df, splits, "v", "y", reg_param=reg, max_width=width).collect()}
+    assert len(got) == sum(1 for f in range(k) for i in range(n) if i % k == f and not (f == 2 and i > 200))
+    for f in range(k):
+        train = [i for i in range(n) if i % k != f and i % 10 != f and i not in (7, 11) and not (f == 2 and i > 200)]
+        a, b = x[train], y[train]
+        sa, sb = a.std(0), b.std()
+        z, w = (a - a.mean(0)) / sa, (b - b.mean()) / sb
+        beta = np.linalg.solve(z.T @ z / len(train) + reg * np.eye(d), z.T @ w / len(train)) / sa * sb
+        for (g, i), (truth, pred) in got.items():
+            if g == f:
+                assert (pred is None) == (i == 7) and (truth is None) == (i == 11)
+                assert i == 7 or abs(pred - (b.mean() + (x[i] - a.mean(0)) @ beta)) < (1e-7 if width > d else 0.05)
+
+
+def test_moments_of_degenerate_features(spark):
+    import numpy as np
+
+    from seqrank.operators import features as H
+
+    rows = np.array([[1.0, 2.0, 2.0, 5.0], [1.0, 3.0, 3.0, 7.0], [1.0, 5.0, 5.0, 11.0], [1.0, 0.0, 0.0, 1.0]])
+    weights, intercept = H.Moments.of(rows).line(0.0)
+    assert np.allclose(rows[:, :3] @ weights + intercept, rows[:, 3]) and weights[0] == 0.0
+    part = H.Moments.of(rows[:3]).merged(H.Moments.of(rows[3:]))
+    back = part.merged(H.Moments.of(rows[3:]), -1)
+    assert np.allclose(part.products, H.Moments.of(rows).products) and np.allclose(back.products, H.Moments.of(rows[:3]).products)
+    df = spark.createDataFrame([(1, None, 1.0)], "row_idx long, v array<double>, y double")
+    splits = spark.createDataFrame([(0, "test", 1)], "fold int, split string, row_idx long")
+    assert H.cross_validate(df, splits, "v", "y").first()["pred"] is None
+
+
+def test_pooled_vectors(spark):
+    from seqrank.operators import features as H
+
+    res = spark.createDataFrame([("a", 0, [1.0, 2.0], 1), ("a", 1, [3.0, 6.0], 1), ("a", 2, [9.0, 9.0], 0), ("b", 0, [4.0, 4.0], 0), ("c", 0, None, 1)], "k string, pos int, vec array<double>, m int")
+    assert {r["k"]: r["vec"] for r in H.pool_residues(res, "k", mask="m").collect()} == {"a": [2.0, 4.0], "b": [0.0, 0.0]}
+    both = H.concat_branches(res.selectExpr("vec AS hc", "cast(NULL AS array<double>) AS lc", "vec AS ag")).collect()
+    assert len(both) == 5 and all(len(r["features"]) == 4 and not r["lc_present"] for r in both)
