@@ -12,7 +12,7 @@ recompute any part.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,6 +180,42 @@ def with_position(
     return placed.select(*[F.col(c) for c in df.columns], F.col(f"before_{one}").cast("long").alias(name), *extra)
 
 
+def with_positions(
+    df: DataFrame,
+    groups: Sequence[str],
+    orders: Mapping[str, Sequence[str]],
+    total: str | None = None,
+    window_rows: int | None = None,
+) -> DataFrame:
+    """Several positions like :func:`with_position`, one column per entry of ``orders``.
+
+    An order may name a position before it. Groups up to ``window_rows`` go
+    through one shuffle and are sorted once per order; larger ones take the
+    levels, one order after another. Starts a job that counts the groups.
+    """
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    columns = [*df.columns, *orders, *([total] if total else [])]
+    keyed = df.withColumn("_k", group_key(groups))
+
+    def windows(rows: DataFrame) -> DataFrame:
+        for name, order in orders.items():
+            rows = rows.withColumn(name, F.row_number().over(Window.partitionBy("_k").orderBy(*order)).cast("long") - 1)
+        if total:
+            rows = rows.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy("_k")))
+        return rows.select(*columns)
+
+    large = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).select("_k")
+    # Asked for first: the plan of the levels is large, and most data have no such group.
+    if large.isEmpty():
+        return windows(keyed)
+    checkpoint_dir(df.sparkSession)
+    large = F.broadcast(large.checkpoint())
+    deep = keyed.join(large, "_k", "left_semi").drop("_k")
+    for i, (name, order) in enumerate(orders.items()):
+        deep = with_position(deep, groups, order, name, total=total if i == 0 else None, window_rows=window_rows).checkpoint()
+    return windows(keyed.join(large, "_k", "left_anti")).unionByName(deep.select(*columns))
+
+
 def hash_key(seed: int | Column, *keys: Column) -> Column:
     """Seeded, engine-independent replacement of a pseudo-random shuffle key."""
     s = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import group_key, magnitude_cell, running_before, with_position
+from ..functions.ordering import group_key, magnitude_cell, running_before, with_positions
+from ..session import checkpoint_dir
 
 # Floor of KD values inside ratios, and the top fraction of a ranking.
 KD_FLOOR = 1e-12
@@ -191,19 +193,18 @@ def pearson(df: DataFrame, groups: Sequence[str], label: str, pred: str) -> Data
 
 
 def top_bottom_hits(
-    df: DataFrame, groups: Sequence[str], label: str, pred: str, row_id: str, sizes: Sequence[int] = HIT_SIZES
+    df: DataFrame, groups: Sequence[str], label: str, pred: str, row_id: str, sizes: Sequence[int] = HIT_SIZES, window_rows: int | None = None
 ) -> DataFrame:
     """TopHit@k, BottomHit@k and UnbiasHit@k.
 
     Rows are ordered by label (ties by ``row_id``). With ``top`` rows of rank
     fraction >= 0.9, the ``top`` lowest predictions are discarded first; top
     hits are counted at the end of the remainder, bottom hits at its start.
-    Prediction ties keep label order.
+    Prediction ties keep label order. Both orders of a group come from one shuffle.
     """
     groups = list(groups)
     base = df.select(*groups, F.col(label).alias("_y"), F.col(pred).alias("_p"), F.col(row_id).alias("_id"))
-    ranked = with_position(base, groups, ["_y", "_id"], "_r", total="_n").drop("_y", "_id")
-    placed = with_position(ranked, groups, ["_p", "_r"], "_q").drop("_p")
+    placed = with_positions(base, groups, {"_r": ["_y", "_id"], "_q": ["_p", "_r"]}, total="_n", window_rows=window_rows)
     # Rank fractions r/N >= 0.9 and r/N < 0.1 in whole numbers.
     top = F.col("_n") - F.ceil(F.col("_n") * 9 / F.lit(10.0))
     bottom = F.ceil(F.col("_n") / F.lit(10.0))
@@ -298,47 +299,84 @@ def fold_error(df: DataFrame, groups: Sequence[str], kd_true: str, kd_pred: str)
     )
 
 
-def kendall_tau(df: DataFrame, groups: Sequence[str], truth: str, pred: str) -> DataFrame:
-    """Kendall tau-b (E12) in n log n rows.
+def strip_inversions(i: np.ndarray, j: np.ndarray, w: np.ndarray, step: int = 1024) -> int:
+    """Sum of ``w_a w_b`` over pairs with ``i_a < i_b`` and ``j_a > j_b``.
 
-    Two dense ranks differ first at some bit; a pair is discordant when the one
-    with the smaller truth has bit 1 there and the other bit 0. So every cell
-    is expanded to the bits of its prediction rank and, inside each shared
-    bit prefix, zeros look up how many ones lie at smaller truth ranks.
+    In the order of ``j`` and ``i`` descending, a chunk meets the weights of earlier chunks
+    through their running totals by ``i``, and its own points pair by pair.
     """
+    _, i = np.unique(i, return_inverse=True)
+    order = np.lexsort((-i, -j))
+    i, j, w = i[order], j[order], w[order].astype(np.int64)
+    before = np.zeros(i.max(initial=-1) + 2, np.int64)
+    found = 0
+    for at in range(0, len(i), step):
+        a, b, c = i[at:at + step], j[at:at + step], w[at:at + step]
+        found += int(c @ np.cumsum(before)[a])
+        found += int(c @ (((a[:, None] < a[None, :]) & (b[:, None] > b[None, :])).astype(np.int64).T @ c))
+        np.add.at(before, a + 1, c)
+    return found
+
+
+def _inversions(points: DataFrame, largest: int, block: int) -> DataFrame:
+    """``_g, discordant`` in parts: weighted inversions of points ``(_g, i, j, n)``.
+
+    ``i`` and ``j`` are places in two orders. Strips of ``block`` places in one
+    order hold the pairs that are close in it; pairs that are close in neither
+    order are pairs of the cells of a grid of strips, so the same count goes on
+    with the grid until it is one strip wide. Each level moves its points twice.
+    """
+    import pandas as pd
+
+    def strips(side: str):
+        def count(part: pd.DataFrame) -> pd.DataFrame:
+            i, j, w = (part[c].to_numpy() for c in ("i", "j", "n"))
+            found = strip_inversions(i, j, w)
+            if side == "j":  # pairs close in both orders were counted with i
+                order = np.argsort(i // block, kind="stable")
+                cuts = np.flatnonzero(np.diff((i // block)[order])) + 1
+                found -= sum(strip_inversions(i[k], j[k], w[k]) for k in np.split(order, cuts))
+            return pd.DataFrame({"_key": part["_key"].iloc[:1], "discordant": [float(found)]})
+        return count
+
+    out = None
+    while True:
+        keyed = points.select(F.to_json("_g", {"ignoreNullFields": "false"}).alias("_key"), "i", "j", "n")
+        for side in ("i", "j"):
+            part = keyed.groupBy("_key", F.floor(F.col(side) / block).alias("_strip")).applyInPandas(strips(side), "_key string, discordant double").select("_key", "discordant")
+            out = part if out is None else out.unionByName(part)
+            if largest <= block:
+                return out  # one strip holds all
+        largest = -(-largest // block)
+        points = points.groupBy("_g", F.floor(F.col("i") / block).alias("i"), F.floor(F.col("j") / block).alias("j")).agg(F.sum("n").alias("n")).checkpoint()
+
+
+def kendall_tau(df: DataFrame, groups: Sequence[str], truth: str, pred: str, block: int = 1024, window_rows: int | None = None) -> DataFrame:
+    """Kendall tau-b.
+
+    In the order of truth (ties by prediction) and the order of prediction
+    (ties by truth), a pair is discordant exactly if the two orders disagree
+    about it. Discordant pairs are counted as inversions in strips of ``block``
+    places, so rows are shuffled a few times each, whatever their number.
+    """
+    checkpoint_dir(df.sparkSession)
     pairs_in = _keyed_pairs(df, groups, truth, pred).withColumnsRenamed({"y": "x", "p": "y"})
     cells = pairs_in.groupBy("_g", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-
-    def dense(value: str, out: str) -> DataFrame:
-        runs = cells.groupBy("_g", value).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("long"))
-        return _runs(runs, ["_g"], value, ["one"]).select(
-            "_g", value, F.col("before_one").cast("long").alias(out), F.col("total_one").cast("long").alias(f"{out}_top"), "n")
-
-    xs, ys = dense("x", "rx"), dense("y", "ry")
-    ranked = cells.join(xs.drop("n", "rx_top"), ["_g", "x"]).join(ys.drop("n"), ["_g", "y"])
-    bits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("ry_top") - 1, F.lit(1)).cast("double"))).cast("int"))
-    split = (
-        ranked.select("_g", "rx", "ry", "n", F.explode(bits).alias("bit"))
-        .select(
-            "_g", "rx", "bit",
-            F.expr("shiftright(ry, bit + 1)").alias("head"),
-            (F.col("n") * F.expr("shiftright(ry, bit) & 1")).alias("ones"),
-            (F.col("n") * F.expr("1 - (shiftright(ry, bit) & 1)")).alias("zeros"),
-        )
-        .groupBy("_g", "bit", "head", "rx")
-        .agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-        .withColumn("rx_cell", F.shiftright("rx", 16))
-    )
-    walked = running_before(split, ["_g", "bit", "head"], ["rx_cell", "rx"], ["ones"], totals=False)
+    # Each strip and each tie count reads the places, so they are written once.
+    placed = with_positions(cells, ["_g"], {"i": ["x", "y"], "j": ["y", "x"]}, window_rows=window_rows).checkpoint()
+    largest = (placed.agg(F.max("i")).first()[0] or 0) + 1
+    names = placed.select(F.to_json("_g", {"ignoreNullFields": "false"}).alias("_key"), "_g").groupBy("_key").agg(F.first("_g").alias("_g"))
+    counted = _inversions(placed.select("_g", "i", "j", "n"), largest, block).groupBy("_key").agg(F.sum("discordant").alias("discordant"))
 
     def pairs(c: str) -> Column:
         return F.col(c).cast("double") * (F.col(c) - 1) / 2.0
 
+    ties = lambda *c: placed.groupBy("_g", *c).agg(F.sum("n").alias("n"))
     parts = (
-        walked.select("_g", (F.col("zeros").cast("double") * F.col("before_ones")).alias("discordant"))
-        .unionByName(xs.select("_g", pairs("n").alias("tie_x"), F.col("n").alias("rows")), allowMissingColumns=True)
-        .unionByName(ys.select("_g", pairs("n").alias("tie_y")), allowMissingColumns=True)
-        .unionByName(cells.select("_g", pairs("n").alias("tie_xy")), allowMissingColumns=True)
+        ties("x").select("_g", pairs("n").alias("tie_x"), F.col("n").alias("rows"))
+        .unionByName(ties("y").select("_g", pairs("n").alias("tie_y")), allowMissingColumns=True)
+        .unionByName(placed.select("_g", pairs("n").alias("tie_xy")), allowMissingColumns=True)
+        .unionByName(counted.join(names, "_key").select("_g", "discordant"), allowMissingColumns=True)
     )
     g = parts.groupBy("_g").agg(
         F.sum("rows").alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("discordant", "tie_x", "tie_y", "tie_xy")])

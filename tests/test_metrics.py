@@ -186,3 +186,37 @@ def test_status_of_files(spark):
     df = spark.createDataFrame(rows, "file string, DMS_score double, wt_score double, masked_score double")
     got = {r["file"]: r["status"] for r in M.per_file_correlation(df, "file").collect()}
     assert got == {"a": "computed", "b": "zero variance", "c": "missing", "d": "missing"}
+
+
+@pytest.mark.parametrize("block", [2, 5, 1024])
+def test_kendall_over_several_grids(spark, block):
+    """Blocks of a few places force a grid of grids; ties on both sides, a group of one, a constant and a null group."""
+    rng = random.Random(8)
+    rows = [(g, rng.choice([rng.random(), rng.randint(0, 6) / 4]), rng.choice([rng.random(), rng.randint(0, 3)])) for g in ("a", "b", None) for _ in range(90)]
+    rows += [("one", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)]
+    df = spark.createDataFrame([(g, float(t), float(p)) for g, t, p in rows], "g string, t double, p double")
+    got = {r["g"]: r["kendall_tau"] for r in M.kendall_tau(df, ["g"], "t", "p", block=block, window_rows=0 if block == 5 else None).collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    for g in ("a", "b", None, "one", "flat"):
+        pts = [(t, p) for k, t, p in rows if k == g]
+        ab = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(pts) for b in pts[:i]]
+        scale = math.sqrt(sum(x != 0 for x, _ in ab)) * math.sqrt(sum(y != 0 for _, y in ab))
+        assert got[g] == (pytest.approx(sum(x * y for x, y in ab) / scale, abs=1e-12) if scale else None)
+
+
+def test_strips_count_inversions():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n, top in ((0, 5), (1, 5), (50, 6), (300, 1000)):
+        i, j, w = r.integers(0, top, n), r.integers(0, top, n), r.integers(1, 4, n)
+        want = sum(int(w[a] * w[b]) for a in range(n) for b in range(n) if i[a] < i[b] and j[a] > j[b])
+        assert M.strip_inversions(i, j, w, step=7) == M.strip_inversions(i, j, w) == want
+
+
+def test_hits_of_large_groups_take_the_levels(spark):
+    rng = random.Random(3)
+    rows = [(g, float(rng.randint(0, 9)), float(rng.randint(0, 4)), i) for g in ("a", "b") for i in range(237 if g == "a" else 9)]
+    df = spark.createDataFrame(rows, "g string, y double, p double, id long")
+    small, large = (M.top_bottom_hits(df, ["g"], "y", "p", "id", window_rows=w).orderBy("g").collect() for w in (None, 0))
+    assert small == large
