@@ -45,6 +45,13 @@ def labelled_sample(labels: DataFrame, column: str, keep: Column, rows: int) ->
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, label, text`` of the labelled ids, one row each: of several texts
+    of an id the one with the smallest hash, so the rows are as bounded as the ids."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of about ``size`` bytes of text, so that the
     arrays derived from a slice stay small whatever the batch holds."""

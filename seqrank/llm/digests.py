@@ -68,7 +68,7 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _routes(docs: DataFrame, parts: int) -> tuple[list[int], int | None]:
-    """Ids that begin a part (rows of this id go to the part before as well), and the smallest id."""
+    """Ids that begin a part (the first row of this id goes to the part before as well), and the smallest id."""
     steps = [i / parts for i in range(1, parts)] or [0.5]
     row = docs.agg(F.percentile_approx("doc_id", steps, 10_000).alias("q"), F.min("doc_id").alias("least")).first()
     least = row["least"]
@@ -98,20 +98,18 @@ def with_next(docs: DataFrame, fn, schema: str, parts: int | None = None) -> Dat
     begins, least = _routes(base.select(F.col("_id").alias("doc_id")), parts)
     last = len(begins)
 
-    @pandas_udf("array<struct<part:int,tail:int>>")
-    def routes(ids):
-        edges = np.array(begins, dtype=np.int64)
-        at = np.searchsorted(edges, ids.to_numpy(), side="right")
-        first = np.isin(ids.to_numpy(), edges)
+    @pandas_udf("int")
+    def part(ids):
         import pandas as pd
-        return pd.Series([
-            [{"part": int(p), "tail": 0}]
-            + ([{"part": int(p) - 1, "tail": 1}] if f else [])
-            + ([{"part": last, "tail": 2}] if i == least else [])
-            for p, f, i in zip(at, first, ids)
-        ])
-
-    sent = base.withColumn("_r", F.explode(routes("_id"))).select("doc_id", "text", "_id", F.col("_r.part").alias("_part"), F.col("_r.tail").alias("_tail"))
+        return pd.Series(np.searchsorted(np.array(begins, dtype=np.int64), ids.to_numpy(), side="right").astype(np.int32))
+
+    # The first row of each range, one per id however often it stands there, goes to
+    # the range before as well; the first of all to the last range.
+    heads = {i: (at, 1) for at, i in enumerate(begins)} | ({least: (last, 2)} if least is not None else {})
+    first = base.where(F.col("_id").isin(*heads)).groupBy("_id").agg(F.min_by(F.struct("doc_id", "text"), F.struct(F.xxhash64("text"), "text")).alias("_row"))
+    where = spark.createDataFrame([(i, at, tail) for i, (at, tail) in heads.items()], "_id long, _part int, _tail int")
+    tails = first.join(F.broadcast(where), "_id").select("_row.doc_id", "_row.text", "_id", "_part", "_tail")
+    sent = base.select("doc_id", "text", "_id", part("_id").alias("_part"), F.lit(0).alias("_tail")).unionByName(tails)
     placed = sent.repartitionById(last + 1, F.col("_part")).sortWithinPartitions("_tail", "_id", F.xxhash64("text"))
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, labelled_sample, texts_of
+from .common import arrow_map, chunks, labelled_sample, labelled_texts, texts_of
 
 PASSAGE_BYTES = 256
 MAX_PASSAGES = 64
@@ -133,8 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     """
     from .common import remainder
 
-    ids = F.broadcast(labelled_sample(labels, label, remainder(F.col("doc_id"), folds) != held, sample))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id")
+    rows = labelled_texts(docs, labelled_sample(labels, label, remainder(F.col("doc_id"), folds) != held, sample))
 
     def bags(batch):
         for part in chunks([batch], "text"):

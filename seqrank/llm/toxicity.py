@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, labelled_sample, remainder, texts_of, written
+from .common import arrow_map, chunks, labelled_sample, labelled_texts, remainder, texts_of, written
 
 SAMPLE_DOCUMENTS = 12000
 MAX_FEATURES = 4096
@@ -143,8 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     reach the driver, so what it holds is bounded by sample x features. The weaker
     a feature's chi-square, the stronger its ridge.
     """
-    ids = F.broadcast(labelled_sample(labels, label, remainder(F.col("doc_id"), folds) != held, sample))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").where(F.col("text").isNotNull())
+    rows = labelled_texts(docs.where(F.col("text").isNotNull()), labelled_sample(labels, label, remainder(F.col("doc_id"), folds) != held, sample))
     swap = _SWAP
 
     def prepare(batch):

@@ -211,3 +211,32 @@ def test_language_evidence_and_edges(spark, documents):
     assert languages.identify(pages, documents).count() == len(rows)
     assert languages.identify(pages.limit(0), documents).count() == 0
     assert {r["lang"] for r in languages.identify(pages, documents.limit(0)).collect()} == {None}
+
+
+def test_digests_of_many_rows_without_id(make_docs, spark):
+    """Null and repeated ids at the ends of ranges: each row has one result, and the successor is the next in order of (id, text hash)."""
+    docs = make_docs([f"text number {i} " * (i % 5 + 1) for i in range(40)], edge=False).select("doc_id", "text")
+    nulls = docs.selectExpr("cast(NULL AS bigint) AS doc_id", "concat(text, ' x') AS text")
+    again = docs.where("doc_id IN (0, 9, 10, 20, 30)").selectExpr("doc_id", "explode(transform(sequence(1, 6), i -> concat(text, i))) AS text")
+    every = docs.unionByName(nulls).unionByName(again).unionByName(docs.where("doc_id = 10"))
+    from pyspark.sql import functions as F
+    order = [(r["doc_id"], r["text"]) for r in every.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    want = collections.Counter()
+    for i, (doc_id, text) in enumerate(order):
+        after, n = order[(i + 1) % len(order)][1], len(text)
+        half = n // 2
+        want[(doc_id, n, hashlib.sha256((text[:n - half] + after[:half]).encode()).hexdigest())] += 1
+    for parts in (1, 4, 9):
+        got = collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in digests.compare_edited(every, parts=parts).collect())
+        assert got == want
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    from seqrank.llm import common
+
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(1, "b"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (9, 1)], "doc_id long, quality int")
+    from pyspark.sql import functions as F
+    ids = common.labelled_sample(labels, "quality", F.lit(True), 10)
+    got = {r["doc_id"]: (r["label"], r["text"]) for r in common.labelled_texts(docs, ids).collect()}
+    assert set(got) == {1, 2} and got[1][0] == 1 and got[1][1] in "ab" and got[2] == (0, None)
