@@ -47,9 +47,18 @@ def filter_active(df: DataFrame, status: str | None, values: Sequence[str] = ACT
     return df if status is None else df.filter(F.lower(F.trim(F.coalesce(_text(df, status), F.lit("")))).isin(*[v.lower() for v in values]))
 
 
-def filter_potency(df: DataFrame, ec50: str, cap: float) -> DataFrame:
-    """Rows with a numeric potency at or below the cap."""
-    return df.filter(to_number(F.trim(F.col(f"`{ec50}`").cast("string"))) <= cap)
+def filter_potency(df: DataFrame, ec50: str, cap: float, skip_invalid: bool = True) -> DataFrame:
+    """Rows with a numeric potency at or below the cap.
+
+    Rows without a potency are dropped; so is text that is no number, unless
+    ``skip_invalid=False``, where it raises.
+    """
+    text = F.trim(F.col(f"`{ec50}`").cast("string"))
+    value = to_number(text)
+    if not skip_invalid:
+        broken = (text != "") & text.try_cast("double").isNull()
+        value = F.when(broken, F.raise_error(F.concat(F.lit("potency is no number: "), text)).cast("double")).otherwise(value)
+    return df.filter(value <= cap)
 
 
 def filter_target(df: DataFrame, target: str, value: str) -> DataFrame:
@@ -58,6 +67,7 @@ def filter_target(df: DataFrame, target: str, value: str) -> DataFrame:
 
 
 def _one_range(text: str) -> str:
+    # Fixed value: the input form of a range.
     pattern = r"^\\s*([0-9]+)\\s*(?:-|:|[.][.])\\s*([0-9]+)\\s*$"
     return (
         f"CASE WHEN {text} rlike '{pattern}' THEN named_struct('start', cast(regexp_extract({text}, '{pattern}', 1) AS int), "
@@ -137,7 +147,7 @@ def load_records(
     if max_ec50 is not None:
         if names["ec50"] is None:
             raise ValueError("a potency cap needs a potency column")
-        rows = filter_potency(rows, names["ec50"], max_ec50)
+        rows = filter_potency(rows, names["ec50"], max_ec50, skip_invalid)
     blank = F.lit("")
     given = F.trim(F.coalesce(_text(df, names["id"]), blank)) if names["id"] else blank
     rows = rows.select(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import attach_row, group_key, hash_key, with_position
 
+# Fixed value: stands for rows without a cluster.
 MISSING_CLUSTER = "__missing_cluster__"
 _PLAN_SCHEMA = "fold int, size long, phases array<struct<start:long,bins:array<int>>>"
 

@@ -113,8 +113,8 @@ def pick_heavy_light(t):
 
 
 @query("saturate", "C11", """
-SELECT poi, position, 'H' || (position + 1) || old || '>' || aa AS mutation, substr(seq, 1, position) || aa || substr(seq, position + 2) AS mutated
-FROM (SELECT poi, seq, position, substr(seq, position + 1, 1) AS old FROM {wt}, (VALUES (4), (5), (14), (23)) v(position) WHERE chain = 'H' AND position <> 5) CROSS JOIN {residues} WHERE aa <> old""")
+SELECT poi, chain, position, 'H' || (position + 1) || old || '>' || aa AS mutation, substr(seq, 1, position) || aa || substr(seq, position + 2) AS mutated
+FROM (SELECT poi, chain, seq, position, substr(seq, position + 1, 1) AS old FROM {wt}, (VALUES (4), (5), (14), (23)) v(position) WHERE position <> 5) CROSS JOIN {residues} WHERE aa <> old""")
 def saturate(t):
-    heavy = t("wt").filter("chain = 'H'").withColumn("spots", F.expr("array(4, 5, 14, 23)")).withColumn("taken", F.expr("array(5)"))
-    return M.saturate(heavy, "seq", "spots", "taken").select("poi", "position", "mutation", "mutated")
+    chains = t("wt").withColumn("spots", F.expr("array(4, 5, 14, 23)")).withColumn("taken", F.expr("array(5)"))
+    return M.saturate(chains, "seq", "spots", "taken").select("poi", "chain", "position", "mutation", "mutated")

@@ -224,8 +224,8 @@ SELECT concat('p', cast(p_partkey as string)) AS poi, pos, aa,
 FROM {part} CROSS JOIN {positions} CROSS JOIN {residues}
 """)
 fixture("chain_logits", """
-SELECT concat('p', cast(s_suppkey as string)) AS poi, chain, pos, aa,
-       ((s_suppkey * 31 + pos * 17 + ascii(aa) * 13 + ascii(chain) * 7) % 997) / 100E0 AS logit
-FROM {supplier} CROSS JOIN (SELECT 'H' AS chain UNION ALL SELECT 'L' UNION ALL SELECT 'A') c
+SELECT concat('p', cast(p_partkey as string)) AS poi, chain, pos, aa,
+       ((p_partkey * 31 + pos * 17 + ascii(aa) * 13 + ascii(chain) * 7) % 997) / 100E0 AS logit
+FROM {part} CROSS JOIN (SELECT 'H' AS chain UNION ALL SELECT 'L' UNION ALL SELECT 'A') c
 CROSS JOIN {positions} CROSS JOIN {residues}
 """)

@@ -179,10 +179,15 @@ def delta_vs_wildtype(t):
     return rounded(S.delta_vs_wildtype(rows, wt, "o_custkey").select("o_orderkey", "delta"))
 
 
-@query("pseudo_loglik", "D14", f"SELECT w.poi, {rnd('avg(logprob)', 'pll')} FROM {{wt}} w JOIN lp ON lp.poi = w.poi AND lp.aa = substr(seq, lp.pos, 1) WHERE chain = 'H' GROUP BY w.poi", _LP)
+def _chain_key(df):
+    return df.withColumn("key", F.concat("poi", F.lit("/"), "chain"))
+
+
+@query("pseudo_loglik", "D14", f"SELECT concat(w.poi, '/', w.chain) AS key, {rnd('avg(logprob)', 'pll')} FROM {{wt}} w JOIN clp lp ON lp.poi = w.poi AND lp.chain = w.chain AND lp.aa = substr(seq, lp.pos, 1) GROUP BY ALL", {"clp": _CHAIN_LP})
 def pseudo_loglik(t):
-    lp = S.log_softmax(t("logits"), ["poi", "pos"])
-    return rounded(S.pseudo_loglik(lp, t("wt").filter("chain = 'H'"), "poi", "seq"))
+    """All chains of every wild type."""
+    lp = S.log_softmax(_chain_key(t("chain_logits")), ["key", "pos"])
+    return rounded(S.pseudo_loglik(lp, _chain_key(t("wt")), "key", "seq"))
 
 
 @query("residue_probability", "D15", f"SELECT poi, aa, {rnd('avg(exp(logprob))', 'probability')}, {rnd('max(exp(logprob))', 'peak')} FROM lp GROUP BY poi, aa", _LP)
@@ -191,16 +196,17 @@ def residue_probability(t):
     return rounded(out.groupBy("poi", "aa").agg(F.avg("probability").alias("probability"), F.max("probability").alias("peak")))
 
 
-_MASKED = "SELECT poi, concat(substr(seq, 1, 4), '*', substr(seq, 6, 9), '*', substr(seq, 16)) AS seq FROM {wt} WHERE chain = 'L'"
+_MASKED = "SELECT concat(poi, '/', chain) AS key, concat(substr(seq, 1, 4), '*', substr(seq, 6, 9), '*', substr(seq, 16)) AS seq FROM {wt}"
 
 
 @query("restore_masked", "D16", """
-SELECT m.poi, substr(m.seq, 1, 4) || a.aa || substr(m.seq, 6, 9) || b.aa || substr(m.seq, 16) AS restored FROM mk m
-JOIN best a ON a.poi = m.poi AND a.pos = 5 JOIN best b ON b.poi = m.poi AND b.pos = 15""", {
+SELECT m.key, substr(m.seq, 1, 4) || a.aa || substr(m.seq, 6, 9) || b.aa || substr(m.seq, 16) AS restored FROM mk m
+JOIN best a ON a.key = m.key AND a.pos = 5 JOIN best b ON b.key = m.key AND b.pos = 15""", {
     "mk": _MASKED,
-    "best": "SELECT poi, pos, aa FROM (SELECT *, row_number() OVER (PARTITION BY poi, pos ORDER BY logit DESC, aa) AS rn FROM {logits} WHERE pos IN (5, 15)) WHERE rn = 1"})
+    "best": "SELECT concat(poi, '/', chain) AS key, pos, chr(-max(struct_pack(l := logit, a := -ascii(aa))).a) AS aa FROM {chain_logits} WHERE pos IN (5, 15) GROUP BY ALL"})
 def restore_masked(t):
-    return S.restore_masked(t.sql(_MASKED), t("logits"), "poi", "seq").select("poi", "restored")
+    """All chains of every wild type."""
+    return S.restore_masked(t.sql(_MASKED), _chain_key(t("chain_logits")), "key", "seq").select("key", "restored")
 
 
 def _length_model(batches):

@@ -487,3 +487,11 @@ def test_pooled_vectors(spark):
     assert {r["k"]: r["vec"] for r in H.pool_residues(res, "k", mask="m").collect()} == {"a": [2.0, 4.0], "b": [0.0, 0.0]}
     both = H.concat_branches(res.selectExpr("vec AS hc", "cast(NULL AS array<double>) AS lc", "vec AS ag")).collect()
     assert len(both) == 5 and all(len(r["features"]) == 4 and not r["lc_present"] for r in both)
+
+
+def test_potency_that_is_no_number(spark):
+    df = spark.createDataFrame([(1, "5"), (2, " 50 "), (3, ""), (4, None), (5, "n.d.")], "i long, ec50 string")
+    assert [r["i"] for r in J.filter_potency(df, "ec50", 10).collect()] == [1]
+    assert [r["i"] for r in J.filter_potency(df.filter("i < 5"), "ec50", 10, skip_invalid=False).collect()] == [1]
+    with pytest.raises(Exception, match="potency is no number: n.d."):
+        J.filter_potency(df, "ec50", 10, skip_invalid=False).collect()
