@@ -266,27 +266,44 @@ def sequence_hash(c: Column) -> Column:
     return F.sha2(F.upper(F.trim(c)), 256)
 
 
+def save_cache(cache: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """Write model outputs ``(seq_hash, out)`` as a table bucketed by their key and read it again.
+
+    A later join by ``seq_hash`` reads the buckets where they are and shuffles
+    only the other side.
+    """
+    cache.write.mode("overwrite").bucketBy(buckets, "seq_hash").sortBy("seq_hash").saveAsTable(table)
+    return cache.sparkSession.table(table)
+
+
 def infer_with_cache(
     df: DataFrame, seq: str, cache: DataFrame, model: Callable[[Iterator], Iterator], out: str = "score", out_type: str = "double"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run a model only on distinct unseen sequences.
 
     ``model`` is a ``mapInPandas`` function from ``(seq_hash, seq)`` batches to
-    ``(seq_hash, out)`` batches; ``cache`` has ``(seq_hash, out)``. Returns the
-    rows with their output, the new cache rows to append, and hit counts.
+    ``(seq_hash, out)`` batches; ``cache`` has ``(seq_hash, out)``, best as a
+    table of :func:`save_cache`. The cache is read once: one join tells hits from
+    misses and brings the cached outputs. Returns the rows with their output,
+    the new cache rows to append, and hit counts.
     """
     keyed = df.withColumn("seq_hash", sequence_hash(F.col(seq)))
     wanted = keyed.select("seq_hash", F.upper(F.trim(F.col(seq))).alias("seq")).dropDuplicates(["seq_hash"])
-    unseen = wanted.join(cache.select("seq_hash"), "seq_hash", "left_anti")
-    # Both returned frames read the new outputs, so the model runs once and they are kept.
+    # Misses, hits and counts read the same join, and both returned frames the new
+    # outputs, so each is written once and the model runs once.
     checkpoint_dir(df.sparkSession)
-    fresh = unseen.mapInPandas(model, schema=f"seq_hash string, {out} {out_type}").checkpoint()
-    known = cache.select("seq_hash", out).unionByName(fresh)
-    seen = wanted.join(cache.select("seq_hash", F.lit(1).alias("_hit")), "seq_hash", "left")
-    counts = seen.agg(F.count("_hit").alias("hits"), F.count_if(F.col("_hit").isNull()).alias("misses"))
+    looked = looked_up(wanted, cache, out).checkpoint()
+    fresh = looked.filter("_hit IS NULL").select("seq_hash", "seq").mapInPandas(model, schema=f"seq_hash string, {out} {out_type}").checkpoint()
+    known = looked.filter("_hit").select("seq_hash", F.col("_cached").alias(out)).unionByName(fresh)
+    counts = looked.agg(F.count("_hit").alias("hits"), F.count_if(F.col("_hit").isNull()).alias("misses"))
     return keyed.join(known, "seq_hash", "left"), fresh, counts
 
 
+def looked_up(wanted: DataFrame, cache: DataFrame, out: str) -> DataFrame:
+    """``wanted`` with the cached output as ``_cached`` and ``_hit`` where there is one."""
+    return wanted.join(cache.select("seq_hash", F.col(out).alias("_cached"), F.lit(True).alias("_hit")), "seq_hash", "left")
+
+
 def with_toy_score(df: DataFrame, weights: Mapping[str, float], mutant: str = "mutant", out: str = "mock_score") -> DataFrame:
     """Demonstration scorer (D19): weight change minus 0.01 per position, six decimals."""
     table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])

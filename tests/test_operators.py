@@ -495,3 +495,30 @@ def test_potency_that_is_no_number(spark):
     assert [r["i"] for r in J.filter_potency(df.filter("i < 5"), "ec50", 10, skip_invalid=False).collect()] == [1]
     with pytest.raises(Exception, match="potency is no number: n.d."):
         J.filter_potency(df, "ec50", 10, skip_invalid=False).collect()
+
+
+def test_bucketed_cache_is_not_shuffled(spark):
+    seqs = spark.range(500).selectExpr("id", "concat('acd', id % 400) AS seq")
+    cached = seqs.filter("id % 3 = 0").select(S.sequence_hash(F.col("seq")).alias("seq_hash"), F.lit(-1.0).alias("score")).distinct()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cache = S.save_cache(cached, "seqrank_test_cache", 8)
+        wanted = seqs.select(S.sequence_hash(F.col("seq")).alias("seq_hash"), "seq").dropDuplicates(["seq_hash"])
+        plan = S.looked_up(wanted, cache, "score")._jdf.queryExecution().executedPlan().toString()
+        # The one that groups the wanted sequences.
+        assert plan.count("Exchange") == 1
+
+        def model(batches):
+            for b in batches:
+                yield b.assign(score=b["seq"].str.len().astype("float64"))[["seq_hash", "score"]]
+
+        rows, fresh, counts = S.infer_with_cache(seqs, "seq", cache, model)
+        hits = cached.count()
+        assert counts.first()[:] == (hits, 400 - hits) and fresh.count() == 400 - hits
+        got = {r["id"]: r["score"] for r in rows.collect()}
+        known = {f"acd{i % 400}" for i in range(0, 500, 3)}
+        assert got == {i: -1.0 if f"acd{i % 400}" in known else float(len(f"acd{i % 400}")) for i in range(500)}
+    finally:
+        spark.sql("DROP TABLE IF EXISTS seqrank_test_cache")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
