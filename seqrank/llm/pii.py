@@ -8,7 +8,8 @@ Base kinds are leftmost and non-overlapping per kind: ``email``, ``ip`` (parts
 at most 255), ``card`` (14 to 19 digits, Luhn) and ``phone`` (10 to 15 digits).
 Added kinds: ``iban`` (mod 97) and ``local_phone`` (numbers without a country
 code, which need a context word nearby). A failing match is dropped, not
-retried. Null and empty texts have no spans; repeated rows get equal results;
+retried. The mark character U+0001 reads as U+0002, also in the ``value`` of a
+span. Null and empty texts have no spans; repeated rows get equal results;
 other columns are ignored.
 """
 
@@ -154,6 +155,11 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores(spans: Column) -> Column:
+    """Scores of all spans in hundredths, joined by commas in the order of :func:`described`."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``text`` with every confirmed span replaced by its kind in angle brackets.
 

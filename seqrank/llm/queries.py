@@ -32,7 +32,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.filter("pii", lambda s: s["kind"] == k)
     base = F.filter("pii", lambda s: s["kind"] < pii.BASE_KINDS)
     counts = [F.size(of(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[: pii.BASE_KINDS])]
-    return found.select("doc_id", *counts, F.sha2(pii.described(base), 256).alias("base_sha256"), pii.described(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.described(base), 256).alias("base_sha256"), pii.described(F.col("pii")).alias("spans"), pii.scores(F.col("pii")).alias("scores"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,3 +240,38 @@ def test_repeated_labelled_rows_count_once(spark):
     ids = common.labelled_sample(labels, "quality", F.lit(True), 10)
     got = {r["doc_id"]: (r["label"], r["text"]) for r in common.labelled_texts(docs, ids).collect()}
     assert set(got) == {1, 2} and got[1][0] == 1 and got[1][1] in "ab" and got[2] == (0, None)
+
+
+def test_added_kinds_and_scores_against_a_plain_loop(make_docs, documents):
+    """Matches, checksums, context words and scores of every kind, one text at a time."""
+    import regex
+
+    extra = ["IBAN GB82 WEST 1234 5698 7654 32 thanks", "DE89370400440532013000", "DE89370400440532013001 bank", "call (415) 555-2671 or 415.555.2672", "415 555 2671",
+             "x" * 60 + " phone " + "y" * 39 + " 415-555-2671", "konto: FR1420041010050500013M02606.", "mail a@b.org, fax +49 30 1234567, host 10.0.0.1, visa 4111 1111 1111 1111"]
+    for docs in (make_docs(extra, edge=False), documents):
+        for r in pii.find(docs).select("text", "pii").collect():
+            t = r["text"] or ""
+            want = []
+            for k, kind in enumerate(pii.KINDS):
+                for m in regex.finditer(pii.PATTERNS[kind], t):
+                    v = m.group()
+                    n = "".join(c for c in v if c in "0123456789")
+                    if kind == "ip" and any(int(p) > 255 for p in v.split(".")):
+                        continue
+                    if kind == "card" and not (14 <= len(n) <= 19 and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(n))) % 10 == 0):
+                        continue
+                    if kind == "phone" and not 10 <= len(n) <= 15:
+                        continue
+                    if kind == "iban":
+                        plain = v.replace(" ", "")
+                        if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1:
+                            continue
+                    # The context reaches to the neighbouring matches of the kind at most.
+                    others = [o for o in regex.finditer(pii.PATTERNS[kind], t) if o.span() != m.span()]
+                    lo = max([o.end() for o in others if o.end() <= m.start()], default=0)
+                    hi = min([o.start() for o in others if o.start() >= m.end()], default=len(t))
+                    near = t[max(lo, m.start() - 40):m.start()] + " " + t[m.end():min(hi, m.end() + 20)]
+                    score = min(1.0, pii.START[kind] + (0.2 if regex.search(rf"\b(?:{pii.CONTEXT[kind]})", near.lower()) else 0.0))
+                    if k < pii.BASE_KINDS or score >= pii.MIN_SCORE:
+                        want.append((m.start(), k, m.end(), round(score, 3)))
+            assert sorted(want) == [(s["start"], s["kind"], s["end"], s["score"]) for s in r["pii"]], t[:200]
