@@ -1,9 +1,11 @@
 """Toxicity with a counterfactual penalty.
 
-A logistic model over words and word beginnings. For each labelled text whose
-sentences mention an identity term, the terms are swapped for another term of
-the same set; the squared change of the score is a penalty, so the model can't
-lean on who is mentioned and neutral mentions are not flagged.
+A logistic model over words and word beginnings. Every sentence of a labelled
+text that mentions an identity term has a counterfactual, in which each term is
+swapped for the next term of its line; the squared change of the sentence's score
+is a penalty, so the model can't lean on who is mentioned and neutral mentions are
+not flagged. A sentence that names all terms of a line at once would swap to
+itself: it has one counterfactual per term, which swaps that term alone.
 
 Empty and null texts have no features and get the base rate of the model.
 Repeated rows get equal scores; other columns are ignored.
@@ -22,10 +24,14 @@ from .common import arrow_map, chunks, labelled_sample, labelled_texts, remainde
 SAMPLE_DOCUMENTS = 12000
 MAX_FEATURES = 4096
 MIN_DOCUMENTS = 4
+# Pairs of sentence and counterfactual in the fit.
+SAMPLE_SENTENCES = 20000
+PENALTY = 8.0
 # Ridge of a feature: the base, and a part that grows as its chi-square falls, so that
 # features of chance, which small samples are full of, get small weights.
 RIDGE, SHRINK = 2e-4, 0.02
-_WORD = re.compile(r"[^\W\d_]+")
+# Where a sentence ends.
+_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f]+\s+|\n+")
 
 # Terms that name groups of people; a term is swapped for the next one of its
 # line. One line holds one language and one grammatical form.
@@ -74,16 +80,26 @@ def swap_table(sets: str = IDENTITY_SETS) -> dict[str, str]:
 
 
 _SWAP = swap_table()
+# Terms with a hyphen are one word each; all other words hold letters only.
+_WORD = re.compile("|".join([rf"{t}(?![^\W\d_])" for t in _SWAP if "-" in t] + [r"[^\W\d_]+"]))
 
 
 def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def swapped(words: set[str], swap: dict[str, str] = _SWAP) -> set[str] | None:
-    """The words after the swap, or None if no term occurs."""
+def swapped(words: set[str], swap: dict[str, str] = _SWAP) -> list[set[str]]:
+    """The counterfactuals of a sentence: all its terms swapped, or, where that
+    gives the same words, each term alone; none without a term."""
     hit = words & swap.keys()
-    return (words - hit) | {swap[w] for w in hit} if hit else None
+    every = (words - hit) | {swap[w] for w in hit}
+    return [every] if every != words else [(words - {w}) | {swap[w]} for w in sorted(hit)]
+
+
+def counterfactuals(text: str, swap: dict[str, str] = _SWAP) -> list[tuple[set[str], set[str]]]:
+    """Pairs of words before and after the swap, sentence by sentence."""
+    seen = [words_of(part) for part in _END.split(text)]
+    return [(words, other) for words in seen for other in swapped(words, swap)]
 
 
 def features(words: set[str]) -> set[str]:
@@ -102,58 +118,64 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(names: list[str], rows: list[list[int]], other: list[list[int] | None], y: np.ndarray,
-          penalty: float = 1.0, ridge: float | np.ndarray = 2e-4, steps: int = 400, rate: float = 0.1) -> Model:
-    """Fit by Adam on the full batch: log loss + ridge + penalty * (score(x) - score(swapped x))^2.
+def train(names: list[str], rows: list[list[int]], pairs: list[tuple[list[int], list[int]]], y: np.ndarray,
+          penalty: float = PENALTY, ridge: float | np.ndarray = 2e-4, steps: int = 400, rate: float = 0.1) -> Model:
+    """Fit by Adam on the full batch: mean log loss + ridge + penalty * mean of
+    (score(sentence) - score(swapped sentence))^2.
 
-    ``rows`` and ``other`` hold feature indexes of each text and of its swapped
-    form (None: no term); ``ridge`` is one number or one per feature.
+    ``rows`` hold the feature indexes of each text, ``pairs`` those of a sentence
+    and of its counterfactual; ``ridge`` is one number or one per feature.
     """
-    n, d = len(y), len(names)
+    n, d, k = len(y), len(names), len(pairs)
     if not n:
         return Model({}, 0.0)
     flat = lambda lists: (np.repeat(np.arange(len(lists)), [len(r) for r in lists]), np.array([j for r in lists for j in r], dtype=np.int64))
+    squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     at, col = flat(rows)
-    pairs = [i for i, o in enumerate(other) if o is not None]
-    p_at, p_col = flat([rows[i] for i in pairs])
-    q_at, q_col = flat([other[i] for i in pairs])
+    p_at, p_col = flat([a for a, _ in pairs])
+    q_at, q_col = flat([b for _, b in pairs])
     rate_1 = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     w, b = np.zeros(d), np.log(rate_1 / (1 - rate_1))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, steps + 1):
-        z = b + np.bincount(at, w[col], n)
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.bincount(col, err[at], d) + ridge * w
-        if pairs:
-            gap = (np.bincount(p_at, w[p_col], len(pairs)) - np.bincount(q_at, w[q_col], len(pairs))) * (2 * penalty / len(pairs))
-            g += np.bincount(p_col, gap[p_at], d) - np.bincount(q_col, gap[q_at], d)
-        g = np.append(g, err.sum())
+        err = (squash(b + np.bincount(at, w[col], n)) - y) / n
+        g, g_b = np.bincount(col, err[at], d) + ridge * w, err.sum()
+        if k:
+            p, q = squash(b + np.bincount(p_at, w[p_col], k)), squash(b + np.bincount(q_at, w[q_col], k))
+            gap = (p - q) * (2 * penalty / k)
+            p, q = gap * p * (1 - p), gap * q * (1 - q)
+            g += np.bincount(p_col, p[p_at], d) - np.bincount(q_col, q[q_at], d)
+            g_b += p.sum() - q.sum()
+        g = np.append(g, g_b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Model({k: float(x) for k, x in zip(names, w) if abs(x) > 1e-6}, float(b))
+    return Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-6}, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2,
-        sample: int = SAMPLE_DOCUMENTS, penalty: float = 1.0) -> Model:
-    """Train on at most ``sample`` labelled documents outside the held-out fold.
+        sample: int = SAMPLE_DOCUMENTS, penalty: float = PENALTY, sentences: int = SAMPLE_SENTENCES,
+        max_features: int = MAX_FEATURES, min_documents: int = MIN_DOCUMENTS) -> Model:
+    """Train on at most ``sample`` labelled documents outside the held-out fold and
+    at most ``sentences`` pairs of a sentence of theirs and its counterfactual,
+    chosen by hash.
 
     A grouped aggregate counts the documents of each feature by label and keeps
-    the ``MAX_FEATURES`` features with the largest chi-square; only their indexes
-    reach the driver, so what it holds is bounded by sample x features. The weaker
-    a feature's chi-square, the stronger its ridge.
+    the ``max_features`` features with the largest chi-square among those of at
+    least ``min_documents`` documents; only their indexes reach the driver, so what
+    it holds is bounded by (sample + sentences) x features. The weaker a feature's
+    chi-square, the stronger its ridge.
     """
     rows = labelled_texts(docs.where(F.col("text").isNotNull()), labelled_sample(labels, label, remainder(F.col("doc_id"), folds) != held, sample))
-    swap = _SWAP
 
     def prepare(batch):
         for part in chunks([batch], "text"):
-            w = [words_of(t) for t in texts_of(part)]
-            o = [swapped(x, swap) for x in w]
+            texts = texts_of(part)
+            pairs = [counterfactuals(t) for t in texts]
             yield {"doc_id": part.column(part.schema.get_field_index("doc_id")), "label": part.column(part.schema.get_field_index("label")),
-                   "words": [sorted(x) for x in w], "other": [None if x is None else sorted(x) for x in o]}
+                   "words": [sorted(words_of(t)) for t in texts], "pairs": [[{"x": sorted(a), "z": sorted(b)} for a, b in p] for p in pairs]}
 
-    bags = written(arrow_map(rows, prepare, "doc_id long, label int, words array<string>, other array<string>"), "toxicity-words")
+    bags = written(arrow_map(rows, prepare, "doc_id long, label int, words array<string>, pairs array<struct<x: array<string>, z: array<string>>>"), "toxicity-words")
 
     def counted(batches):
         import pyarrow as pa
@@ -174,20 +196,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     counts = bags.select("words", "label").mapInArrow(counted, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("a"), F.sum("no").alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi = F.pow(a * (nn - b) - b * (ny - a), 2) / ((a + b) * (ny + nn - a - b) + 1.0)
-    best = counts.where(a + b >= MIN_DOCUMENTS).select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(MAX_FEATURES)
+    best = counts.where(a + b >= min_documents).select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(max_features)
     strength = {r["feature"]: r["chi"] * (ny + nn) / max(ny * nn, 1.0) for r in best.collect()}
     names = sorted(strength)
     ridge = RIDGE + np.array([min(1.0, SHRINK / max(strength[f], 1e-9)) for f in names])
     index = {f: i for i, f in enumerate(names)}
+    pick = lambda words: sorted(index[f] for f in features(set(words)) & index.keys())
 
     def project(batch):
-        pick = lambda words: None if words is None else sorted(index[f] for f in features(set(words)) & index.keys())
-        yield {"doc_id": batch.column(0), "label": batch.column(1), "x": [pick(w) for w in batch.column(2).to_pylist()], "z": [pick(w) for w in batch.column(3).to_pylist()]}
+        yield {"label": batch.column(0), "x": [pick(w) for w in batch.column(1).to_pylist()]}
+
+    def project_pairs(batch):
+        yield {"x": [pick(w) for w in batch.column(0).to_pylist()], "z": [pick(w) for w in batch.column(1).to_pylist()]}
 
-    got = arrow_map(bags, project, "doc_id long, label int, x array<int>, z array<int>").toPandas().sort_values("doc_id", kind="stable")
+    ordered = bags.orderBy("doc_id").select("label", "words")
+    got = arrow_map(ordered, project, "label int, x array<int>").toPandas()
+    drawn = bags.select("doc_id", F.posexplode("pairs").alias("i", "p")).orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(sentences).select("p.x", "p.z")
+    both = arrow_map(drawn, project_pairs, "x array<int>, z array<int>").toPandas()
     x = [list(r) for r in got["x"]]
-    z = [None if r is None else list(r) for r in got["z"]]
-    return train(names, x, z, (got["label"].to_numpy() == 1).astype(float), penalty, ridge)
+    pairs = sorted((a, b) for a, b in zip(map(list, both["x"]), map(list, both["z"])) if a != b)
+    return train(names, x, pairs, (got["label"].to_numpy() == 1).astype(float), penalty, ridge)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

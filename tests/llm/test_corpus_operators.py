@@ -1,6 +1,8 @@
 """Classifiers, mixing, neighbours, near copies and the pipeline."""
 
 import collections
+import math
+import random
 import re
 import zlib
 
@@ -76,10 +78,42 @@ def test_swaps_lower_the_weight_of_group_terms():
     rows = [[0, 1, 3]] * 30 + [[1]] * 10 + [[2]] * 30 + [[0, 2]] * 10
     other = [[0, 2, 3]] * 30 + [[2]] * 10 + [[1]] * 30 + [[0, 1]] * 10
     y = np.array([1.0] * 30 + [0.0] * 50)
-    free, held = toxicity.train(names, rows, other, y, penalty=0.0), toxicity.train(names, rows, other, y, penalty=5.0)
+    pairs = list(zip(rows, other))
+    free, held = toxicity.train(names, rows, pairs, y, penalty=0.0), toxicity.train(names, rows, pairs, y)
     gap = lambda m: abs(m.weights.get("muslims", 0) - m.weights.get("christians", 0))
     assert gap(held) < 0.2 * gap(free) and held.weights["idiot"] > 1
-    assert toxicity.swapped({"muslims", "went"}) == {"jews", "went"} and toxicity.swapped({"went"}) is None
+
+
+def test_counterfactuals_of_sentences():
+    assert toxicity.swapped({"muslims", "went"}) == [{"jews", "went"}] and toxicity.swapped({"went"}) == []
+    assert toxicity.swapped({"he", "she", "left"}) == [{"she", "left"}, {"he", "left"}]
+    got = toxicity.counterfactuals("He left. She came!\nNobody here\nan Able-bodied woman, unable-bodied")
+    assert got == [({"he", "left"}, {"she", "left"}), ({"she", "came"}, {"he", "came"}),
+                   ({"an", "able-bodied", "woman", "unable", "bodied"}, {"an", "disabled", "man", "unable", "bodied"})]
+    assert toxicity.counterfactuals("") == [] and toxicity.words_of("able-bodiedness") == {"able", "bodiedness"}
+
+
+def test_penalised_training_against_a_plain_loop():
+    r = random.Random(4)
+    names = [f"f{i}" for i in range(6)]
+    rows = [sorted(r.sample(range(6), r.randrange(0, 5))) for _ in range(12)]
+    pairs = [(sorted(r.sample(range(6), 2)), sorted(r.sample(range(6), 3))) for _ in range(5)] + [([], [1])]
+    y = np.array([float(0 in x) for x in rows])
+    penalty, ridge = 3.0, 0.01
+
+    def loss(p):
+        unit = lambda x: 1 / (1 + math.exp(-(p[-1] + sum(p[j] for j in x))))
+        fitted = -sum(math.log(unit(x) if t else 1 - unit(x)) for x, t in zip(rows, y)) / len(rows)
+        return fitted + ridge / 2 * sum(w * w for w in p[:-1]) + penalty * sum((unit(a) - unit(b)) ** 2 for a, b in pairs) / len(pairs)
+
+    base = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    p, m, v = [0.0] * 6 + [math.log(base / (1 - base))], [0.0] * 7, [0.0] * 7
+    for step in range(1, 31):
+        g = [(loss(p[:i] + [p[i] + 1e-5] + p[i + 1:]) - loss(p[:i] + [p[i] - 1e-5] + p[i + 1:])) / 2e-5 for i in range(7)]
+        m, v = [0.9 * a + 0.1 * x for a, x in zip(m, g)], [0.999 * a + 0.001 * x * x for a, x in zip(v, g)]
+        p = [w - 0.1 * (a / (1 - 0.9**step)) / (math.sqrt(b / (1 - 0.999**step)) + 1e-8) for w, a, b in zip(p, m, v)]
+    model = toxicity.train(names, rows, pairs, y, penalty, ridge, steps=30)
+    assert [model.weights.get(f, 0.0) for f in names] == pytest.approx(p[:-1], abs=1e-4) and model.bias == pytest.approx(p[-1], abs=1e-4)
 
 
 def test_targets():
