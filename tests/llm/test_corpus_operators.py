@@ -116,12 +116,25 @@ def test_penalised_training_against_a_plain_loop():
     assert [model.weights.get(f, 0.0) for f in names] == pytest.approx(p[:-1], abs=1e-4) and model.bias == pytest.approx(p[-1], abs=1e-4)
 
 
-def test_targets():
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
-    t = mixing.targets([10, 1000, 1000, 5])
-    assert sum(t) == pytest.approx(2015) and t[0] == 30 and t[3] == 15
-    assert t[1] / 2 == pytest.approx(t[2])
-    assert mixing.targets([7]) == [7.0]
+def plain_targets(sizes):
+    left, out, free = float(sum(sizes)), [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s]
+    weight = lambda i: (5, 2, 1)[i % 3]
+    while free:
+        level = left / sum(map(weight, free))
+        full = [i for i in free if level * weight(i) > 3 * sizes[i]]
+        for i in full or free:
+            out[i] = 3.0 * sizes[i] if full else level * weight(i)
+            left -= out[i]
+        free = [i for i in free if i not in full] if full else []
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 0], [10, 1000, 1000, 5], [7], [2**i for i in range(12)], [4**i for i in range(10, 0, -1)] + [0, 1]])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([(f"s{i:02}", f"=s{i:02}", s) for i, s in enumerate(sizes)], "source string, _s string, size long")
+    got = sorted(mixing.plan(rows).collect(), key=lambda r: r["rank"])
+    assert [r["target"] for r in got] == plain_targets(sizes) and [r["source_size"] for r in got] == sizes
+    assert all(r["wanted"] == min(round(r["target"]), 3 * r["source_size"]) for r in got)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
@@ -143,11 +156,70 @@ def test_mixing_query(spark, sf_dir, documents):
         taken[d["source"]] += r["taken"]
         target[d["source"]] = r["target"]
     names = sorted(size)
-    assert [target[s] for s in names] == mixing.targets([size[s] for s in names])
+    assert [target[s] for s in names] == plain_targets([size[s] for s in names])
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     assert sorted(queries.op4_mixing(spark, sf_dir).collect()) == sorted(rows)
 
 
+def test_mixing_against_a_plain_loop(spark, make_docs, monkeypatch):
+    """Streams without gaps, every epoch a permutation of blocks, draws per shard, and the words taken from each document."""
+    monkeypatch.setattr(mixing, "CELL_SHARDS", 3)
+    r = random.Random(1)
+    docs = [(i, " ".join("w" * r.choice([1, 0]) + "x" for _ in range(r.choice([0, 1, 40, 700]))), r.choice(["a", "a", "a", "b", None, "c"])) for i in range(200)]
+    frame = spark.createDataFrame(docs + docs[:3], "doc_id long, text string, source string")
+    rows = mixing.sized(frame)
+    sources = mixing.plan(rows)
+    info = {p["rank"]: p for p in sources.collect()}
+    placed = mixing.place(rows, sources).collect()
+    block = 16
+    filled = mixing.slots(sources, block, shard_slots=64).collect()
+    streams = {}
+    for k, p in info.items():
+        mine = sorted((q["at"], q["size"], q["doc_id"], q["r"]) for q in placed if q["rank"] == k and q["size"])
+        assert [a for a, *_ in mine] == [sum(n for _, n, *_ in mine[:i]) for i in range(len(mine))]
+        streams[k] = [(d, c) for _, n, d, c in mine for _ in range(n)]
+        assert len(streams[k]) == p["source_size"]
+    taken, blocks = collections.Counter(), collections.defaultdict(list)
+    for s in filled:
+        taken.update(streams[s["rank"]][s["block"] * block:s["block"] * block + s["take"]])
+        blocks[s["rank"], s["epoch"]].append(s["block"])
+    for (k, epoch), of in blocks.items():
+        p = info[k]
+        whole = -(-p["source_size"] // block)
+        rest = -(-(p["wanted"] - epoch * p["source_size"]) // block)
+        assert len(set(of)) == len(of) == min(whole, rest) and set(of) <= set(range(whole))
+    per = collections.Counter(s["rank"] for s in filled)
+    total = sum(per.values())
+    drawn = [np.random.default_rng([1, t]).multinomial(min(64, total - 64 * t), [per[k] / total for k in sorted(per)]) for t in range(-(-total // 64))]
+    for k, n in zip(sorted(per), np.array(drawn).T):
+        got = collections.Counter(s["shard"] for s in filled if s["rank"] == k)
+        spare = per[k] - int(n.sum())  # below 0: the last draws are not filled; above: dealt over the shards
+        assert sum(max(0, int(x) - got[t]) for t, x in enumerate(n)) == max(0, -spare) and sum(max(0, got[t] - int(x)) for t, x in enumerate(n)) == max(0, spare)
+    words, plain = collections.Counter(), collections.Counter()
+    for s in mixing.mix(frame, block)[1].collect():
+        words[s["doc_id"]] += s["stop"] - s["start"]
+    for (d, _), n in taken.items():
+        plain[d] += n
+    assert words == plain and sum(plain.values()) == sum(p["wanted"] for p in info.values())
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HEADS", 8)
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('w ', int(id % 7)) as text", "concat('s', id % 300) as source").unionByName(
+        spark.createDataFrame([(1000, "w " * 3000, "s0"), (1001, "w", None), (1002, "w w", "")], "doc_id long, text string, source string"))
+    rows = mixing.taken_words(docs).collect()
+    known = {r["doc_id"]: r["source"] for r in docs.collect()}
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in rows:
+        size[known[r["doc_id"]]] += r["size"]
+        taken[known[r["doc_id"]]] += r["taken"]
+        target[known[r["doc_id"]]] = r["target"]
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    assert len(rows) == 603 and [target[s] for s in names] == pytest.approx(plain_targets([size[s] for s in names]))
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names) and all(r["taken"] <= 3 * r["size"] for r in rows)
+    assert sorted(mixing.taken_words(docs).collect()) == sorted(rows)
+
+
 def test_mixing_edges(make_docs):
     docs = make_docs(["one two three four five"] * 30 + ["w " * 900, " \n "])
     rows = mixing.taken_words(docs).collect()
