@@ -213,6 +213,61 @@ def test_language_evidence_and_edges(spark, documents):
     assert {r["lang"] for r in languages.identify(pages, documents.limit(0)).collect()} == {None}
 
 
+def plain_languages(pages, docs):
+    """(language, probability) of each page by loops over pages and languages."""
+    counts = {}
+    for lang, text in docs:
+        at = counts.setdefault(lang, np.full(languages.BUCKETS, 0.5))
+        for b in languages.triplets(text):
+            at[b] += 1
+    names = sorted(counts)
+    table = [np.log(counts[n] / counts[n].sum()) for n in names]
+    rows = []
+    for url, html in pages:
+        host = (re.match(languages._HOST, url or "") or [None, ""])[1].lower()
+        end = host.split(".")[-1]
+        end = end if re.fullmatch("[a-z]{2,3}", end) else "none"
+        declared = (re.search(languages._DECLARED, html or "") or [None, "none"])[1].lower()
+        got = languages.triplets(" ".join(re.sub(languages._TAGS, " ", html or "").split()))
+        ll = np.array([sum(t[b] for b in got) * min(1, 60 / len(got)) if len(got) > 2 else 0.0 for t in table])
+        p = np.exp(ll - ll.max())
+        rows.append((host, ".".join(host.split(".")[-2:]), end, declared, ll, p / p.sum()))
+    out = []
+    whole = sum(r[5] for r in rows)
+    for host, domain, end, declared, ll, p in rows:
+        def of(at, value):
+            return sum((r[5] for r in rows if r[at] == value), np.zeros(len(names)))
+        h, d = (np.maximum(of(at, v) - p, 0) for at, v in ((0, host), (1, domain)))
+        base = (whole + 1) / (whole.sum() + len(names))
+        above = (d + 8 * base) / (max(of(1, domain).sum() - 1, 0) + 8)
+        f = ll + np.log((h + 4 * above) / (max(of(0, host).sum() - 1, 0) + 4))
+        for at, v in ((2, end), (3, declared)):
+            share = (of(at, v).sum() + 1) / (whole.sum() + 1)
+            f = f + np.log((np.maximum(of(at, v) - p, 0) + 5 * share) / (np.maximum(whole - p, 0) + 5))
+        e = np.exp(f - f.max())
+        out.append((names[int(np.argmax(f))], float(e.max() / e.sum())))
+    return out
+
+
+@pytest.mark.parametrize("size", [256, 2, 1])
+def test_languages_against_a_plain_loop(spark, documents, monkeypatch, size):
+    monkeypatch.setattr(languages, "LANGUAGES", size)
+    docs = [(r["lang"], r["text"][:300]) for r in documents.where("lang IS NOT NULL AND text IS NOT NULL").limit(60).collect()] + [("zz", ""), ("yy", "ab")]
+    pages = [(f"https://{'www' if i % 3 else 'm'}.site{i % 4}.{('fr', 'de', 'com')[i % 3]}/{i}", f"<html lang='{docs[i][0]}'><p>{docs[i][1][:40 + i]}</p>") for i in range(40)]
+    pages += [(None, None), ("", "<p>x"), ("https://site1.fr/", "<html lang=qq>")]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in languages.identify(frame, spark.createDataFrame(docs, "lang string, text string")).collect()}
+    for i, (lang, prob) in enumerate(plain_languages(pages, docs)):
+        assert got[i]["prob"] == pytest.approx(prob, abs=1e-6) and (got[i]["lang"] == lang or prob < 0.5)
+
+
+def test_more_languages_than_a_table(spark):
+    docs = spark.range(300).selectExpr("concat('l', id) AS lang", "repeat(concat(char(97 + id % 26), char(97 + id div 26), 'q '), 30) AS text")
+    pages = docs.selectExpr("cast(substr(lang, 2) AS bigint) AS page_id", "concat('https://h', page_id % 7, '.org/') AS url", "concat('<p>', text) AS html")
+    got = languages.identify(pages, docs).collect()
+    assert len(got) == 300 and all(r["text_lang"] == f"l{r['page_id']}" for r in got)
+
+
 def test_digests_of_many_rows_without_id(make_docs, spark):
     """Null and repeated ids at the ends of ranges: each row has one result, and the successor is the next in order of (id, text hash)."""
     docs = make_docs([f"text number {i} " * (i % 5 + 1) for i in range(40)], edge=False).select("doc_id", "text")
