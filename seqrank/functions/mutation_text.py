@@ -56,11 +56,16 @@ def mutation_problem(seq: str, text: str, start: int = 1) -> Column:
     )
 
 
-def apply_mutations(seq: str, text: str, start: int = 1, on_error: str = "raise") -> Column:
-    """Mutated sequence (C3); problems raise, or give null with ``on_error='null'``."""
-    built = F.expr(
+def place_mutations(seq: str, text: str, start: int = 1) -> Column:
+    """Mutated sequence of a mutation string that is known to be valid (part of C3)."""
+    return F.expr(
         f"aggregate({_lenient(text)}, {seq}, (s, m) -> overlay(s PLACING m.mt FROM m.pos - {start} + 1 FOR 1))"
     )
+
+
+def apply_mutations(seq: str, text: str, start: int = 1, on_error: str = "raise") -> Column:
+    """Mutated sequence (C3); problems raise, or give null with ``on_error='null'``."""
+    built = place_mutations(seq, text, start)
     problem = mutation_problem(seq, text, start)
     bad = F.raise_error(problem) if on_error == "raise" else F.lit(None).cast("string")
     return F.when(problem.isNull(), built).otherwise(bad)

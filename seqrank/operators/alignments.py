@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordering import attach_row, hash_key
 from ..session import checkpoint_dir
@@ -44,46 +45,77 @@ def by_identity(msa: DataFrame, row: str = "row_idx") -> DataFrame:
     return msa.orderBy(F.desc("is_query"), F.desc("identity"), row)
 
 
+def letter_words(seq: str) -> Column:
+    """Eight letters in each number, so that rows are compared by exclusive or; null for text beyond ASCII and empty text."""
+    word = f"cast(conv(hex(substring({seq}, i * 8 + 1, 8)), 16, 10) AS bigint)"
+    return F.expr(f"CASE WHEN length({seq}) > 0 AND octet_length({seq}) = length({seq}) THEN transform(sequence(0, (length({seq}) + 7) div 8 - 1), i -> {word}) END")
+
+
+def _unequal_share(words: str, seq: str, other_words: str, other: str) -> str:
+    """SQL of 1 - :func:`equal_share`: packed for ASCII rows of one length, by letters otherwise; 0 where undefined."""
+    # Each byte is folded into its lowest bit; the mask keeps one bit per letter.
+    folded = f"transform(transform(zip_with({words}, {other_words}, (x, y) -> x ^ y), d -> d | shiftright(d, 4)), d -> d | shiftright(d, 2))"
+    packed = f"aggregate({folded}, 0L, (s, d) -> s + bit_count((d | shiftright(d, 1)) & {0x0101010101010101}L)) / length({seq})"
+    n = f"least(length({seq}), length({other}))"
+    same = f"aggregate(zip_with(slice(split({seq}, ''), 1, {n}), slice(split({other}, ''), 1, {n}), (x, y) -> if(x = y, 1D, 0D)), 0D, (s, v) -> s + v)"
+    return f"CASE WHEN {words} IS NOT NULL AND {other_words} IS NOT NULL AND length({seq}) = length({other}) THEN {packed} ELSE coalesce(1D - {same} / nullif({n}, 0), 0D) END"
+
+
 def greedy_diverse(
     msa: DataFrame, n: int | None = None, budget: int | None = None, mode: str = "max", seed: int = 0,
-    row: str = "row_idx", seq: str = "seq",
+    row: str = "row_idx", seq: str = "seq", settle_every: int = 16,
 ) -> DataFrame:
     """Rows farthest from (or nearest to) the chosen set, one per round (K2).
 
     Starts at the first row in hash order. ``n`` counts rows; ``budget`` counts
-    residues of the rows picked after the first one. Every round is one scan
-    that adds the distance to the last pick and returns the single best row;
-    the running sum is cut by a checkpoint every ten rounds. Adds ``pick`` and
+    residues of the rows picked after the first one; ``row`` identifies rows. Adds ``pick`` and
     ``shuffle_key``, the order of the output.
+
+    A row carries the sum of its distances to the picks it has met. The
+    distance to each pick it has not met lies between 0 and 1, so a row whose bound cannot
+    reach the last round's second best is not compared at all. Picks travel as one row, thus
+    every round has the same plan; the sums of the compared rows are settled in a
+    checkpoint every ``settle_every`` rounds. All picks are sent to every task, which
+    the caller's ``n`` or ``budget`` bounds.
     """
     if (n is None) == (budget is None):
         raise ValueError("give either a row count or a residue budget")
-    checkpoint_dir(msa.sparkSession)
+    spark = msa.sparkSession
+    checkpoint_dir(spark)
     rows = msa.withColumn("shuffle_key", hash_key(seed, F.col(row)))
     size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(F.replace(seq, F.lit(GAP), F.lit("")))).alias("residues")).first()
     if (n is not None and size["rows"] <= n) or (budget is not None and (size["residues"] or 0) <= budget):
         return rows.withColumn("pick", F.lit(None).cast("int"))
-    start = rows.orderBy("shuffle_key").select(row, seq).first()
-    picks, used = [start[row]], 0
-    state = rows.withColumns({"_sum": F.lit(0.0), "pick": F.when(F.col(row) == start[row], 0)})
-    last = start[seq]
-    while True:
-        distance = F.lit(1.0) - equal_share("_last", seq)
-        state = state.withColumn("_last", F.lit(last)).withColumn("_sum", F.col("_sum") + F.coalesce(distance, F.lit(0.0))).drop("_last")
-        rank = F.col("_sum") if mode == "max" else -F.col("_sum")
-        # The best sum wins, the earlier shuffled row on ties.
-        best = state.filter("pick IS NULL").orderBy(F.round(rank, 9).desc(), "shuffle_key").select(row, seq).first()
-        if best is None:
-            break
-        picks.append(best[row])
-        last = best[seq]
-        used += len(last) - last.count(GAP)
-        state = state.withColumn("pick", F.when(F.col(row) == best[row], len(picks) - 1).otherwise(F.col("pick")))
-        if (n is not None and len(picks) >= n) or (budget is not None and used >= budget) or len(picks) >= size["rows"]:
+    # Numbers of words, not of letters, are what a round reads.
+    state = rows.select(F.col(row).alias("_row"), F.col(seq).alias("_seq"), "shuffle_key").withColumns({
+        "_words": letter_words("_seq"), "_sum": F.lit(0.0), "_met": F.lit(0)}).checkpoint()
+    start = state.orderBy("shuffle_key").first()
+    picks, used, edge = [start], 0, None
+    entry = state.select(F.struct("_row", "_seq", "_words").alias("p")).schema["p"].dataType
+    head = T.StructType([T.StructField("_picks", T.ArrayType(entry)), T.StructField("_edge", T.DoubleType())])
+    share = _unequal_share("_words", "_seq", "p._words", "p._seq")
+    met = f"_sum + aggregate(slice(_picks, _met + 1, size(_picks) - _met), 0D, (s, p) -> s + {share})"
+    reach = "_sum + size(_picks) - _met >= _edge - 1e-6" if mode == "max" else "_sum <= _edge + 1 + 1e-6"
+    while not (n is not None and len(picks) >= n or budget is not None and used >= budget or len(picks) >= size["rows"]):
+        now = spark.createDataFrame([([(p["_row"], p["_seq"], p["_words"]) for p in picks], edge)], head)
+        open_rows = attach_row(state, now).filter("NOT exists(_picks, p -> p._row = _row)")
+        due = F.expr(f"_edge IS NULL OR {reach}")
+        if len(picks) % settle_every == 0:
+            state = open_rows.select(
+                "_row", "_seq", "shuffle_key", "_words", F.when(due, F.expr(met)).otherwise(F.col("_sum")).alias("_sum"),
+                F.when(due, F.expr("size(_picks)")).otherwise(F.col("_met")).alias("_met")).checkpoint()
+            open_rows = attach_row(state, now)
+        rank = F.col("_now") if mode == "max" else -F.col("_now")
+        # The best sum wins, the earlier shuffled row on ties; the second best bounds the next round.
+        best = open_rows.filter(due).withColumn("_now", F.expr(met)).orderBy(F.round(rank, 9).desc(), "shuffle_key").select("_row", "_seq", "_words", "_now").take(2)
+        if not best:
             break
-        if len(picks) % 10 == 0:
-            state = state.checkpoint()
-    return state.filter("pick IS NOT NULL").drop("_sum")
+        picks.append(best[0])
+        edge = best[1]["_now"] if len(best) > 1 else None
+        letters = best[0]["_seq"] or ""
+        used += len(letters) - letters.count(GAP)
+    chosen = spark.createDataFrame([(p["_row"], i) for i, p in enumerate(picks)], T.StructType([T.StructField("_row", entry["_row"].dataType), T.StructField("pick", T.IntegerType())]))
+    return rows.join(chosen, rows[row] == chosen["_row"]).drop("_row")
 
 
 def axis_ordinal(position: str, insertion: str) -> Column:

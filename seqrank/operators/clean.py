@@ -77,6 +77,12 @@ def infer_score_column(columns: Sequence[str], label: str = "DMS_score") -> str
     return found[0] if len(found) == 1 else None
 
 
+def only_score(columns: Column, label: str = "DMS_score") -> Column:
+    """The rule of :func:`infer_score_column` for an array column of names."""
+    found = F.filter(columns, lambda c: F.endswith(c, F.lit("_score")) & (c != F.lit(label)))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
 def affinity_source(df: DataFrame, sources: Sequence[tuple[str, str, float]] = L.AFFINITY_SOURCES) -> tuple[str, str, float] | None:
     """The candidate column with most numeric values (B7); one aggregate row decides."""
     present = [s for s in sources if s[0] in df.columns]

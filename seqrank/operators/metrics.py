@@ -222,39 +222,45 @@ def top_bottom_hits(
 
 def per_file_correlation(
     df: DataFrame, file_col: str, label: str = "DMS_score",
-    score_preference: Sequence[str] = ("wt_score", "masked_score"),
+    score_preference: Sequence[str] = ("wt_score", "masked_score"), files: DataFrame | None = None,
 ) -> DataFrame:
     """Pearson and Spearman per file with a status.
 
     ``score_preference`` lists the score columns, best first; a file takes the
-    first one it has at all. A column absent from a file is null in every row.
-    Files lacking label or score, and files without variance, stay in the
-    output with a status.
+    first one it has at all. Whether it has one is known from ``files``
+    (``file_col``, ``columns``: the header names of each file), which then lists the
+    files of the output, also those without rows; without ``files`` a column
+    that is null in every row of a file counts as absent. Files lacking label or score, and files without variance, stay in the
+    output with a status. Presence and Pearson come from one aggregate, the ranks from a second read.
     """
     present = [c for c in score_preference if c in df.columns]
     if label not in df.columns or not present:
-        return df.select(file_col).distinct().select(
+        return (df if files is None else files).select(file_col).distinct().select(
             file_col, F.lit(None).cast("double").alias("pearson"), F.lit(None).cast("double").alias("spearman"),
             F.lit("missing").alias("status"))
-    has = df.groupBy(file_col).agg(
-        F.bool_or(F.col(label).isNotNull()).alias("_has_label"),
-        *[F.bool_or(F.col(c).isNotNull()).alias(f"_has_{i}") for i, c in enumerate(present)],
-    )
-    chosen = F.coalesce(*[F.when(F.col(f"_has_{i}"), F.lit(i)) for i in range(len(present))])
-    files = has.select(file_col, "_has_label", chosen.alias("_which"))
-    score = F.coalesce(*[F.when(F.col("_which") == i, to_number(F.col(c))) for i, c in enumerate(present)])
-    pairs = numeric_pairs(
-        df.join(files, file_col).select(file_col, F.col(label).alias("_y"), score.alias("_p")), "_y", "_p"
-    )
-    linear = pearson(pairs, [file_col], "_y", "_p").drop("n")
+    numbers = [F.col(file_col), to_number(F.col(label)).alias("_y")]
+    for i, c in enumerate(present):
+        numbers += [to_number(F.col(c)).alias(f"_p_{i}"), F.col(c).isNotNull().alias(f"_given_{i}")]
+    rows = df.select(*numbers, F.col(label).isNotNull().alias("_given"))
+    stats = [F.bool_or("_given").alias("_has_label")]
+    for i in range(len(present)):
+        y = F.when(F.col(f"_p_{i}").isNotNull(), F.col("_y"))
+        p = F.when(F.col("_y").isNotNull(), F.col(f"_p_{i}"))
+        stats += [F.bool_or(f"_given_{i}").alias(f"_has_{i}"), _pearson(y, p).alias(f"_r_{i}")]
+    found = rows.groupBy(file_col).agg(*stats)
+    if files is not None:
+        flags = {"_has_label": F.array_contains("columns", label)} | {f"_has_{i}": F.array_contains("columns", c) for i, c in enumerate(present)}
+        named = files.select(file_col, *[has.alias(c) for c, has in flags.items()])
+        found = named.join(found.drop(*flags), file_col, "left")
+    which = F.coalesce(*[F.when(F.col(f"_has_{i}"), F.lit(i)) for i in range(len(present))])
+    found = found.withColumn("_which", which).withColumn("pearson", F.coalesce(*[F.when(F.col("_which") == i, F.col(f"_r_{i}")) for i in range(len(present))]))
+    chosen = found.select(file_col, "_has_label", "_which", "pearson")
+    score = F.coalesce(*[F.when(F.col("_which") == i, F.col(f"_p_{i}")) for i in range(len(present))])
+    pairs = rows.join(chosen, file_col).select(file_col, "_y", score.alias("_p")).dropna(subset=["_y", "_p"])
     ranked = spearman(pairs, [file_col], "_y", "_p").drop("n")
-    out = files.join(linear, file_col, "left").join(ranked, file_col, "left")
-    status = (
-        F.when(~F.col("_has_label") | F.col("_which").isNull(), "missing")
-        .when(F.col("pearson").isNull(), "zero variance")
-        .otherwise("computed")
-    )
-    return out.select(file_col, "pearson", "spearman", status.alias("status"))
+    absent = ~F.col("_has_label") | F.col("_which").isNull()
+    status = F.when(absent, "missing").when(F.col("pearson").isNull(), "zero variance").otherwise("computed")
+    return chosen.join(ranked, file_col, "left").select(file_col, F.when(~absent, F.col("pearson")).alias("pearson"), "spearman", status.alias("status"))
 
 
 def regression_errors(df: DataFrame, groups: Sequence[str], truth: str, pred: str, null_pred_as_zero: bool = False) -> DataFrame:

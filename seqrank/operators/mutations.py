@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mutation_text import RESIDUES, SEPARATOR, _lenient, apply_mutations, mutation_problem
+from ..functions.mutation_text import RESIDUES, SEPARATOR, _lenient, mutation_problem, place_mutations
 from .metrics import to_number
 
 _EMPTY = "('', 'nan', 'none', '<na>')"
@@ -34,7 +34,7 @@ def clean_assay(
         *groups, F.col(seq).alias("_seq"), F.col(mutant).alias("mutant"), (value * F.lit(direction)).alias("_v"))
     rows = rows.filter(F.col("_v").isNotNull() & (F.abs("_v") != float("inf")))
     mean = rows.groupBy(*groups, "_seq", "mutant").agg(F.avg("_v").alias("DMS_score"))
-    return mean.select(*groups, "mutant", apply_mutations("_seq", "mutant", start).alias("mutated_sequence"), "DMS_score")
+    return mean.select(*groups, "mutant", place_mutations("_seq", "mutant", start).alias("mutated_sequence"), "DMS_score")
 
 
 def chain_map(text: str) -> str:

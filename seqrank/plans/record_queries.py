@@ -98,26 +98,49 @@ def _scorer(df):
     return df.withColumn("score", F.expr("aggregate(sequence(1, length(vh)), 0D, (s, i) -> s + ((ascii(substring(vh, i, 1)) * (i % 7 + 1)) % 23))"))
 
 
-@query("beam_step", "J7 C11", f"""
-SELECT row_number() OVER (ORDER BY score DESC, row_idx, spot, aa) AS place, record_id AS seed_id, vh, {rnd('score', 'score')} FROM (
-SELECT *, (SELECT sum(((ascii(substr(vh, i, 1)) * (i % 7 + 1)) % 23))::double FROM (SELECT unnest(range(1, 33)) AS i)) AS score FROM kids)
-ORDER BY score DESC, row_idx, spot, aa LIMIT 100""", {
+_SITE_SCORE = "(SELECT sum(((ascii(substr(vh, i, 1)) * (i % 7 + 1)) % 23))::double FROM (SELECT unnest(range(1, 33)) AS i))"
+
+
+def _kids_sql(spots: str) -> str:
+    """Every other residue at every listed spot; the first parent of a text wins."""
+    made = "substr(vh, 1, p) || aa || substr(vh, p + 2)"
+    return f"""SELECT *, {_SITE_SCORE} AS score FROM (SELECT row_idx, parent, record_id, epitope, vl, p, spot, aa, {made} AS vh,
+        row_number() OVER (PARTITION BY epitope, {made}, vl ORDER BY parent, spot, aa) AS rn FROM {spots}, {{residues}} WHERE aa <> substr(vh, p + 1, 1)) WHERE rn = 1"""
+
+
+_BEAM = {
     "loc": _LOCATED, "rec": f"SELECT {_RECORD_COLUMNS} FROM loc WHERE {_GOOD}",
-    "spots": """SELECT row_idx, record_id, vh, epitope, vl, p, row_number() OVER (PARTITION BY row_idx ORDER BY o) AS spot FROM (
+    "spots": """SELECT row_idx, row_idx AS parent, record_id, vh, epitope, vl, p, row_number() OVER (PARTITION BY row_idx ORDER BY o) AS spot FROM (
         SELECT row_idx, record_id, vh, epitope, vl, p, min(r * 100 + p) AS o FROM (
         SELECT *, unnest(range(cast(split_part(rg, '-', 1) AS bigint), cast(split_part(rg, '-', 2) AS bigint))) AS p FROM (
         SELECT row_idx, record_id, vh, epitope, vl, unnest(string_split(ranges, ',')) AS rg, generate_subscripts(string_split(ranges, ','), 1) AS r FROM rec)) GROUP BY ALL)""",
-    "kids": """SELECT row_idx, record_id, spot, aa, vh FROM (SELECT row_idx, record_id, spot, aa, substr(vh, 1, p) || aa || substr(vh, p + 2) AS vh,
-        row_number() OVER (PARTITION BY epitope, substr(vh, 1, p) || aa || substr(vh, p + 2), vl ORDER BY row_idx, spot, aa) AS rn FROM spots, {residues} WHERE aa <> substr(vh, p + 1, 1)) WHERE rn = 1"""})
+    "kids": _kids_sql("spots")}
+
+
+@query("beam_step", "J7 C11", f"""
+SELECT row_number() OVER (ORDER BY score DESC, parent, spot, aa) AS place, record_id AS seed_id, vh, {rnd('score', 'score')} FROM kids
+ORDER BY score DESC, parent, spot, aa LIMIT 100""", _BEAM)
 def beam_step(t):
     best = J.beam_step(J.as_candidates(_records(t, active_only=False)), _scorer, 100)
     placed = J._placed(best)
     return rounded(placed.select((F.col("place") + 1).alias("place"), "seed_id", "vh", "score"))
 
 
-@query("beam_search", "J8")
+def _best_sql(kids: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY score DESC, parent, spot, aa) - 1 AS place FROM {kids} ORDER BY place LIMIT 60"
+
+
+# Two rounds written out: the 20 best of the first are the parents of the second, which leaves their first site alone.
+@query("beam_search", "J8", f"""
+SELECT '{X.START_TERMINAL}' || epitope || '{X.LINKER}' || vh || '{X.LINKER}' || vl || '{X.END_TERMINAL}' AS serialized, {rnd('score', 'score')}, cast(r AS int) AS round FROM (
+SELECT *, row_number() OVER (PARTITION BY epitope, vh, vl ORDER BY r) AS seen FROM (SELECT *, 1 AS r FROM first_best UNION ALL SELECT *, 2 AS r FROM second_best))
+WHERE seen = 1 ORDER BY score DESC, r, place LIMIT 60""", _BEAM | {
+    "first_best": _best_sql("kids"),
+    "more_spots": "SELECT b.row_idx, b.place AS parent, b.record_id, b.vh, b.epitope, b.vl, s.p, s.spot FROM first_best b JOIN spots s ON s.row_idx = b.row_idx AND s.p <> b.p WHERE b.place < 20",
+    "more_kids": _kids_sql("more_spots"),
+    "second_best": _best_sql("more_kids")})
 def beam_search(t):
-    """Iterative search; compared with an exhaustive search in the tests."""
+    """Iterative search; the tests compare it with an exhaustive search too."""
     out = J.beam_search(_records(t, active_only=False), _scorer, rounds=2, beam=20, final=60)
     return rounded(out.select("serialized", "score", "round"))
 
@@ -145,7 +168,8 @@ FROM (SELECT row_number() OVER (ORDER BY score DESC, round, place) AS rk FROM c)
 def prediction_inputs(t):
     path = _scratch(t, "prediction_inputs")
     A.write_prediction_inputs(J.candidate_table(_cands(t)), path, 3)
-    return t.spark.read.option("pathGlobFilter", "*.txt").text(path).select("name", "value")
+    back = t.spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return back.select(F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.json$", 1).alias("name"), "value")
 
 
 # ---------------------------------------------------------------- predicted structures
@@ -283,6 +307,29 @@ def evaluate_scored_files(t):
     return rounded(M.evaluate(files, ["model"], "label", "pred").select("model", "n", "spearman"))
 
 
+# Files of three kinds, one per group: a score that the header names but no row holds, no score, and a preferred score.
+@query("correlate_scored_files", "A3 E8", f"""
+SELECT file, CASE WHEN model = 'm3' THEN round(CASE WHEN v THEN corr(label, pred) END, 6) + 0.0 END AS pearson,
+       CASE WHEN model = 'm3' THEN round(CASE WHEN v THEN corr(ry, rp) END, 6) + 0.0 END AS spearman,
+       CASE WHEN model = 'm2' THEN 'missing' WHEN model = 'm1' OR NOT v THEN 'zero variance' ELSE 'computed' END AS status
+FROM (SELECT model, model || '/' || grp AS file, label, pred, v, ry, rp FROM w, (SELECT unnest(['m1', 'm2', 'm3']) AS model)) GROUP BY model, file, v""", {
+    "w": """SELECT *, min(label) OVER g < max(label) OVER g AND min(pred) OVER g < max(pred) OVER g AS v,
+            (rank() OVER (PARTITION BY grp ORDER BY label)) + (count(*) OVER (PARTITION BY grp, label) - 1) / 2.0 AS ry,
+            (rank() OVER (PARTITION BY grp ORDER BY pred)) + (count(*) OVER (PARTITION BY grp, pred) - 1) / 2.0 AS rp
+            FROM {scored} WHERE label IS NOT NULL AND pred IS NOT NULL WINDOW g AS (PARTITION BY grp)"""})
+def correlate_scored_files(t):
+    root = _scratch(t, "correlate") + "/root"
+    rows = t("scored").dropna(subset=["label", "pred"]).select("grp", F.col("label").alias("DMS_score"), "pred").repartition("grp")
+    for model, scores in {"m1": [F.lit(None).cast("double").alias("wt_score"), F.col("pred").alias("masked_score")], "m2": [F.col("pred").alias("note")],
+                          "m3": [F.col("pred").alias("masked_score"), F.lit("a, b").alias("note")]}.items():
+        rows.select("grp", *scores, "DMS_score").write.option("header", True).partitionBy("grp").csv(f"{root}/{model}")
+    choice = ("wt_score", "masked_score")
+    heads = A.scored_file_headers(t.spark, root, score_preference=choice).withColumn("file", F.concat_ws("/", "model", F.regexp_extract("path", "/grp=([^/]*)/", 1)))
+    scored = A.read_scored_files(t.spark, root, headers=heads).withColumn("file", F.concat_ws("/", "model", F.regexp_extract("path", "/grp=([^/]*)/", 1)))
+    named = heads.select("file", F.array_compact(F.array(F.when(F.col("label_at").isNotNull(), F.lit("label")), F.when(F.col("pred_at").isNotNull(), F.lit("pred")))).alias("columns"))
+    return rounded(M.per_file_correlation(scored, "file", "label", ["pred"], named))
+
+
 @query("resolve_assay", "A4", "SELECT p_name || '-' || p_partkey AS assay FROM {part} WHERE p_partkey = 7")
 def resolve_assay(t):
     mapping = t("part").select("p_partkey", F.concat("p_name", F.lit("-"), "p_partkey").alias("assay"))
@@ -303,7 +350,8 @@ FROM (SELECT row_idx, 'r' || row_idx AS header, seq, (SELECT seq FROM m WHERE ro
 def read_a2m(t):
     path = _scratch(t, "a2m")
     rows = t.sql(_MSA).select("row_idx", F.concat(F.lit(">r"), "row_idx", F.lit("\n"), F.replace("seq", F.lit("-"), F.lit("x"))).alias("value"))
-    rows.coalesce(1).sortWithinPartitions("row_idx").select("value").write.text(path)
+    # Parts of a range order: their names follow the row numbers.
+    rows.repartitionByRange(4, "row_idx").sortWithinPartitions("row_idx").select("value").write.text(path)
     return rounded(Q.read_a2m(t.spark, path).select("header", "seq", "identity", "is_query"))
 
 

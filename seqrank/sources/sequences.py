@@ -48,19 +48,19 @@ def aligned_text(c: str) -> str:
 
 
 def read_a2m(spark: SparkSession, path: str) -> DataFrame:
-    """Aligned rows of one A2M file (A6): ``row_idx, header, seq, identity, annotation, is_query``.
+    """Aligned rows of one A2M file, or of a folder of its parts (A6): ``row_idx, header, seq, identity, annotation, is_query``.
 
-    The first row is the query. Identity is the second word of the header when
+    The first row of the first part (by name) is the query; ``row_idx`` grows within a part. Identity is the second word of the header when
     it is a number, else the share of equal columns.
     """
     rows = _entries(spark, path)
     head = F.trim(F.regexp_extract("entry", r"^([^\r\n]*)", 1))
     seq = F.regexp_replace(F.regexp_extract("entry", r"(?s)^[^\n]*\n(.*)$", 1), r"\s", "")
-    parsed = rows.select(F.col("at").alias("row_idx"), head.alias("header"), seq.alias("raw")).filter("raw <> ''")
+    parsed = rows.select(F.struct("path", "at").alias("_place"), F.col("at").alias("row_idx"), head.alias("header"), seq.alias("raw")).filter("raw <> ''")
     words = F.split("header", r"\s+")
     parsed = parsed.withColumns({
         "seq": F.expr(aligned_text("raw")),
         "_given": F.try_element_at(words, F.lit(2)),
         "annotation": F.nullif(F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words) - 2, F.lit(0))), " "), F.lit("")),
     })
-    return msa_identity(parsed, given="_given").drop("_given", "raw")
+    return msa_identity(parsed, row="_place", given="_given").drop("_given", "_place", "raw")

@@ -231,6 +231,30 @@ def test_diverse_rows_equal_brute_force(spark, mode):
     assert got == {p: i for i, p in enumerate(picks)}
 
 
+@pytest.mark.parametrize("mode", ["max", "min"])
+def test_diverse_rows_of_any_length_and_letters(spark, mode):
+    """More picks than settle rounds, families, ragged rows and letters beyond ASCII: as a plain loop."""
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    roots = ["".join(rng.choice("ACDEFGHIK-") for _ in range(30)) for _ in range(6)]
+    seqs = ["".join(c if rng.random() < 0.8 else rng.choice("ACD-") for c in rng.choice(roots)) for _ in range(90)]
+    seqs += [seqs[0], seqs[0][:11], "\u00c5" * 30, "", "A" * 8, "A" * 16]
+    df = spark.createDataFrame(list(enumerate(seqs)), "row_idx long, seq string")
+    order = sorted(range(len(seqs)), key=lambda i: hashlib.md5(f"5|{i}".encode()).hexdigest())
+
+    def far(a, b):
+        n = min(len(seqs[a]), len(seqs[b]))
+        return sum(x != y for x, y in zip(seqs[a], seqs[b])) / n if n else 0.0
+
+    picks, sign = [order[0]], 1 if mode == "max" else -1
+    while len(picks) < 14:
+        picks.append(max((i for i in order if i not in picks), key=lambda i: (round(sign * sum(far(i, p) for p in picks), 9), -order.index(i))))
+    got = {r["row_idx"]: r["pick"] for r in K.greedy_diverse(df, n=14, mode=mode, seed=5, settle_every=4).collect()}
+    assert got == {p: i for i, p in enumerate(picks)}
+
+
 def test_diverse_budget(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(["AAAA", "CC--", "DDDD", "EEEE", "FFFF"])], "row_idx long, seq string")
     got = K.greedy_diverse(df, budget=6, seed=1).count()
@@ -270,6 +294,80 @@ def test_mixed_headers_and_missing_scores(spark, tmp_path):
     assert {r["status"] for r in preferred.filter("file = 'a'").collect()} == {"ok"}
 
 
+def test_many_headers_one_plan(spark, tmp_path):
+    """Every file with a header of its own: the plan doesn't grow, values and statuses are those of a plain reader."""
+    import csv
+
+    want = {}
+    for i in range(300):
+        names = [f"c{i}_{j}" for j in range(i % 5)] + ["DMS_score", f"m{i}_score"][: 1 + (i % 7 > 0)] + ["note, quoted"]
+        names = names[i % len(names):] + names[: i % len(names)]
+        with open(tmp_path / f"f{i}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(names)
+            for k in range(2):
+                out.writerow([f"{i}.{k}" if c.endswith("_score") else 'say ""x"", or "y"' for c in names])
+        want[f"f{i}"] = ("ok", [f"{i}.0", f"{i}.1"]) if i % 7 else ("missing score", [None, None])
+    heads = A.scored_file_headers(spark, str(tmp_path))
+    files = A.read_scored_files(spark, str(tmp_path), headers=heads)
+    got = {}
+    for r in files.orderBy("file", "row_idx").collect():
+        got.setdefault(r["file"], (r["status"], []))[1].append(r["pred"])
+    assert got == want
+    assert {r["label"] for r in files.filter("file = 'f3'").collect()} == {"3.0", "3.1"}
+    (tmp_path / "few").mkdir()
+    (tmp_path / "few" / "one.csv").write_text("DMS_score,x_score\n1,2\n")
+    few = A.read_scored_files(spark, str(tmp_path / "few"))
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(files) - size(few)) < 200
+
+
+def test_presence_of_scores_from_headers(spark, tmp_path):
+    """A column that is named but empty is there; a file without rows is listed."""
+    (tmp_path / "a.csv").write_text("DMS_score,wt_score,masked_score\n1,,1\n2,,3\n")
+    (tmp_path / "b.csv").write_text("DMS_score,masked_score\n1,1\n2,3\n")
+    (tmp_path / "c.csv").write_text("masked_score\n1\n")
+    (tmp_path / "d.csv").write_text("DMS_score,wt_score\n")
+    heads = A.scored_file_headers(spark, str(tmp_path), score_preference=("wt_score", "masked_score"))
+    wide = spark.createDataFrame([("a", 1.0, None, 1.0), ("a", 2.0, None, 3.0), ("b", 1.0, None, 1.0), ("b", 2.0, None, 3.0), ("c", None, None, 1.0)],
+                                 "file string, DMS_score double, wt_score double, masked_score double")
+    got = {r["file"]: (r["status"], r["pearson"]) for r in M.per_file_correlation(wide, "file", files=heads).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": "zero variance", "b": "computed", "c": "missing", "d": "zero variance"}
+    assert got["a"][1] is None and got["b"][1] == pytest.approx(1.0)
+    guessed = {r["file"]: r["status"] for r in M.per_file_correlation(wide, "file").collect()}
+    assert guessed == {"a": "computed", "b": "computed", "c": "missing"}
+
+
+def test_a2m_parts(spark, tmp_path):
+    """A folder of parts reads like one file: the first row of the first part is the query."""
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "part-0.a2m").write_text(">q\nACDE\n>r1\nACxE\n")
+    (tmp_path / "x" / "part-1.a2m").write_text(">r2\nACDC\n>r3\nWWWW\n" + "".join(f">s{i}\nWCDE\n" for i in range(500)))
+    got = {r["header"]: r for r in Q.read_a2m(spark, str(tmp_path / "x")).collect()}
+    assert [h for h, r in got.items() if r["is_query"]] == ["q"]
+    assert (got["r1"]["identity"], got["r2"]["identity"], got["s7"]["identity"]) == (0.75, 0.75, 0.75)
+
+
+def test_named_documents(spark, tmp_path):
+    """One file per row, whole texts; a job that fails publishes nothing."""
+    from seqrank.sources.documents import write_documents
+
+    path = tmp_path / "docs"
+    rows = spark.range(200).select(F.concat(F.lit("cand \u00e9-"), "id").alias("name"), F.when(F.col("id") != 7, F.repeat(F.lit("x\n"), F.col("id").cast("int"))).alias("value"))
+    write_documents(rows.repartition(7), str(path))
+    assert {p.name: p.read_text() for p in path.iterdir()} == {f"cand \u00e9-{i}.json": "" if i == 7 else "x\n" * i for i in range(200)}
+    for wrong in ("a/b", "", None, "..", "cand \u00e9-3"):
+        late = rows.union(spark.createDataFrame([(wrong, "new")], "name string, value string"))
+        with pytest.raises(Exception, match="no document can have this name"):
+            write_documents(late, str(tmp_path / "none"))
+    # Tasks that still run while the job ends may leave files in the hidden staging folder, never documents.
+    assert not list((tmp_path / "none").glob("*.json"))
+    write_documents(rows.filter("id < 0"), str(tmp_path / "empty"))
+    write_documents(rows.limit(0), str(path))
+    write_documents(spark.createDataFrame([("cand \u00e9-3", "new")], "name string, value string"), str(path))
+    assert (path / "cand \u00e9-3.json").read_text() == "new" and len(list(path.iterdir())) == 200
+
+
 def test_required_columns(spark, tmp_path):
     (tmp_path / "x.csv").write_text("mutation_id,mutant\n1,A1C\n")
     with pytest.raises(ValueError, match="DMS_score, wildtype_sequence"):
