@@ -8,13 +8,14 @@ the driver. Clusters of one size are dealt by their rank in hash order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import attach_row, group_key, hash_key, with_position
+from ..session import checkpoint_dir
 
 # Fixed value: stands for rows without a cluster.
 MISSING_CLUSTER = "__missing_cluster__"
@@ -284,9 +285,38 @@ def group_train_valid(df: DataFrame, group: str, frac: float, seed: int = 42, ro
 
 # ------------------------------------------------------------------ hash-order splits
 
-def _shuffled(rows: DataFrame, groups: Sequence[str], seed: int | Column, key: str, index: str = "_i", total: str | None = "_n") -> DataFrame:
-    keyed = rows.withColumn("_h", hash_key(seed, F.col(key)))
-    return with_position(keyed, groups, ["_h", key], index, total=total, digests=["_h"]).drop("_h")
+def _parted(rows: DataFrame, groups: Sequence[str], seed: int | Column, key: str, bounds: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """Add ``_part``, the number of ``bounds`` at or below the position of a row in hash order, and ``_n``, the rows of its group.
+
+    ``bounds`` gives ascending positions from the group size. A group is counted by
+    the first 16 bits of its hashes; a bound falls into one such cell, and rows
+    elsewhere know their part without a shuffle. Only the rows of those cells are
+    ranked. One row per group reaches the driver.
+    """
+    spark = rows.sparkSession
+    names = list(groups) or ["_all"]
+    keyed = rows if groups else rows.withColumn("_all", F.lit(0))
+    keyed = keyed.withColumn("_h", hash_key(seed, F.col(key))).withColumn("_cell", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    w = Window.partitionBy(*names)
+    cells = keyed.groupBy(*names, "_cell").agg(F.count(F.lit(1)).alias("_rows")).select(
+        *names, "_cell", (F.sum("_rows").over(w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_before"),
+        F.sum("_rows").over(w).alias("_n"), "_rows")
+    # The last cell that starts at or before a bound; none if the bound is below 0, past the last if it is no position.
+    starts = [F.max(F.when(F.col("_before") <= F.col("_b")[j], F.struct("_cell", "_before"))).alias(f"_s{j}") for j in range(len(bounds(F.col("_n"))))]
+    cuts = cells.withColumn("_b", F.array(*[b.cast("long") for b in bounds(F.col("_n"))])).groupBy(*names).agg(F.max("_n").alias("_n"), F.max("_b").alias("_b"), *starts)
+    cut = F.array(*[F.struct(
+        F.when(F.col("_b")[j] >= F.col("_n"), F.lit(1 << 16)).otherwise(F.coalesce(F.col(f"_s{j}._cell"), F.lit(-1))).alias("cell"),
+        F.coalesce(F.col(f"_s{j}._before"), F.lit(0)).alias("before"), F.col("_b")[j].alias("bound")) for j in range(len(starts))])
+    table = cuts.select(*names, "_n", cut.alias("_cuts"))
+    table = F.broadcast(spark.createDataFrame(table.collect(), table.schema))
+    marked = keyed.join(table, names)
+    apart = marked.filter("NOT exists(_cuts, c -> c.cell = _cell)").withColumn("_part", F.expr("size(filter(_cuts, c -> c.cell < _cell))"))
+    # Written, as ranking reads them several times and each time would read all rows.
+    checkpoint_dir(spark)
+    near = marked.filter("exists(_cuts, c -> c.cell = _cell)").withColumn("_from", F.expr("filter(_cuts, c -> c.cell = _cell)[0].before")).checkpoint()
+    ranked = with_position(near, [*names, "_cell"], ["_h", key], "_i", digests=["_h"]).withColumn("_part", F.expr("size(filter(_cuts, c -> c.bound <= _from + _i))"))
+    columns = [*rows.columns, "_part", "_n"]
+    return apart.select(*columns).unionByName(ranked.select(*columns))
 
 
 def repeated_random_folds(df: DataFrame, k: int, valid_frac: float, test_frac: float, seed: int = 42, row_idx: str = "row_idx") -> DataFrame:
@@ -294,25 +324,32 @@ def repeated_random_folds(df: DataFrame, k: int, valid_frac: float, test_frac: f
     if not (0 < valid_frac < 1 and 0 < test_frac < 1 and valid_frac + test_frac < 1):
         raise ValueError("fractions must be in (0, 1) and leave room for training")
     rows = df.select(F.col(row_idx).cast("long").alias("row_idx"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    placed = _shuffled(rows, ["fold"], F.col("fold") + F.lit(seed), "row_idx")
-    test, valid = F.rint(F.col("_n") * F.lit(test_frac)), F.rint(F.col("_n") * F.lit(valid_frac))
+    def sizes(n: Column) -> tuple[Column, Column]:
+        return F.rint(n * F.lit(test_frac)), F.rint(n * F.lit(valid_frac))
+
+    placed = _parted(rows, ["fold"], F.col("fold") + F.lit(seed), "row_idx", lambda n: [sizes(n)[0], sizes(n)[0] + sizes(n)[1]])
+    test, valid = sizes(F.col("_n"))
     short = (test < 1) | (valid < 1) | (test + valid >= F.col("_n"))
     split = (
         F.when(short, F.raise_error(F.lit("a split would be empty")).cast("string"))
-        .when(F.col("_i") < test, "test").when(F.col("_i") < test + valid, "valid").otherwise("train")
+        .when(F.col("_part") == 0, "test").when(F.col("_part") == 1, "valid").otherwise("train")
     )
     return placed.select("fold", split.alias("split"), "row_idx")
 
 
 def sliced_random_folds(df: DataFrame, k: int, seed: int = 42, row_idx: str = "row_idx", test_frac: float = 0.2, valid_frac: float = 0.1) -> DataFrame:
     """One permutation cut into k test slices, the last takes the remainder; valid from the reshuffled rest."""
-    base = _shuffled(df.select(F.col(row_idx).cast("long").alias("row_idx")), [], seed, "row_idx")
-    step = F.floor(F.col("_n") * F.lit(test_frac))
-    home = F.least(F.floor(F.col("_i") / F.nullif(step, F.lit(0))), F.lit(k - 1)).cast("int")
+    def step(n: Column) -> Column:
+        return F.floor(n * F.lit(test_frac))
+
+    base = _parted(df.select(F.col(row_idx).cast("long").alias("row_idx")), [], seed, "row_idx", lambda n: [step(n) * j for j in range(1, k)])
+    # Without a step there are no slices.
+    home = F.when(step(F.col("_n")) > 0, F.col("_part")).otherwise(F.lit(k - 1))
     every = base.select("row_idx", home.alias("home"), F.floor(F.col("_n") * F.lit(valid_frac)).alias("want"),
                         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    rest = _shuffled(every.filter("fold <> home"), ["fold"], F.concat(F.lit("rest"), (F.col("fold") + F.lit(seed)).cast("string")), "row_idx")
-    split = F.when(F.col("_i") < F.col("want"), "valid").otherwise("train")
+    rest = every.filter("fold <> home")
+    rest = _parted(rest, ["fold", "want"], F.concat(F.lit("rest"), (F.col("fold") + F.lit(seed)).cast("string")), "row_idx", lambda n: [F.col("want")])
+    split = F.when(F.col("_part") == 0, "valid").otherwise("train")
     return rest.select("fold", split.alias("split"), "row_idx").unionByName(
         every.filter("fold = home").select("fold", F.lit("test").alias("split"), "row_idx"))
 
@@ -323,19 +360,25 @@ def fold_clusters(splits: DataFrame, df: DataFrame, cluster: str, row_idx: str =
     return splits.join(rows, "row_idx").select("fold", "split", "cluster").distinct()
 
 
+def _clamped(frac: float) -> Callable[[Column], list[Column]]:
+    """The bound after a share of the rows, at least one row and not all."""
+    return lambda n: [F.least(F.greatest(F.lit(1), F.rint(n * F.lit(frac))), n - 1)]
+
+
 def _row_valid(rest: DataFrame, valid_frac: float, seed: int) -> DataFrame:
     """Row-level validation sample of each fold's rest: smallest hashes, size clamped to [1, n-1]."""
-    placed = _shuffled(rest, ["fold"], F.concat(F.lit("valid"), (F.col("fold") + F.lit(seed)).cast("string")), "row_idx")
-    want = F.least(F.greatest(F.lit(1), F.rint(F.col("_n") * F.lit(valid_frac))), F.col("_n") - 1)
-    return placed.select("fold", F.when(F.col("_i") < want, "valid").otherwise("train").alias("split"), "row_idx")
+    placed = _parted(rest, ["fold"], F.concat(F.lit("valid"), (F.col("fold") + F.lit(seed)).cast("string")), "row_idx", _clamped(valid_frac))
+    return placed.select("fold", F.when(F.col("_part") == 0, "valid").otherwise("train").alias("split"), "row_idx")
 
 
 def cluster_slice_folds(df: DataFrame, cluster: str, k: int, valid_frac: float, seed: int = 42, row_idx: str = "row_idx") -> DataFrame:
     """Shuffled clusters cut by count into k slices; row-level valid sample (G8). Missing clusters are single rows."""
     rows = with_cluster(df, cluster, row_idx, "row")
-    order = _shuffled(rows.select("cluster").distinct(), [], seed, "cluster")
-    homes = order.select("cluster", (F.floor(((F.col("_i") + 1) * k - 1) / F.col("_n"))).cast("int").alias("home"))
-    every = rows.join(homes, "cluster").select("row_idx", "home", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    checkpoint_dir(df.sparkSession)
+    # Slice j starts at the first position i with floor(((i + 1) k - 1) / n) = j.
+    order = _parted(rows.select("cluster").distinct().checkpoint(), [], seed, "cluster", lambda n: [F.floor(n * j / F.lit(k)) for j in range(1, k)])
+    homes = rows.join(order.select("cluster", F.col("_part").alias("home")), "cluster").select("row_idx", "home").checkpoint()
+    every = homes.select("row_idx", "home", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
     rest = _row_valid(every.filter("fold <> home").select("fold", "row_idx"), valid_frac, seed)
     return rest.unionByName(every.filter("fold = home").select("fold", F.lit("test").alias("split"), "row_idx"))
 
@@ -343,32 +386,31 @@ def cluster_slice_folds(df: DataFrame, cluster: str, k: int, valid_frac: float,
 def cluster_single_split(df: DataFrame, cluster: str, valid_frac: float, test_frac: float, seed: int = 42, row_idx: str = "row_idx") -> DataFrame:
     """Test = a share of the shuffled clusters, valid = a row sample of the rest."""
     rows = with_cluster(df, cluster, row_idx, "row")
-    order = _shuffled(rows.select("cluster").distinct(), [], seed, "cluster")
-    want = F.least(F.greatest(F.lit(1), F.rint(F.col("_n") * F.lit(test_frac))), F.col("_n") - 1)
-    placed = rows.join(order.select("cluster", (F.col("_i") < want).alias("_test")), "cluster").select(F.lit(0).alias("fold"), "row_idx", "_test")
+    checkpoint_dir(df.sparkSession)
+    order = _parted(rows.select("cluster").distinct().checkpoint(), [], seed, "cluster", _clamped(test_frac))
+    placed = rows.join(order.select("cluster", (F.col("_part") == 0).alias("_test")), "cluster").select(F.lit(0).alias("fold"), "row_idx", "_test").checkpoint()
     rest = _row_valid(placed.filter(~F.col("_test")).select("fold", "row_idx"), valid_frac, seed)
     return rest.unionByName(placed.filter("_test").select("fold", F.lit("test").alias("split"), "row_idx"))
 
 
-def _kfold_home(k: int) -> Column:
-    """Fold of a shuffled position: the first N mod k folds hold one row more."""
-    i, n = F.col("_i"), F.col("_n")
-    base, extra = F.floor(n / F.lit(k)), n % k
-    wide = extra * (base + 1)
-    return F.when(i < wide, F.floor(i / (base + 1))).otherwise(extra + F.floor((i - wide) / F.nullif(base, F.lit(0)))).cast("int")
+def _kfold_starts(k: int) -> Callable[[Column], list[Column]]:
+    """Where the folds of a shuffled order start, after the first: the first N mod k folds hold one row more."""
+    return lambda n: [F.floor(n / F.lit(k)) * j + F.least(F.lit(j), n % k) for j in range(1, k)]
 
 
 def random_kfold(df: DataFrame, k: int, train_share: float = 0.8, seed: int = 42, row_idx: str = "row_idx") -> DataFrame:
     """Shuffled k-fold with an inner train/valid cut; ``k = 1`` gives one 64/16/20 split."""
-    base = _shuffled(df.select(F.col(row_idx).cast("long").alias("row_idx")), [], seed, "row_idx")
+    base = _parted(df.select(F.col(row_idx).cast("long").alias("row_idx")), [], seed, "row_idx",
+                   (lambda n: [F.floor(n * F.lit(0.8))]) if k == 1 else _kfold_starts(k))
     if k == 1:
-        outer = base.select("row_idx", F.lit(0).alias("fold"), (F.col("_i") >= F.floor(F.col("_n") * F.lit(0.8))).alias("_test"))
+        outer = base.select("row_idx", F.lit(0).alias("fold"), (F.col("_part") == 1).alias("_test"))
     else:
-        homes = base.select("row_idx", _kfold_home(k).alias("home"))
+        homes = base.select("row_idx", F.col("_part").alias("home"))
         outer = homes.select("row_idx", "home", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")).select(
             "row_idx", "fold", (F.col("home") == F.col("fold")).alias("_test"))
-    rest = _shuffled(outer.filter(~F.col("_test")).select("fold", "row_idx"), ["fold"], F.concat(F.lit("inner"), F.col("fold").cast("string")), "row_idx")
-    split = F.when(F.col("_i") < F.floor(F.col("_n") * F.lit(train_share)), "train").otherwise("valid")
+    rest = _parted(outer.filter(~F.col("_test")).select("fold", "row_idx"), ["fold"], F.concat(F.lit("inner"), F.col("fold").cast("string")), "row_idx",
+                   lambda n: [F.floor(n * F.lit(train_share))])
+    split = F.when(F.col("_part") == 0, "train").otherwise("valid")
     return rest.select("fold", split.alias("split"), "row_idx").unionByName(
         outer.filter("_test").select("fold", F.lit("test").alias("split"), "row_idx"))
 
@@ -395,16 +437,16 @@ def default_cv(df: DataFrame, k: int, group: str | None = None, seed: int = 42,
         return out
     rest = rows.join(tested.select("cluster", "test_fold"), "cluster").select(
         "row_idx", "test_fold", F.explode(F.array(*[F.lit(f) for f in lone])).alias("fold")).filter("fold <> test_fold")
-    placed = _shuffled(rest.select("fold", "row_idx"), ["fold"], F.col("fold") + F.lit(seed + 1), "row_idx")
-    split = F.when(F.col("_i") < F.floor(F.col("_n") * F.lit(0.9)), "train").otherwise("valid")
+    placed = _parted(rest.select("fold", "row_idx"), ["fold"], F.col("fold") + F.lit(seed + 1), "row_idx", lambda n: [F.floor(n * F.lit(0.9))])
+    split = F.when(F.col("_part") == 0, "train").otherwise("valid")
     return out.unionByName(placed.select("fold", split.alias("split"), "row_idx"))
 
 
 def train_valid_random(df: DataFrame, frac: float, seed: int = 42, row_idx: str = "row_idx") -> DataFrame:
     """Shuffled holdout, size clamped to [1, n-1]; a zero fraction or one row gives none."""
-    placed = _shuffled(df.select(F.col(row_idx).cast("long").alias("row_idx")), [], seed, "row_idx")
-    want = F.least(F.greatest(F.lit(1), F.rint(F.col("_n") * F.lit(frac))), F.col("_n") - 1) if frac > 0 else F.lit(0)
-    return placed.select(F.when(F.col("_i") < want, "valid").otherwise("train").alias("split"), "row_idx")
+    rows = df.select(F.col(row_idx).cast("long").alias("row_idx"))
+    placed = _parted(rows, [], seed, "row_idx", _clamped(frac) if frac > 0 else lambda n: [F.lit(0)])
+    return placed.select(F.when(F.col("_part") == 0, "valid").otherwise("train").alias("split"), "row_idx")
 
 
 def allocate(df: DataFrame, stratum: str, total: int) -> DataFrame:

@@ -190,3 +190,46 @@ def test_holdout_sizes(spark):
 def test_qcut_constant_column(spark):
     df = spark.range(40).selectExpr("id", "3D AS v")
     assert {r["bin"] for r in S.qcut_bins(df, "v").collect()} == {0}
+
+
+def _above_rows(df, leaf="Range ("):
+    """The operators above each leaf that reads the rows, from the plan text."""
+    found, path = [], []
+    for line in df._jdf.queryExecution().sparkPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        path = [(d, t) for d, t in path if d < depth] + [(depth, line.strip(" :+-"))]
+        if leaf in line:
+            found.append([t for _, t in path[:-1]])
+    return found
+
+
+@pytest.mark.parametrize("n", [1, 4, 7, 3000])
+def test_hash_order_splits_equal_plain_loop(spark, n):
+    """Positions in hash order row by row; repeated and null row numbers, fewer rows than folds."""
+    import hashlib
+    from collections import Counter
+
+    ids = [i // 2 if i % 3 else i for i in range(n - 1)] + [None]
+    df = spark.createDataFrame([(i,) for i in ids], "row_idx long").repartition(3)
+
+    def order(rows, seed):
+        return sorted(rows, key=lambda i: hashlib.md5(f"{seed}|{i}".encode() if i is not None else f"{seed}".encode()).hexdigest())
+
+    placed = order(ids, 9)
+    base, extra = divmod(n, 4)
+    home = [j for j in range(4) for _ in range(base + (j < extra))]
+    want = Counter()
+    for f in range(4):
+        rest = order([i for i, h in zip(placed, home, strict=True) if h != f], f"inner{f}")
+        want.update((f, "train" if p < int(len(rest) * 0.8) else "valid", i) for p, i in enumerate(rest))
+        want.update((f, "test", i) for i, h in zip(placed, home, strict=True) if h == f)
+    got = S.random_kfold(df, 4, 0.8, 9).collect()
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_hash_order_splits_move_no_rows(spark):
+    """Rows learn their split where they are: nothing above the scan of the table exchanges or sorts them."""
+    df = spark.range(5000).selectExpr("id AS row_idx")
+    for out in (S.sliced_random_folds(df, 5), S.repeated_random_folds(df, 5, 0.1, 0.2), S.random_kfold(df, 4), S.random_kfold(df, 1), S.train_valid_random(df, 0.2)):
+        above = _above_rows(out)
+        assert above and not [t for path in above for t in path if t.startswith(("Window", "Sort", "Exchange"))]
