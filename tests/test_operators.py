@@ -620,3 +620,21 @@ def test_bucketed_cache_is_not_shuffled(spark):
     finally:
         spark.sql("DROP TABLE IF EXISTS seqrank_test_cache")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_pseudo_loglik_broadcasts_no_residues(spark):
+    """Sequences look small, but their residues are one row each; missing letters, positions and texts."""
+    import math
+
+    from seqrank.operators import scoring as S
+
+    lp = spark.createDataFrame(
+        [("a", p, x, -0.5 * p - (x == "C")) for p in (1, 2, 3) for x in "AC"] + [("b", 1, "A", None), (None, 1, "A", -1.0)],
+        "key string, pos int, aa string, logprob double")
+    seqs = spark.createDataFrame([("a", "ACWAA"), ("b", "A"), ("c", "AC"), ("d", ""), ("e", None), (None, "A")], "key string, seq string")
+    out = S.pseudo_loglik(lp, seqs, "key", "seq")
+    got = {r["key"]: r["pll"] for r in out.collect()}
+    assert math.isclose(got.pop("a"), -1.25) and got == {"b": None, "c": None, "d": None, "e": None, None: None}
+    observed = spark.range(10).selectExpr("concat('k', id) AS key", "'ACDEFGHIKL' AS seq")
+    text = S.pseudo_loglik(lp, observed, "key", "seq")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in text and "], Inner, Build" not in text
