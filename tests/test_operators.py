@@ -638,3 +638,62 @@ def test_pseudo_loglik_broadcasts_no_residues(spark):
     observed = spark.range(10).selectExpr("concat('k', id) AS key", "'ACDEFGHIKL' AS seq")
     text = S.pseudo_loglik(lp, observed, "key", "seq")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in text and "], Inner, Build" not in text
+
+
+def _built_rows(spark, tmp_path, parts=40, customers=30):
+    """A folder with parts and customers of its own; Tables reads nothing else in these tests."""
+    from seqrank.plans.registry import Tables
+
+    spark.range(1, parts + 1).selectExpr("id AS p_partkey", "concat('n', id) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, customers + 1).selectExpr(
+        "id AS c_custkey", "concat('C', id) AS c_name", "'X' AS c_mktsegment", "1.5D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    return Tables(spark, str(tmp_path))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_model_outputs_are_the_fixture_and_meet_by_position(spark, tmp_path):
+    """Same rows as the fixture text; softmax, restoring and scoring move no residues."""
+    import re
+
+    from seqrank.operators import scoring as S
+    from seqrank.plans.registry import FIXTURES
+
+    t = _built_rows(spark, tmp_path)
+    for name in ("logits", "chain_logits"):
+        parts = {n: t(n) for n in set(re.findall(r"\{(\w+)\}", FIXTURES[name]))}
+        plain, laid = spark.sql(FIXTURES[name], **parts), t(name)
+        assert laid.schema.simpleString() == plain.schema.simpleString()
+        assert plain.exceptAll(laid).isEmpty() and laid.exceptAll(plain).isEmpty()
+    assert "ENSURE_REQUIREMENTS" not in _plan(S.log_softmax(t("logits"), ["poi", "pos"]).groupBy("poi", "pos").count())
+    keyed = t.model_outputs("chain_logits", "key")
+    assert keyed.filter("key <> concat(poi, '/', chain) OR key IS NULL").isEmpty()
+    seqs = spark.createDataFrame([("p1/H", "A*C")], "key string, seq string")
+    plan = _plan(S.restore_masked(seqs, keyed, "key", "seq"))
+    assert "ShuffledHashJoin" in plan and not re.search(r"hashpartitioning\(key#\d+, pos#\d+, \d+\), ENSURE[^\n]*\n[^\n]*BroadcastNestedLoopJoin", plan)
+
+
+def test_chain_scores_move_sites(spark):
+    """Sites meet the outputs of the chain that reaches there; unknown complexes are null; overlapping chains raise."""
+    import math
+
+    import pytest
+
+    from seqrank.operators import scoring as S
+
+    lp = spark.createDataFrame(
+        [("a", c, p, x, -0.5 * p - (x == "C") - 3.0 * (c == "L")) for c in "HL" for p in (1, 2) for x in "AC"], "poi string, chain string, pos int, aa string, logprob double")
+    chains = spark.createDataFrame([("a", ["L", "H"], [0, 2]), ("b", ["H"], [0]), ("c", [], [])], "poi string, chains array<string>, offsets array<int>")
+    muts = spark.createDataFrame(
+        [("1", "a", "A1C:C4A"), ("2", "a", "C3A"), ("3", "a", "A9C"), ("4", "a", ""), ("5", "b", "A1C"), ("6", "c", "A1C"), ("7", "d", ""), ("8", "d", "A1C"), ("9", "a", "A1T")],
+        "rid string, poi string, mutant_global string")
+    got = {r["rid"]: r["score"] for r in S.score_per_chain(muts, lp, chains, "rid", "poi").collect()}
+    assert math.isclose(got.pop("1"), 0.0, abs_tol=1e-12) and math.isclose(got.pop("2"), 1.0)
+    assert got == {"3": 0.0, "4": 0.0, "5": None, "6": None, "7": 0.0, "8": None, "9": 0.0}
+    # The residues take no part in a shuffle by chain, only in the one by position.
+    assert "ENSURE_REQUIREMENTS" not in _plan(lp.repartition(8, "poi", "chain", "pos").groupBy("poi", "chain", "pos").count())
+    both = spark.createDataFrame([("a", ["L", "H"], [0, 0])], "poi string, chains array<string>, offsets array<int>")
+    with pytest.raises(Exception, match="overlap"):
+        S.score_per_chain(muts.filter("rid = '1'"), lp, both, "rid", "poi").collect()
