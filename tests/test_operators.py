@@ -697,3 +697,26 @@ def test_chain_scores_move_sites(spark):
     both = spark.createDataFrame([("a", ["L", "H"], [0, 0])], "poi string, chains array<string>, offsets array<int>")
     with pytest.raises(Exception, match="overlap"):
         S.score_per_chain(muts.filter("rid = '1'"), lp, both, "rid", "poi").collect()
+
+
+def test_children_of_unlike_parents_are_not_compared(spark):
+    """The dedupe sees children of parents that share a third of their text only, and still drops each double."""
+    import random
+
+    from seqrank.operators import records as J
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("ACDE") for _ in range(n))
+    rows = [(f"s{i}", "T", word(12), word(9), word(12), [(1, 4), (3, 6)]) for i in range(12)]
+    twin = rows[0]
+    for i, vh in enumerate([twin[3], "CC".join([twin[3][:1], twin[3][3:]]), twin[3][:2] + "W" + twin[3][3:]]):
+        rows.append((f"t{i}", "T", twin[2], vh, twin[4], [(1, 4)]))
+    rows += [("n", "T", None, "ACDEF", "AC", [(0, 2)]), ("o", "T", "AC", "ACD", "AC", [(1, 5)]), ("e", "T", "AC", "ACD", "ACC", [])]
+    schema = "record_id string, target string, epitope string, vh string, vl string, hcdr_ranges array<struct<start:int,end:int>>, row_idx long"
+    parents = J.as_candidates(spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], schema))
+    got = J.enumerate_children(parents)
+    spots = parents.withColumn("_spots", J.cdr_positions("hcdr_ranges"))
+    every = J._children(spots, 1)
+    want = J.first_rows(every, ["serialized"], [J.F.col("parent_rank"), J.F.col("_spot"), J.F.col("_aa")])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+    assert want.count() < every.count() and "Union" in _plan(got)
