@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as X
 from ..operators import clean as C
-from .registry import query, rnd, rounded
+from .registry import query, rnd, rounded, spread
 
 
 @query("clean_text_residues", "B2", """
@@ -192,7 +192,7 @@ FROM (SELECT p_partkey, upper(md5(cast(p_partkey as string))) AS a, upper(md5(p_
 def structure_tokens(t):
     conf = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: ((F.col("p_partkey") * 7 + i * 13) % 100).cast("double"))
     seq, struct = F.upper(F.md5(F.col("p_partkey").cast("string"))), F.upper(F.md5("p_name"))
-    return t("part").select("p_partkey", X.structure_tokens(seq, struct, conf).alias("tokens"))
+    return spread(t("part"), 64).select("p_partkey", X.structure_tokens(seq, struct, conf).alias("tokens"))
 
 
 @query("truncate_at_terminal", "J14", """

@@ -720,3 +720,34 @@ def test_children_of_unlike_parents_are_not_compared(spark):
     want = J.first_rows(every, ["serialized"], [J.F.col("parent_rank"), J.F.col("_spot"), J.F.col("_aa")])
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
     assert want.count() < every.count() and "Union" in _plan(got)
+
+
+def test_structure_inputs_are_computed_once(spark):
+    """An input that is an expression is computed once per row, not for every letter."""
+    from seqrank.functions.text import structure_tokens
+
+    rows = spark.createDataFrame([("ABC", "XYZ", [90.0, 10.0, None]), ("AB", "XYZ", [90.0]), ("", "X", None), (None, "X", [99.0]), ("A", None, [1.0]), (None, None, None)],
+                                 "a string, b string, c array<double>")
+    out = rows.select(structure_tokens(_twice_reversed("a"), _twice_reversed("b"), _twice_reversed("c", False)).alias("t"))
+    assert [r["t"] for r in out.collect()][:2] == ["AxB#Cz", "AxBy"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(a") == 1
+
+
+def _twice_reversed(c, text=True):
+    from pyspark.sql import functions as F
+
+    return F.reverse(F.reverse(c)) if text else F.col(c)
+
+
+def test_small_tables_are_dealt_out_by_work(spark, tmp_path):
+    """Rows of few bytes that become many, or cost much, are spread first; windows of a supplier stay in their task."""
+    from seqrank.plans import record_queries as R
+    from seqrank.plans import scoring_queries as Q
+    from seqrank.plans.registry import TASK_ROWS, task_count
+
+    t = _built_rows(spark, tmp_path)
+    records = R._records(t, active_only=False)
+    assert "RoundRobinPartitioning" in _plan(records) and "RLIKE" not in _plan(records).split("RoundRobinPartitioning")[1]
+    assert task_count(spark.range(TASK_ROWS // 100), 2000) == 20
+    spark.range(5).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert "ENSURE_REQUIREMENTS" not in _plan(Q.blend_windows(t))
