@@ -189,6 +189,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, node binary, sig binary, bands array<long>")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether distinct edges ``a, b`` (``b`` the smaller) are a forest of stars: no node is both an end and a centre, and each end has one centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, comp`` for all ends of ``a, b`` edges: the smallest node of the component.
 
@@ -209,14 +216,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         return out.where("a <> b").distinct()
 
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-    before = None
-    while True:
+    while not _stars(e):
         e = written(small(written(small(e, True), f"{name}-large"), False), f"{name}-small")
-        # A forest of stars: no node is both an end and a centre, and one centre each.
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
@@ -396,7 +397,9 @@ def _classed(docs: DataFrame) -> DataFrame:
     sets = _unit_sets(docs, seen, suspects.select("node").distinct())
     last = placed.join(suspects, ["band", "node"]).join(sig, "node").join(sets, "node").select("band", "node", "comp", "sig", "units")
     more = written(_in_cells(last, _links, "a binary, b binary", ["sig", "units"]), "cell-links")
-    known = written(components(links.unionByName(more), "all"), "components")
+    # What the pivots joined goes on as the stars it has become.
+    stars = known.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    known = written(components(stars.unionByName(more), "all"), "components")
 
     whole = ids.join(known, "node", "left").select("node", "least", "n", F.coalesce("comp", "node").alias("comp"))
     groups = whole.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
