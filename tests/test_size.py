@@ -49,3 +49,19 @@ def test_ids_of_any_rows(spark, families, shift):
     more = spark.createDataFrame([(None, "ACDEFGHIKL" * 3), (shift + 30, None), (shift + 31, ""), (shift + 32, rows.filter(F.col("row_idx") == shift).first()["seq"])], "row_idx long, seq string")
     got = sorted((r["row_idx"], r["representative"]) for r in CL.cluster_sequences(rows.unionByName(more), "seq").collect() if r["row_idx"] is not None)
     assert got == [(shift + i, shift + i - i % 12) for i in range(24)] + [(shift + 30, shift + 30), (shift + 31, shift + 30), (shift + 32, shift)]
+
+
+def test_refused_edges_are_left_out_before_merging(spark, monkeypatch):
+    """Representatives choose among the edges that all their members allow, in one pass and not by trial."""
+    a, b, c = "A" * 20, "A" * 17 + "CCC", "A" * 14 + "CCCCCC"
+    seqs = spark.createDataFrame([(0, a, 20), (1, b, 20), (2, c, 20), (3, b, 20), (4, "D" * 20, 20)], "id long, seq string, len int")
+    settled = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 3), (4, 4)], "id long, representative long")
+    edges = spark.createDataFrame([(1, 0, 0.15), (3, 1, 0.0)], "id long, center long, d double")
+    real, calls = CL.settle, []
+    monkeypatch.setattr(CL, "settle", lambda e: calls.append(1) or real(e))
+    out, n = CL._merged(seqs, settled, edges, False, 0.8, 0.8)
+    # 1 may not join 0, as its member 2 differs from 0 in six letters, so it represents 3.
+    assert {r["id"]: r["representative"] for r in out.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4} and n == 1
+    assert len(calls) == 1
+    none = CL._merged(seqs, settled, edges.filter("id = 1"), False, 0.8, 0.8)
+    assert none[1] == 0 and sorted(map(tuple, none[0].collect())) == sorted(map(tuple, settled.collect()))
