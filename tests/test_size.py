@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqrank.operators import clusters as CL
+from seqrank.operators import records as J
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -65,3 +66,31 @@ def test_refused_edges_are_left_out_before_merging(spark, monkeypatch):
     assert len(calls) == 1
     none = CL._merged(seqs, settled, edges.filter("id = 1"), False, 0.8, 0.8)
     assert none[1] == 0 and sorted(map(tuple, none[0].collect())) == sorted(map(tuple, settled.collect()))
+
+
+def _candidates(spark, n=6):
+    r = random.Random(1)
+    word = lambda k: "".join(r.choices("ACDE", k=k))
+    return spark.createDataFrame(
+        [(f"s{i}", "T", word(8), word(9), word(8), [(1, 4)], i) for i in range(n)],
+        "record_id string, target string, epitope string, vh string, vl string, hcdr_ranges array<struct<start:int,end:int>>, row_idx long")
+
+
+def _counted(spark, value):
+    """A column function that counts the rows it is computed for."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        seen.add(1)
+        return value(x)
+
+    return F.udf(one, "double").asNondeterministic(), seen
+
+
+def test_children_are_scored_once(spark):
+    """A beam step whose rows are read several times makes and scores its children once."""
+    score, seen = _counted(spark, lambda x: float(x.count("A")))
+    best = J.beam_step(J.as_candidates(_candidates(spark)), lambda df: df.withColumn("score", score("vh")), 10)
+    assert J._placed(best).count() == 10 and best.count() == 10
+    assert [r["score"] for r in best.collect()] == sorted([r["score"] for r in best.collect()], reverse=True)
+    assert seen.value == J.enumerate_children(J.as_candidates(_candidates(spark))).count()
