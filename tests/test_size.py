@@ -94,3 +94,23 @@ def test_children_are_scored_once(spark):
     assert J._placed(best).count() == 10 and best.count() == 10
     assert [r["score"] for r in best.collect()] == sorted([r["score"] for r in best.collect()], reverse=True)
     assert seen.value == J.enumerate_children(J.as_candidates(_candidates(spark))).count()
+
+
+def test_records_of_a_search_are_made_once(spark):
+    """Their chains are located once, not for every step that reads the parents."""
+    keep, seen = _counted(spark, lambda x: float(len(x)))
+    records = _candidates(spark).withColumn("_n", keep("vh")).filter("_n > 0").drop("_n")
+    out = J.beam_search(records, lambda df: df.withColumn("score", F.length(F.replace("vh", F.lit("A"), F.lit(""))).cast("double")), rounds=2, beam=3, final=5)
+    assert out.count() == 5 and seen.value == 6
+
+
+def test_site_scores_equal_the_fold(spark):
+    """Texts of all lengths at once, with nulls, empty texts and other alphabets."""
+    from seqrank.plans.record_queries import _scorer
+
+    r = random.Random(2)
+    rows = ["".join(r.choices(LETTERS, k=r.choice([1, 5, 32, 33]))) for _ in range(200)] + [None, "", "é", "aß\U0001d53cz"]
+    df = spark.createDataFrame([(x,) for x in rows], "vh string")
+    want = df.withColumn("score", F.expr("aggregate(sequence(1, length(vh)), 0D, (s, i) -> s + ((ascii(substring(vh, i, 1)) * (i % 7 + 1)) % 23))"))
+    assert sorted(map(str, _scorer(df).collect())) == sorted(map(str, want.collect()))
+    assert "ArrowEvalPython" in plan(_scorer(df))
