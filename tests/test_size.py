@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqrank.operators import clusters as CL
 from seqrank.operators import records as J
+from seqrank.operators import scoring as S
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -114,3 +115,26 @@ def test_site_scores_equal_the_fold(spark):
     want = df.withColumn("score", F.expr("aggregate(sequence(1, length(vh)), 0D, (s, i) -> s + ((ascii(substring(vh, i, 1)) * (i % 7 + 1)) % 23))"))
     assert sorted(map(str, _scorer(df).collect())) == sorted(map(str, want.collect()))
     assert "ArrowEvalPython" in plan(_scorer(df))
+
+
+def _outputs(spark):
+    return spark.createDataFrame(
+        [(k, p, x, float((p * 7 + ord(x) * 3 + (k == "b")) % 11)) for k in "abc" for p in (1, 2, 3) for x in "ACD"], "poi string, pos int, aa string, logit double")
+
+
+def test_chain_outputs_without_sites_end_before_the_softmax(spark):
+    """Positions are asked before the windows of a softmax; scores are those of all outputs."""
+    lp = S.log_softmax(_outputs(spark).withColumn("chain", F.lit("H")), ["poi", "chain", "pos"])
+    chains = spark.createDataFrame([(k, ["H"], [0]) for k in "ab"], "poi string, chains array<string>, offsets array<int>")
+    muts = spark.createDataFrame([("1", "a", "A1C:D3A"), ("2", "a", "A9C"), ("3", "b", "C2D"), ("4", "d", "A1C"), ("5", None, "A1C"), (None, "a", ""), ("3", "b", "A2C")], "rid string, poi string, mutant_global string")
+    out = S.score_per_chain(muts, lp, chains, "rid", "poi")
+    v = {(r["poi"], r["pos"], r["aa"]): r["logprob"] for r in lp.collect()}
+    d = lambda k, p, x, y: v[k, p, y] - v[k, p, x]
+    got = {r["rid"]: r["score"] for r in out.collect()}
+    assert got.pop("1") == pytest.approx(d("a", 1, "A", "C") + d("a", 3, "D", "A")) and got.pop("3") == pytest.approx(d("b", 2, "C", "D") + d("b", 2, "A", "C"))
+    assert got == {"2": 0.0, "4": None, "5": 0.0, None: 0.0}
+    text = plan(out)
+    assert text.index("Window") < text.index("LeftSemi")
+    twice = lp.unionByName(lp)
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        S.score_per_chain(muts, twice, chains, "rid", "poi").collect()
\ No newline at end of file
