@@ -137,4 +137,16 @@ def test_chain_outputs_without_sites_end_before_the_softmax(spark):
     assert text.index("Window") < text.index("LeftSemi")
     twice = lp.unionByName(lp)
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
-        S.score_per_chain(muts, twice, chains, "rid", "poi").collect()
\ No newline at end of file
+        S.score_per_chain(muts, twice, chains, "rid", "poi").collect()
+
+
+def test_two_temperatures_take_one_pass(spark):
+    """One window for the maxima and one for the sums of both temperatures; the values are those of one at a time."""
+    odd = spark.createDataFrame([("a", 1, "A", None), ("a", 1, "C", 1e300), ("b", 1, "A", float("inf")), ("c", 1, "A", -800.0), ("c", 1, "C", -801.0)], "poi string, pos int, aa string, logit double")
+    rows = _outputs(spark).unionByName(odd)
+    both = S.log_softmaxes(rows, ["poi", "pos"], {"x": 1.0, "y": -1.5})
+    x, y = (S.log_softmax(rows, ["poi", "pos"], temperature=t, out=n) for n, t in (("x", 1.0), ("y", -1.5)))
+    assert sorted(map(str, both.drop("y").collect())) == sorted(map(str, x.collect()))
+    assert sorted(map(str, both.drop("x").collect())) == sorted(map(str, y.collect()))
+    muts = spark.createDataFrame([("1", "a", "A2C")], "rid string, poi string, mutant string")
+    assert plan(S.score_temperature(muts, _outputs(spark), "rid", "poi")).count("Window [") == 2
\ No newline at end of file
