@@ -149,4 +149,18 @@ def test_two_temperatures_take_one_pass(spark):
     assert sorted(map(str, both.drop("y").collect())) == sorted(map(str, x.collect()))
     assert sorted(map(str, both.drop("x").collect())) == sorted(map(str, y.collect()))
     muts = spark.createDataFrame([("1", "a", "A2C")], "rid string, poi string, mutant string")
-    assert plan(S.score_temperature(muts, _outputs(spark), "rid", "poi")).count("Window [") == 2
\ No newline at end of file
+    assert plan(S.score_temperature(muts, _outputs(spark), "rid", "poi")).count("Window [") == 2
+
+
+def test_paired_outputs_without_sites_are_not_grouped(spark):
+    """Light outputs come after the heavy chain and its separator; only positions with a site become maps."""
+    rows = _outputs(spark).withColumnRenamed("logit", "logprob")
+    lp = rows.unionByName(rows.select("poi", (F.col("pos") + 4).alias("pos"), "aa", (F.col("logprob") * 2).alias("logprob")))
+    muts = spark.createDataFrame(
+        [("1", "a", "A1C", "C2D", "ACD", "CCC"), ("2", "a", "", "D2A", "ACD", "CCC"), ("3", "b", "A1D", "", "ACD", "AAA"), ("4", "c", "A1C", "", "ACD", None), ("5", "x", "A1C", "", "ACD", "A"), (None, "a", "", "", "A", "A")],
+        "rid string, poi string, mh string, ml string, h string, l string")
+    out = S.score_paired(muts, lp, "rid", "poi", "mh", "ml", "h", "l")
+    v = {(r["poi"], r["pos"], r["aa"]): r["logprob"] for r in rows.collect()}
+    got = {r["rid"]: r["score"] for r in out.collect()}
+    assert got == {"1": v["a", 1, "C"] - v["a", 1, "A"] + 2 * (v["a", 2, "D"] - v["a", 2, "C"]), "2": None, "3": v["b", 1, "D"] - v["b", 1, "A"], "4": 0.0, "5": 0.0, None: 0.0}
+    assert "LeftSemi" in plan(out)
\ No newline at end of file
