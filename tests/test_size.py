@@ -163,4 +163,17 @@ def test_paired_outputs_without_sites_are_not_grouped(spark):
     v = {(r["poi"], r["pos"], r["aa"]): r["logprob"] for r in rows.collect()}
     got = {r["rid"]: r["score"] for r in out.collect()}
     assert got == {"1": v["a", 1, "C"] - v["a", 1, "A"] + 2 * (v["a", 2, "D"] - v["a", 2, "C"]), "2": None, "3": v["b", 1, "D"] - v["b", 1, "A"], "4": 0.0, "5": 0.0, None: 0.0}
-    assert "LeftSemi" in plan(out)
\ No newline at end of file
+    assert "LeftSemi" in plan(out)
+
+
+def test_residues_of_a_sequence_stay_together(spark, tmp_path):
+    """Probabilities by sequence and letter are grouped where they are made."""
+    from seqrank.plans import scoring_queries as Q
+    from seqrank.plans.registry import Tables
+
+    spark.range(1, 30).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    for name, key in (("logits", None), ("chain_logits", None), ("chain_logits", "key")):
+        laid, whole = t.model_outputs(name, key), t.model_outputs(name, key, whole=True)
+        assert laid.exceptAll(whole).isEmpty() and whole.exceptAll(laid).isEmpty()
+    assert "ENSURE_REQUIREMENTS" not in plan(Q.residue_probability(t))
\ No newline at end of file
