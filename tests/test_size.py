@@ -176,4 +176,15 @@ def test_residues_of_a_sequence_stay_together(spark, tmp_path):
     for name, key in (("logits", None), ("chain_logits", None), ("chain_logits", "key")):
         laid, whole = t.model_outputs(name, key), t.model_outputs(name, key, whole=True)
         assert laid.exceptAll(whole).isEmpty() and whole.exceptAll(laid).isEmpty()
-    assert "ENSURE_REQUIREMENTS" not in plan(Q.residue_probability(t))
\ No newline at end of file
+    assert "ENSURE_REQUIREMENTS" not in plan(Q.residue_probability(t))
+
+
+def test_observed_letters_never_become_rows(spark):
+    """A sequence meets its outputs as one row; repeated and null keys, letters outside and empty ones."""
+    lp = spark.createDataFrame(
+        [("a", p, x, -float(p) - (x == "C")) for p in (-1, 0, 1, 2, 9) for x in ("A", "C", "")] + [("b", 1, None, -1.0), (None, 1, "A", -1.0), ("c", 1, "é", -3.0)], "key string, pos int, aa string, logprob double")
+    seqs = spark.createDataFrame([("a", "AC"), ("a", "AA"), ("b", "A"), (None, "A"), ("c", "éA"), ("d", None)], "key string, seq string")
+    out = S.pseudo_loglik(lp, seqs, "key", "seq")
+    assert sorted((r["key"] or "", r["pll"]) for r in out.filter("key IN ('a', 'c')").collect()) == [("a", -1.75), ("a", -1.75), ("c", -3.0)]
+    assert [r["pll"] for r in out.filter("key IS NULL OR key NOT IN ('a', 'c')").collect()] == [None, None, None]
+    assert "Generate" not in plan(S.pseudo_loglik(spark.range(9).selectExpr("'a' key", "int(id) pos", "'A' aa", "1D logprob"), spark.range(9).selectExpr("'a' key", "'A' seq"), "key", "seq"))
\ No newline at end of file
