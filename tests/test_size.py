@@ -187,4 +187,11 @@ def test_observed_letters_never_become_rows(spark):
     out = S.pseudo_loglik(lp, seqs, "key", "seq")
     assert sorted((r["key"] or "", r["pll"]) for r in out.filter("key IN ('a', 'c')").collect()) == [("a", -1.75), ("a", -1.75), ("c", -3.0)]
     assert [r["pll"] for r in out.filter("key IS NULL OR key NOT IN ('a', 'c')").collect()] == [None, None, None]
-    assert "Generate" not in plan(S.pseudo_loglik(spark.range(9).selectExpr("'a' key", "int(id) pos", "'A' aa", "1D logprob"), spark.range(9).selectExpr("'a' key", "'A' seq"), "key", "seq"))
\ No newline at end of file
+    assert "Generate" not in plan(S.pseudo_loglik(spark.range(9).selectExpr("'a' key", "int(id) pos", "'A' aa", "1D logprob"), spark.range(9).selectExpr("'a' key", "'A' seq"), "key", "seq"))
+
+
+def test_tasks_of_model_outputs_hold_a_million_rows(spark):
+    """Each is sorted in memory, beside others on the same executor."""
+    from seqrank.plans.registry import OUTPUTS_PER_PART, task_count
+
+    assert task_count(spark.range(200_000), OUTPUTS_PER_PART) >= 128
