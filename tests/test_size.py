@@ -195,3 +195,13 @@ def test_tasks_of_model_outputs_hold_a_million_rows(spark):
     from seqrank.plans.registry import OUTPUTS_PER_PART, task_count
 
     assert task_count(spark.range(200_000), OUTPUTS_PER_PART) >= 128
+
+
+def test_queries_are_listed_without_a_session():
+    """The driver asks for them before it starts Spark."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True)
+    assert int(out.stdout) > 150
